@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.common import documents, shared_dir
 from ledgerloom.llm.exact import exact_dedup
+from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.packing import PIECES, pack_on_curve
+from ledgerloom.llm.repeats import remove_repeats
 from ledgerloom.llm.simhash import simhash_groups
 from ledgerloom.llm.token_files import read_token_files, write_token_files
 
@@ -26,12 +28,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_on_curve(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return packed.select(*(x.split()[0] for x in PIECES.split(", ")))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op3_simhash": op3_simhash, "op5_exact_dedup": op5_exact_dedup, "op10_packing": op10_packing}
+QUERIES = {"op1_token_files": op1_token_files, "op3_simhash": op3_simhash, "op5_exact_dedup": op5_exact_dedup, "op8_substring_dedup": op8_substring_dedup, "op9_mixing": op9_mixing, "op10_packing": op10_packing}
 
 ORACLES = {
     "op5_exact_dedup": r"""
