@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.components import connected_components, shared_dir, stage
 
-__all__ = ["connected_components", "documents", "filesystem", "put", "shared_dir", "stage", "texts_of", "word_pattern", "words_col", "slices"]
+__all__ = ["connected_components", "documents", "filesystem", "numbered", "put", "shared_dir", "stage", "texts_of", "word_pattern", "words_col", "slices"]
 
 #: Fixed value: the words of every contract are runs of anything but ASCII white space.
 word_pattern = "[^\\x20\\x09-\\x0D]+"
@@ -58,3 +58,8 @@ def slices(sizes: list[int], most: int) -> list[tuple[int, int]]:
     if lo < len(sizes):
         out.append((lo, len(sizes)))
     return out
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs written once with a number per row in _row, so that decisions find their rows again even where ids repeat or are null."""
+    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")

@@ -97,7 +97,7 @@ def links(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarr
 
 
 def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4, row: str | None = None) -> DataFrame:
-    """A row per document: doc_id, fingerprint (16 hex digits), component_id (and `row`, if named).
+    """A row per document: doc_id, fingerprint (16 hex digits), component_id, group (a fingerprint that names it) and `row`, if named.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other; component_id is the
     smallest doc_id reachable (null ids never name a group; a group of null ids alone has null). Exact
@@ -144,6 +144,6 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4, row: st
     groups = connected_components(filed.mapInArrow(link, "a long, b long"))
     named = prints.join(groups, prints["mark"] == groups["node"], "left").select("mark", "first", F.coalesce("component", "mark").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = named.join(smallest, "component").select("mark", "component_id")
-    out = marked.join(ids, "mark").select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id", "row")
+    ids = named.join(smallest, "component").select("mark", "component_id", F.col("component").alias("group"))
+    out = marked.join(ids, "mark").select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id", "group", "row")
     return out.withColumnRenamed("row", row) if row else out.drop("row")
