@@ -122,8 +122,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         d = d.withColumn("_best", F.when(F.col("n_words") >= MIN_WORDS, F.col("_best")))
     else:
         d = d.withColumn("_best", F.lit(None).cast("struct<worst:double,w:double,c:double>"))
+    # a column that differs by row keeps a caller's filter on `kept` above the expressions, which it would otherwise repeat many times over
+    d = d.withColumn("_turn", F.monotonically_increasing_id())
     new = ["words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_words", "js_chars", "kept"]
-    d = d.withColumn("js_words", F.round("_best.w", 6)).withColumn("js_chars", F.round("_best.c", 6)).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("_best.worst") <= 1, F.lit(True)))
+    d = d.withColumn("js_words", F.round("_best.w", 6)).withColumn("js_chars", F.round("_best.c", 6)).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("_best.worst") <= 1, F.lit(True)) & (F.col("_turn") >= 0))
     return d.select(*(F.col("row").getField(c).alias(c) for c in names if c not in new), *new[1:])
 
 
