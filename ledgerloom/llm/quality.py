@@ -19,7 +19,7 @@ from ledgerloom.llm.common import words_col
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
 #: Character classes of the histogram, besides letters and whatever is left.
-CLASSES = {"upper": r"\p{Lu}", "digit": "[0-9]", "blank": r"[\x20\x09-\x0D]", "stop": r"[.,;:!?'\"()\-]", "sign": r"[#$%&*+/<=>@\[\]^_`{|}~\\]"}
+CLASSES = {"upper": r"\p{Lu}", "blank": r"[\x20\x09-\x0D]", "stop": r"[.,;:!?'\"()\-]", "sign": r"[#$%&*+/<=>@\[\]^_`{|}~\\]"}
 COMMON, LONGEST, MIN_SHARE = 12, 6, 0.01
 #: Distances accepted: at `WORD_BASE` for long texts, more for short ones, whose histograms are rough.
 WORD_BASE, WORD_SHORT, CHAR_MOST = 0.14, 1.9, 0.25
@@ -48,7 +48,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def class_counts(text: Column) -> dict[str, Column]:
-    n = {k: (F.length(text) - F.length(F.regexp_replace(text, p, ""))).cast("long") for k, p in CLASSES.items()}
+    left = {k: F.translate(text, BLANKS, "") if k == "blank" else F.regexp_replace(text, p, "") for k, p in CLASSES.items()}
+    n = {k: (F.length(text) - F.length(t)).cast("long") for k, t in left.items()}
     return n | {"rest": F.length(text).cast("long") - reduce(lambda a, b: a + b, n.values())}
 
 
