@@ -67,8 +67,8 @@ def repeated(blobs: DataFrame) -> DataFrame:
             bits = more[at : at + len(x)]
             at += len(x)
             out.append(np.packbits(np.pad(bits, (0, -len(x) % 64)), bitorder="little").view("<i8") if bits.any() else None)
-        keep = [i for i, x in enumerate(out) if x is not None]
-        return pa.table({"sender": group.column("sender").take(keep), "owner": group.column("owner").take(keep), "bits": pa.array([out[i] for i in keep], pa.list_(pa.int64()))})
+        keep = pa.array([i for i, x in enumerate(out) if x is not None], pa.int64())
+        return pa.table({"sender": group.column("sender").take(keep), "owner": group.column("owner").take(keep), "bits": pa.array([x for x in out if x is not None], pa.list_(pa.int64()))})
 
     return blobs.select("sender", "owner", "coded", "twice").groupBy("owner").applyInArrow(answer, "sender long, owner long, bits array<long>")
 
