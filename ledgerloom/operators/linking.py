@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
@@ -44,30 +45,34 @@ def window_groups(entries: DataFrame, days: int = LINK_DAYS, distinct: list[tupl
     """(row_idx, group_idx): per company, in file order, each row joins the first group that takes it, else starts one.
 
     A group takes a row within `days` of its anchor, which only moves forward; undated rows meet undated ones;
-    listed distinct events never meet. group_idx is the row_idx of the group's first row. One company at a time is in memory.
+    listed distinct events never meet. group_idx is the row_idx of the group's first row. The groups of one company at a time are in memory.
     """
     apart = {frozenset(p) for p in distinct or []}
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        groups: list[dict] = []
-        out = []
-        for idx, text, event in g.sort_values("row_idx")[["row_idx", "date_announced", "event_id"]].itertuples(index=False):
-            day = day_number(text)
-            for s in groups:
-                fits = (not text and not s["text"]) or (text and s["text"] and day is not None and s["day"] is not None and abs(day - s["day"]) <= days)
-                if fits and not any(frozenset((event, x)) in apart for x in s["ids"]):
-                    break
-            else:
-                s = {"text": text, "day": day, "first": idx, "ids": set()}
-                groups.append(s)
-            s["ids"].add(event)
-            if text and s["text"] and text > s["text"]:
-                s["text"], s["day"] = text, day
-            out.append((idx, s["first"]))
-        return pd.DataFrame(out, columns=["row_idx", "group_idx"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        company, groups = None, []
+        for b in batches:
+            out = []
+            for k, idx, text, event in b.itertuples(index=False):
+                if k != company:
+                    company, groups = k, []
+                day = day_number(text)
+                for s in groups:
+                    fits = (not text and not s["text"]) or (text and s["text"] and day is not None and s["day"] is not None and abs(day - s["day"]) <= days)
+                    if fits and not any(frozenset((event, x)) in apart for x in s["ids"]):
+                        break
+                else:
+                    s = {"text": text, "day": day, "first": idx, "ids": set()}
+                    groups.append(s)
+                if apart:
+                    s["ids"].add(event)
+                if text and s["text"] and text > s["text"]:
+                    s["text"], s["day"] = text, day
+                out.append((idx, s["first"]))
+            yield pd.DataFrame(out, columns=["row_idx", "group_idx"])
 
     rows = entries.select(company_key(F.col("company")).alias("k"), "row_idx", "date_announced", "event_id")
-    return rows.groupBy("k").applyInPandas(run, "row_idx long, group_idx long")
+    return rows.repartition("k").sortWithinPartitions("k", "row_idx").mapInPandas(run, "row_idx long, group_idx long")
 
 
 def resolve_merges(merges: DataFrame, max_depth: int = 50) -> DataFrame:
@@ -125,8 +130,8 @@ def link_events(entries: DataFrame, merges: DataFrame | None = None, distinct: l
                     ids[x] |= ids[y]
             return pd.DataFrame({"row_idx": rows["row_idx"], "part": [find(i) for i in rows["row_idx"]]})
 
-        named = edges.join(n.select(F.col("row_idx").alias("a"), "root"), "a")
-        parts = n.select("root", "row_idx", "event_id").groupBy("root").cogroup(named.groupBy("root")).applyInPandas(split, "row_idx long, part long")
+        named = edges.join(n.select(F.col("row_idx").alias("a"), F.col("root").alias("link_root")), "a")
+        parts = n.select("root", "row_idx", "event_id").groupBy("root").cogroup(named.groupBy("link_root")).applyInPandas(split, "row_idx long, part long")
         n = n.join(parts, "row_idx").withColumn("root", F.col("part")).drop("part")
     best = n.groupBy("root").agg(F.min_by("event_id", F.struct((-F.col("quality")).alias("q"), "row_idx")).alias("canonical"))
     return n.join(best, "root").select("row_idx", "event_id", F.coalesce(F.nullif(F.trim("canonical"), F.lit("")), "event_id").alias("new_event_id"))
