@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
-from tokenizers import Tokenizer
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; idle threads of the library would spin
+
+from tokenizers import Tokenizer  # noqa: E402
 
 #: Unicode white space, as the tokenizers' patterns mean it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -21,7 +26,7 @@ class Encoder:
     Both supported kinds of vocabulary merge inside a run of non-space characters only (one kind drops
     white space, one lets a run take the space before it), so a text is the concatenation of its pieces
     and each distinct piece is encoded once per worker. Texts that hold a special token's string, and
-    other kinds of tokenizer, are encoded whole. `remember` bounds the pieces kept.
+    other kinds of tokenizer, are encoded whole. Of pieces, the last `remember` to 2 * `remember` in use are kept.
     """
 
     def __init__(self, path: str, remember: int = 300_000) -> None:
@@ -35,21 +40,30 @@ class Encoder:
             self.pieces = re.compile(SPACED)
         elif pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed" and spec["model"].get("end_of_word_suffix"):
             self.pieces = re.compile(WORDS)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.remember = remember
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = self.code
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of self.dtype."""
         if not self.pieces:
             return self.whole(texts)
         if len(self.known) > self.remember:
-            self.known.clear()
-        known, out = self.known, []
+            self.older, self.known = self.known, {}
+        known, older, out, seen = self.known, self.older, [], set()
         cut = [None if any(s in t for s in self.specials) else self.pieces.findall(t) for t in texts]
-        new = list({p for ps in cut if ps for p in ps if p not in known})
+        for ps in cut:
+            if ps:
+                seen.update(ps)
+        seen.difference_update(known)
+        again = seen.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        new = list(seen - again)
         for lo in range(0, len(new), 20_000):
             known.update(zip(new[lo : lo + 20_000], self.whole(new[lo : lo + 20_000]), strict=True))
         for t, ps in zip(texts, cut, strict=True):
