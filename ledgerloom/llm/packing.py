@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-Each document's hashed word vector is projected to three dimensions by fixed random directions; the three
+Each document's hashed trigram vector is projected to three dimensions by fixed random directions; the three
 coordinates give a Hilbert key. Documents are range-sorted by that key, so neighbours on the curve have like
 content, and their ids form one stream which is cut every 1024 ids. A document's place in the stream is its
 place in its range plus the ids of all ranges before, from a prefix sum over ranges; no sequence but the
@@ -19,8 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import slices, stage
+from ledgerloom.llm.common import slices, stage, texts_of
 from ledgerloom.llm.encoding import encoder
+from ledgerloom.llm.grams import gram_counts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -49,23 +50,13 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(texts: list[str], features: int = 512, dims: int = 3, bits: int = 10, seed: int = 11) -> np.ndarray:
-    """Hilbert keys of texts: word counts hashed to a vector, damped, centred, normalised and projected."""
-    counts = np.zeros((len(texts), features), np.float32)
-    seen: dict[str, int] = {}
-    for row, text in zip(counts, texts, strict=True):
-        at = []
-        for w in text.split():
-            k = seen.get(w)
-            if k is None:
-                k = seen[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % features
-            at.append(k)
-        row[:] = np.bincount(np.array(at, np.int64), minlength=features) if at else 0
-    v = np.log1p(counts)
+def curve_keys(texts: list[bytes], features: int = 512, dims: int = 3, bits: int = 10, seed: int = 11) -> np.ndarray:
+    """Hilbert keys of texts: counts of hashed byte trigrams, damped, centred, normalised and projected."""
+    v = np.log1p(gram_counts(texts, features, (3,)).astype(np.float32))
     v -= v.mean(1, keepdims=True)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     z = v @ np.random.default_rng(seed).standard_normal((features, dims)).astype(np.float32)
-    even = 0.5 * (1 + np.vectorize(erf, otypes=[float])(np.round(z, 4) / 2**0.5)) if len(texts) else z
+    even = 0.5 * (1 + np.vectorize(erf, otypes=[float])(np.round(z, 3) / 2**0.5)) if len(texts) else z
     return hilbert_key(np.minimum((even * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
 
 
@@ -79,8 +70,8 @@ def pack_on_curve(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            key = np.concatenate([curve_keys(texts[lo : lo + 2000]) for lo in range(0, len(texts), 2000)] or [np.zeros(0, np.int64)])
+            texts = texts_of(b.column("text"))
+            key = np.concatenate([curve_keys(texts[lo:hi]) for lo, hi in slices([len(t) + 2000 for t in texts], 1_000_000)] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id"), b.column("text")], names=["key", "doc_id", "text"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
