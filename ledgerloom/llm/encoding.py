@@ -16,6 +16,7 @@ from tokenizers import Tokenizer  # noqa: E402
 
 #: Unicode white space, as the tokenizers' patterns mean it.
 SPACE = "\t-\r \x85\xa0  -     　"
+SPACES = {c for c in map(chr, range(0x3001)) if c in "\t\n\x0b\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" or "\u2000" <= c <= "\u200a"}
 WORDS = f"[^{SPACE}]+"
 SPACED = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
@@ -40,6 +41,7 @@ class Encoder:
             self.pieces = re.compile(SPACED)
         elif pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed" and spec["model"].get("end_of_word_suffix"):
             self.pieces = re.compile(WORDS)
+        self.spaced = self.pieces is not None and self.pieces.pattern == SPACED
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -55,8 +57,9 @@ class Encoder:
             return self.whole(texts)
         if len(self.known) > self.remember:
             self.older, self.known = self.known, {}
-        known, older, out, seen = self.known, self.older, [], set()
-        cut = [None if any(s in t for s in self.specials) else self.pieces.findall(t) for t in texts]
+        known, older, seen, out = self.known, self.older, set(), []
+        lead = " " if self.spaced else ""
+        cut = [None if any(s in t for s in self.specials) else t.split(" ") for t in texts]
         for ps in cut:
             if ps:
                 seen.update(ps)
@@ -64,10 +67,24 @@ class Encoder:
         again = seen.intersection(older)
         known.update(zip(again, map(older.__getitem__, again), strict=True))
         new = list(seen - again)
+        odd = {p for p in new if not p or p[0] in SPACES or p[-1] in SPACES} if self.spaced else set()
+        if odd:
+            new = [p for p in new if p not in odd]
         for lo in range(0, len(new), 20_000):
-            known.update(zip(new[lo : lo + 20_000], self.whole(new[lo : lo + 20_000]), strict=True))
-        for t, ps in zip(texts, cut, strict=True):
-            out.append(self.whole([t])[0] if ps is None else b"".join(map(known.__getitem__, ps)))
+            known.update(zip(new[lo : lo + 20_000], self.whole([lead + p for p in new[lo : lo + 20_000]]), strict=True))
+        # a text with more than single spaces between its parts is cut by the pattern instead
+        rough = [self.pieces.findall(t) if ps and odd and not odd.isdisjoint(ps) else None for t, ps in zip(texts, cut, strict=True)]
+        own = list({p for ps in rough if ps for p in ps} | ({ps[0] for ps in cut if ps} if self.spaced else set()))
+        own = dict(zip(own, self.whole(own), strict=True))
+        for t, ps, rs in zip(texts, cut, rough, strict=True):
+            if ps is None:
+                out.append(self.whole([t])[0])
+            elif rs is not None:
+                out.append(b"".join(map(own.__getitem__, rs)))
+            elif self.spaced:
+                out.append(own[ps[0]] + b"".join(map(known.__getitem__, ps[1:])))
+            else:
+                out.append(b"".join(map(known.__getitem__, ps)))
         return out
 
 

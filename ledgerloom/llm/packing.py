@@ -60,8 +60,8 @@ def curve_keys(texts: list[bytes], features: int = 512, dims: int = 3, bits: int
     return hilbert_key(np.minimum((even * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
 
 
-def pack_on_curve(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024) -> DataFrame:
-    """A row per piece of a document: PIECES and ids (the piece, little-endian, of the vocabulary's width).
+def pack_on_curve(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, with_ids: bool = True) -> DataFrame:
+    """A row per piece of a document: PIECES and, with_ids, ids (the piece, little-endian, of the vocabulary's width).
 
     Null text counts as empty (the end id alone), null doc_ids are kept, repeated rows are packed as often as
     they come, an empty table gives no rows, and only doc_id and text are read. Ties on the curve follow
@@ -106,7 +106,7 @@ def pack_on_curve(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(7 + with_ids)]
             for part, place, doc, n, ids in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 at = bases[part] + place
                 own, done = np.frombuffer(ids, dtype), 0
@@ -120,9 +120,9 @@ def pack_on_curve(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int
                         sequence, offset, room = tail // length + k, g - int(edges[k]), int(edges[k + 1]) - g
                     size = min(room, n - done)
                     piece = own[done : done + size]
-                    for c, x in zip(cols, (doc, done, size, zlib.crc32(piece.astype("<u4").tobytes()), n, sequence, offset, piece.tobytes()), strict=True):
+                    for c, x in zip(cols, (doc, done, size, zlib.crc32(piece.astype("<u4").tobytes()), n, sequence, offset, *([piece.tobytes()] * with_ids)), strict=True):
                         c.append(x)
                     done += size
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], names=[*(x.split()[0] for x in PIECES.split(", ")), "ids"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), *(pa.array(c, pa.binary()) for c in cols[7:])], names=[*(x.split()[0] for x in PIECES.split(", ")), *["ids"] * with_ids])
 
-    return stream.mapInArrow(pieces, PIECES + ", ids binary")
+    return stream.mapInArrow(pieces, PIECES + ", ids binary" * with_ids)

@@ -11,7 +11,7 @@ from ledgerloom.llm.exact import exact_dedup
 from ledgerloom.llm import quality
 from ledgerloom.llm.language import fit_languages, in_fold, predict_languages
 from ledgerloom.llm.mixing import mix_sources
-from ledgerloom.llm.packing import PIECES, pack_on_curve
+from ledgerloom.llm.packing import pack_on_curve
 from ledgerloom.llm.repeats import remove_repeats
 from ledgerloom.llm.simhash import simhash_groups
 from ledgerloom.llm.token_files import read_token_files, write_token_files
@@ -64,8 +64,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_on_curve(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    return packed.select(*(x.split()[0] for x in PIECES.split(", ")))
+    return pack_on_curve(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, with_ids=False)
 
 
 QUERIES = {
