@@ -32,14 +32,19 @@ def in_fold(doc_id: str, of: int, which: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % of == which, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int, seed: int = 3) -> DataFrame:
-    """About `most` rows of each key at most, chosen by a hash of doc_id; all of a key with fewer. One count per key comes to the driver."""
-    sizes = {r[0]: r[1] for r in rows.groupBy(key).count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+def drawn(seed: int = 3) -> Column:
+    """A number from 0 to 1 by a hash of doc_id."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int, seed: int = 3, sizes: dict | None = None) -> DataFrame:
+    """About `most` rows of each key at most, chosen by a hash of doc_id; all of a key with fewer. One count per key, unless given, comes to the driver."""
+    if sizes is None:
+        sizes = {r[0]: r[1] for r in rows.groupBy(key).count().collect()}
     share = F.lit(0.0)
     for k, n in sizes.items():
         share = F.when(F.col(key) == F.lit(k), F.lit(most / n)).otherwise(share)
-    return rows.filter(draw < share)
+    return rows.filter(drawn(seed) < share)
 
 
 def vectors(texts: list[bytes], idf: np.ndarray | None = None) -> np.ndarray:

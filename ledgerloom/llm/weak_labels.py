@@ -15,29 +15,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import slices, texts_of
+from ledgerloom.llm.common import slices, texts_of, word_pattern
 from ledgerloom.llm.grams import gram_counts
-from ledgerloom.llm.language import bounded_sample
+from ledgerloom.llm.language import bounded_sample, drawn
 
 DIM = 2048
 
 
+#: What is counted in a text, as the pattern of all other characters.
+COUNTED = {"letters": "[^\\p{L}]+", "uppers": "[^\\p{Lu}]+", "signs": "[^#*$%&|<>]+", "shouts": "[^!?]+"}
+
+
+def measures(text: Column) -> dict[str, Column]:
+    """Counts of a text. Characters are counted by deleting runs of all others, which makes no list of matches."""
+    lines = F.filter(F.split(text, "\n"), lambda s: s != "")
+    return {
+        **{name: F.length(F.regexp_replace(text, rest, "")) for name, rest in COUNTED.items()},
+        "chars": F.greatest(F.length(text), F.lit(1)),
+        "words": F.greatest(F.regexp_count(text, F.lit(word_pattern)), F.lit(1)),
+        "stops": F.regexp_count(text, F.lit("[.](?=[\\x20\\x09-\\x0D]|$)")),
+        "lines": F.size(lines),
+        "line_kinds": F.size(F.array_distinct(lines)),
+    }
+
+
 def labellers() -> dict[str, Column]:
-    """Votes 1 (good), -1 (bad) or 0 from a text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    count = lambda p: F.regexp_count(text, F.lit(p))
-    words, chars = F.greatest(count("[^\\x20\\x09-\\x0D]+"), F.lit(1)), F.greatest(F.length(text), F.lit(1))
-    letters, lines = F.greatest(count("\\p{L}"), F.lit(1)), F.filter(F.split(text, "\n"), lambda s: s != "")
+    """Votes 1 (good), -1 (bad) or 0 from a text's measures, each a column."""
+    m = F.col
     vote = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
-    signs, upper = count("[#*$%&|<>]") / words, count("\\p{Lu}") / letters
-    mean, repeat = chars / words, 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
-    stops, shouts = count("[.](?=[\\x20\\x09-\\x0D]|$)") / words, count("[!?]") / words
+    words, letters = m("words"), F.greatest(m("letters"), F.lit(1))
+    signs, upper, mean = m("signs") / words, m("uppers") / letters, m("chars") / words
+    repeat, stops, shouts = 1 - m("line_kinds") / F.greatest(m("lines"), F.lit(1)), m("stops") / words, m("shouts") / words
     return {
         "length": vote(words >= 40, words < 15),
         "signs": vote(signs == 0, signs > 0.1),
         "upper": vote(upper < 0.1, upper > 0.3),
         "word_size": vote((mean > 4) & (mean < 9), (mean > 14) | (mean < 3)),
-        "repeats": vote((repeat == 0) & (F.size(lines) > 1), repeat > 0.3),
+        "repeats": vote((repeat == 0) & (m("lines") > 1), repeat > 0.3),
         "sentences": vote((stops > 0.02) & (stops < 0.3), stops < 0.005),
         "shouts": vote(shouts < 0.02, shouts > 0.2),
     }
@@ -75,6 +89,7 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 
 def fit_linear(x: np.ndarray, soft: np.ndarray, ridge: float = 1e-4, rounds: int = 300) -> np.ndarray:
+    x = x.astype(np.float64)  # once, not in every product
     w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
     for t in range(1, rounds + 1):
         g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - soft) / len(x) + ridge * w
@@ -93,14 +108,25 @@ def weak_quality(docs: DataFrame, per_side: int = 3000, threshold: float = 0.5)
     named = labellers()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     code = sum(((v + 1) * 3**i for i, v in enumerate(named.values())), F.lit(0)).cast("int")
-    votes = rows.withColumn("votes", code)
+
+    def voted(part: DataFrame) -> DataFrame:
+        # columns of their own, since a struct of them is taken apart and each count repeated wherever it is used
+        return part.select("*", *(c.alias(name) for name, c in measures(F.coalesce(F.col("text"), F.lit(""))).items())).select("doc_id", "text", code.alias("votes"))
+
+    votes = voted(rows)
     seen = sorted(votes.groupBy("votes").count().collect())
     table = {c: [c // 3**i % 3 - 1 for i in range(len(named))] for c, _ in seen}
     post = dict(zip(table, fit_votes(np.array(list(table.values())), np.array([n for _, n in seen], float))[0].tolist(), strict=True)) if seen else {}
     model = None
     if seen:
+        sides = {0: 0, 1: 0}
+        for c, n in seen:
+            sides[int(post[c] >= 0.5)] += n
+        sides = {side: n for side, n in sides.items() if n}
         good = F.col("votes").isin([c for c, p in post.items() if p >= 0.5])
-        sample = bounded_sample(votes.withColumn("side", good.cast("int")), "side", per_side).select("doc_id", "votes", "text").collect()
+        # rows that neither side can draw are left out before their votes are counted
+        near = voted(rows.filter(drawn() < max(per_side / n for n in sides.values())))
+        sample = bounded_sample(near.withColumn("side", good.cast("int")), "side", per_side, sizes=sides).select("doc_id", "votes", "text").collect()
         sample = sorted(sample, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["votes"]))
         if sample:
             texts = [(r["text"] or "").encode() for r in sample]
