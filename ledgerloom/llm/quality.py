@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import words_col
 
 #: What counts as a symbol and as blank in the contract.
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 BLANKS = " \t\n\x0b\f\r"
 #: Character classes of the histogram, besides letters and whatever is left.
 CLASSES = {"upper": r"\p{Lu}", "blank": r"[\x20\x09-\x0D]", "stop": r"[.,;:!?'\"()\-]", "sign": r"[#$%&*+/<=>@\[\]^_`{|}~\\]"}
@@ -39,17 +39,16 @@ def base_counts(docs: DataFrame) -> DataFrame:
     d = d.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["i"])))
     steps = F.transform("_p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - x, F.lit(3))))
     return (
-        d.withColumn("word_chars", F.length(F.translate(text, BLANKS, "")).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
+        d.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+        .withColumn("n_symbols", (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("n_repeat_words", F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
         .drop("_lines", "_h", "_s", "_p")
     )
 
 
-def class_counts(text: Column) -> dict[str, Column]:
-    left = {k: F.translate(text, BLANKS, "") if k == "blank" else F.regexp_replace(text, p, "") for k, p in CLASSES.items()}
-    n = {k: (F.length(text) - F.length(t)).cast("long") for k, t in left.items()}
+def class_counts(text: Column, word_chars: Column) -> dict[str, Column]:
+    n = {k: (F.length(text) - (word_chars if k == "blank" else F.length(F.regexp_replace(text, p, "")))).cast("long") for k, p in CLASSES.items()}
     return n | {"rest": F.length(text).cast("long") - reduce(lambda a, b: a + b, n.values())}
 
 
@@ -59,7 +58,8 @@ def references(docs: DataFrame) -> list[dict]:
     What comes to the driver is COMMON words for each of at most 1 / MIN_SHARE languages.
     """
     known = docs.filter("lang is not null and text is not null")
-    totals = known.select("lang", F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).alias("n"), *(c.alias(k) for k, c in class_counts(F.col("text")).items()))
+    totals = known.select("lang", "text", words_col("text").alias("words")).select("lang", "text", F.size("words").alias("n"), F.length(F.array_join("words", "")).alias("word_chars"))
+    totals = totals.select("lang", "n", *(c.alias(k) for k, c in class_counts(F.col("text"), F.col("word_chars")).items()))
     totals = [r.asDict() for r in totals.groupBy("lang").agg(*(F.sum(c).alias(c) for c in ["n", *CLASSES, "rest"])).filter("n > 0").orderBy(F.desc("n"), "lang").limit(int(1 / MIN_SHARE)).collect()]
     every = sum(t["n"] for t in totals)
     totals = [t for t in totals if t["n"] >= MIN_SHARE * every]
@@ -104,13 +104,14 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     if refs and vocabulary:
         lit = F.array(*map(F.lit, vocabulary))
-        short = F.filter("words", lambda w: F.length(w) <= LONGEST)
-        at = F.filter(F.transform(short, lambda w: F.array_position(lit, F.lower(w)).cast("int")), lambda i: i > 0)
+        # a set decides which words are common before any is looked for in the list
+        common = F.filter("words", lambda w: (F.length(w) <= LONGEST) & F.lower(w).isin(vocabulary))
+        at = F.transform(common, lambda w: F.array_position(lit, F.lower(w)).cast("int"))
         last = len(vocabulary) + 1
         d = d.withColumn("_at", F.sort_array(F.concat(at, F.sequence(F.lit(1), F.lit(last)))))
         d = d.withColumn("_start", F.array(*(F.array_position("_at", F.lit(k)) for k in range(1, last + 1))))
         n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.length(text), F.lit(1))
-        d = d.withColumn("_chars", F.array(*class_counts(text).values())).withColumn("_chars", F.transform("_chars", lambda c: c / chars))
+        d = d.withColumn("_chars", F.array(*class_counts(text, F.col("word_chars")).values())).withColumn("_chars", F.transform("_chars", lambda c: c / chars))
         for r in refs:
             at = F.array(*(F.lit(vocabulary.index(w)) for w in r["words"]))
             shares = F.transform(at, lambda k: (F.get("_start", k + 1) - F.get("_start", k) - 1) / n)
