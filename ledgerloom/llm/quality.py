@@ -3,7 +3,8 @@
 Base rules count words, repeated lines and repeated three-word windows. The verdict compares a document's
 histograms of character classes and of common words with references of the corpus's languages, by
 Jensen-Shannon distance; it is kept if some language accepts both. References are sums over all documents
-with a language, so they grow with the corpus and need no list.
+with a language, so they grow with the corpus and need no list; the pipeline's are means over distinct texts
+that pass the base rules.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import words_col
+from ledgerloom.llm.common import stage, words_col
 
 #: What counts as a symbol and as blank in the contract.
 SYMBOLS = "[#*$%&|<>]"
@@ -81,6 +82,35 @@ def references(docs: DataFrame) -> list[dict]:
     return out
 
 
+def fair_references(docs: DataFrame, broadcast_copies: int = 1_000_000) -> list[dict]:
+    """The references of `references`, from rows that pass the base rules, whatever groups of copies the table holds.
+
+    Copies, texts of the same words in one language, share the weight of one document, and a reference is the mean
+    of its documents' shares, so neither copies nor length weigh. At most `broadcast_copies` groups of copies are
+    broadcast to the rows; more are joined. What comes to the driver is COMMON words a language.
+    """
+    known = docs.filter("lang is not null and text is not null").select("lang", "text")
+    copies = known.groupBy("lang", F.xxhash64(words_col("text")).alias("h")).agg(F.count("*").alias("copies")).filter("copies > 1")
+    d = with_base_failed(base_counts(known)).withColumn("h", F.xxhash64("words"))
+    # as in quality_rules: the filter stays above the expressions
+    d = d.withColumn("_turn", F.monotonically_increasing_id()).filter(~F.col("base_failed") & (F.col("_turn") >= 0))
+    d = d.join(F.broadcast(copies) if copies.count() <= broadcast_copies else copies, ["lang", "h"], "left")
+    weight, short = 1 / F.coalesce("copies", F.lit(1)), F.filter("words", lambda w: F.length(w) <= LONGEST)
+    item = lambda kind, name, x: F.struct(F.lit(kind).alias("kind"), name.alias("name"), (weight * x).alias("x"))
+    chars = [item("class", F.lit(k), c / F.length("text")) for k, c in class_counts(F.col("text"), F.col("word_chars")).items()]
+    items = F.concat(F.array(item("docs", F.lit(""), F.lit(1.0)), *chars), F.transform(short, lambda w: item("word", F.lower(w), 1 / F.col("n_words"))))
+    sums = d.select("lang", F.explode(items).alias("i")).groupBy("lang", "i.kind", "i.name").agg(F.sum("i.x").alias("x"))
+    n = sums.filter("kind = 'docs'").select("lang", F.col("x").alias("n"))
+    # rounded, so that the order of summing decides nothing
+    shares = stage(sums.join(F.broadcast(n), "lang").select("lang", "kind", "name", F.round(F.when(F.col("kind") == "docs", F.col("x")).otherwise(F.col("x") / F.col("n")), 9).alias("x")).filter("kind <> 'word' or x > 0.001"), "references")
+    ranked = shares.withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("x"), "name"))).filter(f"kind <> 'word' or r <= {COMMON}")
+    found: dict[str, dict[str, dict[str, float]]] = {}
+    for r in ranked.orderBy("lang", "kind", "r").collect():
+        found.setdefault(r["lang"], {}).setdefault(r["kind"], {})[r["name"]] = r["x"]
+    every = sum(f["docs"][""] for f in found.values())
+    return [{"lang": g, "words": f.get("word", {}), "chars": {c: f["class"][c] for c in [*CLASSES, "rest"]}} for g, f in found.items() if f["docs"][""] >= MIN_SHARE * every]
+
+
 def distance(own: Column, reference: list[float]) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of a histogram, an array of shares, and a reference's shares."""
     part = lambda x, m: F.when(x > 0, x * F.log(2 * x / m)).otherwise(0.0)
@@ -88,20 +118,25 @@ def distance(own: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / (2 * 0.6931471805599453)))
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+def with_base_failed(d: DataFrame) -> DataFrame:
+    return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+
+def quality_rules(docs: DataFrame, fair: bool = False) -> DataFrame:
     """docs plus the base counts, base_failed, js_words, js_chars and kept.
 
     Null text counts as empty and fails the base rules, as does any text of under 50 words. js_words and
     js_chars are those of the language that accepts the document best (null if it is too short to compare,
     or no document has a language; then the base rules alone decide). Repeated rows are judged one by one,
-    an empty table gives no rows, other columns pass through.
+    an empty table gives no rows, other columns pass through. `fair` takes the references of `fair_references`;
+    without it they are those of the query's SQL, which copies and failing rows can bend.
     """
     names = docs.columns
-    refs = references(docs.select("lang", "text"))
+    refs = (fair_references if fair else references)(docs.select("lang", "text"))
     d = base_counts(docs.select(F.struct(*(F.col(c) for c in names)).alias("row"), F.col("text")))
     vocabulary = sorted({w for r in refs for w in r["words"]})
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    d = with_base_failed(d)
     if refs and vocabulary:
         lit = F.array(*map(F.lit, vocabulary))
         # a set decides which words are common before any is looked for in the list

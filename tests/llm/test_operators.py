@@ -296,3 +296,21 @@ def test_pipeline_stages(spark, docs):
             assert out.columns == d.columns
             d = out
     assert out.count() > 0
+
+
+def prose(rng, n, common=("the", "of", "and", "to", "in", "was")):
+    rare = ["".join(rng.choice("abcdefgilmnorstu") for _ in range(rng.randrange(3, 10))) for _ in range(400)]
+    return [" ".join(rng.choice(common) if rng.random() < 0.35 else rng.choice(rare) for _ in range(90)) + "." for _ in range(n)]
+
+
+def kept_by_pipeline(spark, rows):
+    import corpus_pipeline as P
+
+    return {r.doc_id for r in P.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "").collect()}
+
+
+def test_pipeline_quality_keeps_clean_documents_beside_copies_of_junk(spark):
+    clean = [(i, t, "en", "s") for i, t in enumerate(prose(random.Random(4), 60))]
+    for junk in ("spam " * 3000, " ".join(f"{i}# ${i}" for i in range(400))):
+        rows = clean + [(1000 + i, junk, "en", "s") for i in range(30)]
+        assert kept_by_pipeline(spark, rows) - {r[0] for r in rows[60:]} == {r[0] for r in clean}
