@@ -25,6 +25,8 @@ COMMON, LONGEST, MIN_SHARE = 12, 6, 0.01
 #: Distances accepted: at `WORD_BASE` for long texts, more for short ones, whose histograms are rough.
 WORD_BASE, WORD_SHORT, CHAR_MOST = 0.14, 1.9, 0.25
 MIN_WORDS = 50
+#: Distinct texts that pass the base rules, from which on a language has one of the `fair_references`.
+MIN_DOCS = 20
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -87,7 +89,8 @@ def fair_references(docs: DataFrame, broadcast_copies: int = 1_000_000) -> list[
 
     Copies, texts of the same words in one language, share the weight of one document, and a reference is the mean
     of its documents' shares, so neither copies nor length weigh. At most `broadcast_copies` groups of copies are
-    broadcast to the rows; more are joined. What comes to the driver is COMMON words a language.
+    broadcast to the rows; more are joined. A language has a reference from MIN_DOCS distinct texts on, whatever its
+    share of the table. What comes to the driver is COMMON words for each of at most (distinct texts / MIN_DOCS) languages.
     """
     known = docs.filter("lang is not null and text is not null").select("lang", "text")
     copies = known.groupBy("lang", F.xxhash64(words_col("text")).alias("h")).agg(F.count("*").alias("copies")).filter("copies > 1")
@@ -102,22 +105,44 @@ def fair_references(docs: DataFrame, broadcast_copies: int = 1_000_000) -> list[
     sums = d.select("lang", F.explode(items).alias("i")).groupBy("lang", "i.kind", "i.name").agg(F.sum("i.x").alias("x"))
     n = sums.filter("kind = 'docs'").select("lang", F.col("x").alias("n"))
     # rounded, so that the order of summing decides nothing
+    n = n.filter(F.round("n", 6) >= MIN_DOCS)
     shares = stage(sums.join(F.broadcast(n), "lang").select("lang", "kind", "name", F.round(F.when(F.col("kind") == "docs", F.col("x")).otherwise(F.col("x") / F.col("n")), 9).alias("x")).filter("kind <> 'word' or x > 0.001"), "references")
     ranked = shares.withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("x"), "name"))).filter(f"kind <> 'word' or r <= {COMMON}")
     found: dict[str, dict[str, dict[str, float]]] = {}
     for r in ranked.orderBy("lang", "kind", "r").collect():
         found.setdefault(r["lang"], {}).setdefault(r["kind"], {})[r["name"]] = r["x"]
-    every = sum(f["docs"][""] for f in found.values())
-    return [{"lang": g, "words": f.get("word", {}), "chars": {c: f["class"][c] for c in [*CLASSES, "rest"]}} for g, f in found.items() if f["docs"][""] >= MIN_SHARE * every]
+    return [{"lang": g, "words": f.get("word", {}), "chars": {c: f["class"][c] for c in [*CLASSES, "rest"]}} for g, f in found.items()]
 
 
-def distance(own: Column, reference: list[float]) -> Column:
+def distance(own: Column, reference: list[float] | Column) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of a histogram, an array of shares, and a reference's shares."""
     part = lambda x, m: F.when(x > 0, x * F.log(2 * x / m)).otherwise(0.0)
-    terms = F.zip_with(own, F.array(*map(F.lit, reference)), lambda p, q: part(p, p + q) + part(q, p + q))
+    terms = F.zip_with(own, reference if isinstance(reference, Column) else F.array(*map(F.lit, reference)), lambda p, q: part(p, p + q) + part(q, p + q))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / (2 * 0.6931471805599453)))
 
 
+def compared(d: DataFrame, refs: list[dict], vocabulary: list[str]) -> DataFrame:
+    """d plus _best, as in quality_rules, with the references in a broadcast row, so that the plan does not grow with them."""
+    at = {w: i for i, w in enumerate(vocabulary)}
+    table = [([at[w] for w in r["words"]], [float(x) for x in r["words"].values()] + [max(0.0, 1 - sum(r["words"].values()))], [float(x) for x in r["chars"].values()]) for r in refs]
+    table = d.sparkSession.createDataFrame([(table, vocabulary)], "_refs array<struct<at: array<int>, words: array<double>, chars: array<double>>>, _vocabulary array<string>")
+    text, n, chars = F.coalesce(F.col("text"), F.lit("")), F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.length(F.coalesce(F.col("text"), F.lit(""))), F.lit(1))
+    d = d.crossJoin(F.broadcast(table))
+    common = F.filter("words", lambda w: (F.length(w) <= LONGEST) & F.lower(w).isin(vocabulary))
+    d = d.withColumn("_at", F.transform(common, lambda w: F.array_position("_vocabulary", F.lower(w)).cast("int")))
+    # sorted behind one mark of each number: a number's count is the distance of two marks, less one
+    d = d.withColumn("_at", F.sort_array(F.concat("_at", F.sequence(F.lit(1), F.lit(len(vocabulary) + 1)))))
+    marks = F.filter(F.transform("_at", lambda x, i: F.when((i == 0) | (F.get("_at", i - 1) != x), i)), lambda i: i.isNotNull())
+    d = d.withColumn("_start", marks)
+    d = d.withColumn("_chars", F.array(*class_counts(text, F.col("word_chars")).values())).withColumn("_chars", F.transform("_chars", lambda c: c / chars))
+    own = F.transform("_refs", lambda r: F.struct(r.alias("r"), F.transform(r["at"], lambda k: (F.get("_start", k + 1) - F.get("_start", k) - 1) / n).alias("p")))
+    d = d.withColumn("_own", own)
+    whole = lambda p: F.concat(p, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(p, F.lit(0.0), lambda a, x: a + x))))
+    d = d.withColumn("_js", F.transform("_own", lambda o: F.struct(distance(whole(o["p"]), o["r"]["words"]).alias("w"), distance(F.col("_chars"), o["r"]["chars"]).alias("c"))))
+    ways = F.transform("_js", lambda j: F.struct(F.greatest(j["w"] / (WORD_BASE + WORD_SHORT / F.sqrt(n)), j["c"] / CHAR_MOST).alias("worst"), j["w"].alias("w"), j["c"].alias("c")))
+    return d.withColumn("_best", F.array_min(ways))
+
+
 def with_base_failed(d: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -129,7 +154,8 @@ def quality_rules(docs: DataFrame, fair: bool = False) -> DataFrame:
     js_chars are those of the language that accepts the document best (null if it is too short to compare,
     or no document has a language; then the base rules alone decide). Repeated rows are judged one by one,
     an empty table gives no rows, other columns pass through. `fair` takes the references of `fair_references`;
-    without it they are those of the query's SQL, which copies and failing rows can bend.
+    without it they are those of the query's SQL, which copies and failing rows can bend. With `fair`, base rules
+    alone decide on documents whose language has no reference.
     """
     names = docs.columns
     refs = (fair_references if fair else references)(docs.select("lang", "text"))
@@ -137,7 +163,11 @@ def quality_rules(docs: DataFrame, fair: bool = False) -> DataFrame:
     vocabulary = sorted({w for r in refs for w in r["words"]})
     text = F.coalesce(F.col("text"), F.lit(""))
     d = with_base_failed(d)
-    if refs and vocabulary:
+    if refs and fair:
+        d = compared(d, refs, vocabulary)
+        own = F.col("row.lang").isNull() | F.col("row.lang").isin([r["lang"] for r in refs])
+        d = d.withColumn("_best", F.when((F.col("n_words") >= MIN_WORDS) & own, F.col("_best")))
+    elif refs and vocabulary:
         lit = F.array(*map(F.lit, vocabulary))
         # a set decides which words are common before any is looked for in the list
         common = F.filter("words", lambda w: (F.length(w) <= LONGEST) & F.lower(w).isin(vocabulary))

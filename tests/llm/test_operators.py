@@ -314,3 +314,21 @@ def test_pipeline_quality_keeps_clean_documents_beside_copies_of_junk(spark):
     for junk in ("spam " * 3000, " ".join(f"{i}# ${i}" for i in range(400))):
         rows = clean + [(1000 + i, junk, "en", "s") for i in range(30)]
         assert kept_by_pipeline(spark, rows) - {r[0] for r in rows[60:]} == {r[0] for r in clean}
+
+
+def test_pipeline_quality_does_not_hang_on_a_language_s_share(spark):
+    rng = random.Random(9)
+    many = [(i, t, "en", "s") for i, t in enumerate(prose(rng, 3200))]
+    few = [(10_000 + i, t, "fr", "s") for i, t in enumerate(prose(rng, 25, ("le", "la", "des", "et", "une", "dans")))]
+    rare = [(20_000 + i, t, "de", "s") for i, t in enumerate(prose(rng, 3, ("der", "und", "das", "nicht", "mit", "ein")))]
+    out = kept_by_pipeline(spark, many + few + rare + [(30_000, "short", "de", "s")])
+    assert {r[0] for r in few + rare} <= out and 30_000 not in out
+
+
+def test_pipeline_quality_has_no_most_languages(spark):
+    from ledgerloom.llm.quality import fair_references
+
+    rng = random.Random(7)
+    rows = [(i, t, f"l{i % 120}", "s") for i, t in enumerate(prose(rng, 120 * 20))]
+    assert len(fair_references(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))) == 120
+    assert len(kept_by_pipeline(spark, rows)) > 2300
