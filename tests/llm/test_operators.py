@@ -332,3 +332,41 @@ def test_pipeline_quality_has_no_most_languages(spark):
     rows = [(i, t, f"l{i % 120}", "s") for i, t in enumerate(prose(rng, 120 * 20))]
     assert len(fair_references(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))) == 120
     assert len(kept_by_pipeline(spark, rows)) > 2300
+
+
+def five(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_pipeline_near_dedup_against_brute_force(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    rows = []
+    for t in prose(rng, 12):
+        w = t.split()
+        for _ in range(6):
+            w = list(w)
+            for _ in range(rng.randrange(1, 3)):
+                w[rng.randrange(len(w))] = rng.choice("xyz") + str(rng.randrange(50))
+            rows.append(" ".join(w))
+    rows += [None, "", "a b", "A b", " \n"]
+    rng.shuffle(rows)
+    rows = [(i, t, "en", "s") for i, t in enumerate(rows)] + [(None, rows[0], "en", "s")]
+    own, sets, far = list(range(len(rows))), [five(r[1]) for r in rows], 0
+
+    def find(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                far += (bits(rows[i][1]) ^ bits(rows[j][1])).bit_count() > 4
+                a, b = sorted((find(i), find(j)))
+                own[b] = a
+    assert far > 10
+    out = P.near(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3), "").collect()
+    assert Counter(r.doc_id for r in out) == Counter(rows[i][0] for i in range(len(rows)) if own[i] == i)
