@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.components import connected_components, shared_dir, stage
 
-__all__ = ["connected_components", "documents", "filesystem", "numbered", "put", "shared_dir", "stage", "texts_of", "word_pattern", "words_col", "slices"]
+__all__ = ["connected_components", "create", "documents", "filesystem", "mix", "numbered", "shared_dir", "stage", "texts_of", "word_pattern", "words_col", "slices"]
 
 #: Fixed value: the words of every contract are runs of anything but ASCII white space.
 word_pattern = "[^\\x20\\x09-\\x0D]+"
@@ -32,14 +30,20 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def put(uri: str, *blobs: bytes | np.ndarray) -> None:
-    """Write a file whole: under a name of this attempt, then moved, so that a repeated task does no harm."""
+def create(uri: str) -> pa.NativeFile:
+    """A new file to write to; its folder is made if need be. Names of their own for every attempt let a repeated task do no harm."""
     fs, path = filesystem(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(own := f"{path}.{uuid.uuid4().hex}") as out:
-        for b in blobs:
-            out.write(b if isinstance(b, bytes) else b.tobytes())
-    fs.move(own, path)
+    return fs.open_output_stream(path)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Stir 64-bit integers."""
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stage, texts_of
+from ledgerloom.llm.common import mix, stage, texts_of
 from ledgerloom.llm.exchange import BLOBS, answers, marked, owner_starts, owners_for, repeated, sent
 
 ODD, ROUNDS = 0x9E3779B97F4A7C15, 5
@@ -34,15 +34,6 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK = 2_000_000
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Stir 64-bit integers."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n + 1, base, np.uint64)
     out[0] = 1
