@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import slices
@@ -32,19 +32,24 @@ def in_fold(doc_id: str, of: int, which: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % of == which, F.lit(False))
 
 
-def drawn(seed: int = 3) -> Column:
-    """A number from 0 to 1 by a hash of doc_id."""
-    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+def drawn(seed: int = 3, on: tuple[str, ...] = ("doc_id", "text")) -> Column:
+    """A number from 0 to 1 by a hash of the row."""
+    return F.pmod(F.xxhash64(*on, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int, seed: int = 3, sizes: dict | None = None) -> DataFrame:
-    """About `most` rows of each key at most, chosen by a hash of doc_id; all of a key with fewer. One count per key, unless given, comes to the driver."""
+def bounded_sample(rows: DataFrame, key: str, most: int, seed: int = 3, sizes: dict | None = None, on: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """At most `most` rows of each key, chosen by a hash of the row; all, or nearly all, of a key with fewer.
+
+    Rows that are alike are drawn alike; the rank after the draw holds the bound for them, too. One count per key,
+    unless given, comes to the driver.
+    """
     if sizes is None:
         sizes = {r[0]: r[1] for r in rows.groupBy(key).count().collect()}
     share = F.lit(0.0)
     for k, n in sizes.items():
-        share = F.when(F.col(key) == F.lit(k), F.lit(most / n)).otherwise(share)
-    return rows.filter(drawn(seed) < share)
+        share = F.when(F.col(key) == F.lit(k), F.lit(1.1 * most / n)).otherwise(share)
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(drawn(seed, on), *on))
+    return rows.filter(drawn(seed, on) < share).withColumn("_turn", turn).filter(F.col("_turn") <= most).drop("_turn")
 
 
 def vectors(texts: list[bytes], idf: np.ndarray | None = None) -> np.ndarray:
@@ -66,9 +71,15 @@ def cluster(v: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
 
 
 def fit_languages(labelled: DataFrame, per_language: int = 400, clusters: int = 4, seed: int = 5) -> dict | None:
-    """Centroids from (doc_id, text, lang): a sample of about `per_language` texts of each language, whole; None without any."""
-    sample = bounded_sample(labelled.filter("lang is not null and text is not null"), "lang", per_language).select("doc_id", "lang", "text")
-    rows = sorted((r["lang"], r["doc_id"], t) for r in sample.collect() if (t := letters(r["text"])))
+    """Centroids from (doc_id, text, lang): a sample of at most `per_language` texts of each language, whole; None without any.
+
+    Rows without a text or a language don't count, nor texts without letters; a null doc_id is as good as any.
+    Repeated rows count as often as they are drawn; ties among centroids go to the language that sorts first.
+    What comes to the driver is that sample, thus one row of the count, and `clusters` centroids, per language label.
+    """
+    sample = bounded_sample(labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang"), "lang", per_language)
+    rows = sorted((r["lang"], r["doc_id"] is None, r["doc_id"] or 0, t) for r in sample.collect() if (t := letters(r["text"])))
+    rows = [(r[0], r[2], r[3]) for r in rows]
     if not rows:
         return None
     v = np.concatenate([vectors([r[2] for r in rows[lo:hi]]) for lo, hi in slices([len(r[2]) for r in rows], 1_000_000)])
@@ -90,7 +101,8 @@ def predict_languages(docs: DataFrame, model: dict | None, reject_as: str | None
     """docs' doc_id with lang_pred, score (cosine to the nearest centroid, 0 to 1) and rejected (farther than any of its own).
 
     Null text, text without letters and a missing model give `und`, score 0 and rejected. A rejected text
-    keeps its nearest language unless `reject_as` names another label. Whole texts are read, nothing else.
+    keeps its nearest language unless `reject_as` names another label. Whole texts are read, nothing else: other
+    columns, whatever their names, are left out. A row per row, repeated ones and null ids included; none of an empty table.
     """
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

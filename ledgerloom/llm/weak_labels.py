@@ -101,9 +101,10 @@ def fit_linear(x: np.ndarray, soft: np.ndarray, ridge: float = 1e-4, rounds: int
 def weak_quality(docs: DataFrame, per_side: int = 3000, threshold: float = 0.5) -> DataFrame:
     """A row per document: doc_id, label_prob (posterior of its votes), score (0 to 1, of the trained scorer) and kept (score >= threshold).
 
-    Null text counts as empty; repeated rows score alike; an empty table gives no rows; only doc_id and text
-    are read. At most 3 ** labellers vote patterns with their counts come to the driver, and about `per_side`
-    whole texts of either side of the posterior train the scorer.
+    Null text counts as empty, null ids are kept; repeated rows score alike, and are drawn for training as often as
+    they come, within the bound; an empty table gives no rows; only doc_id and text are read, other columns, whatever
+    their names, are left out. At most 3 ** labellers vote patterns with their counts come to the driver, and at most
+    `per_side` whole texts of either side of the posterior train the scorer.
     """
     named = labellers()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -125,7 +126,7 @@ def weak_quality(docs: DataFrame, per_side: int = 3000, threshold: float = 0.5)
         sides = {side: n for side, n in sides.items() if n}
         good = F.col("votes").isin([c for c, p in post.items() if p >= 0.5])
         # rows that neither side can draw are left out before their votes are counted
-        near = voted(rows.filter(drawn() < max(per_side / n for n in sides.values())))
+        near = voted(rows.filter(drawn() < 1.1 * max(per_side / n for n in sides.values())))
         sample = bounded_sample(near.withColumn("side", good.cast("int")), "side", per_side, sizes=sides).select("doc_id", "votes", "text").collect()
         sample = sorted(sample, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["votes"]))
         if sample:
