@@ -27,7 +27,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    return quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.quality_rules(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,15 +44,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = fit_languages(docs.filter(~in_fold("doc_id", 4, 2) & F.col("doc_id").isNotNull()))
+    model = fit_languages(docs.filter(~in_fold("doc_id", 4, 2)))
     return predict_languages(docs, model).select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~in_fold("doc_id", 3, 1)).select("doc_id", "toxic")
-    model = fit_toxicity(labels.join(docs.select("doc_id", "text"), "doc_id"))
-    return score_toxicity(docs, model).select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~in_fold("doc_id", 3, 1))
+    return score_toxicity(docs, fit_toxicity(labels, docs)).select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

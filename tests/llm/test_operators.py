@@ -1,12 +1,14 @@
 """Each operator against a plain model, with nulls, blanks, repeated rows, clashing columns and empty tables."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -17,14 +19,14 @@ from ledgerloom.llm.common import shared_dir
 from ledgerloom.llm.encoding import Encoder
 from ledgerloom.llm.exact import exact_dedup
 from ledgerloom.llm.exchange import rice_decode, rice_encode
-from ledgerloom.llm.language import fit_languages, predict_languages
+from ledgerloom.llm.language import fit_languages, in_fold, predict_languages
 from ledgerloom.llm.mixing import fly, mix_sources
 from ledgerloom.llm.packing import hilbert_key, pack_on_curve
 from ledgerloom.llm.quality import quality_rules
 from ledgerloom.llm.repeats import remove_repeats
 from ledgerloom.llm.simhash import fingerprint, links, simhash_groups
 from ledgerloom.llm.token_files import read_token_files, write_token_files
-from ledgerloom.llm.toxicity import fit, fit_toxicity, score_toxicity, swapped
+from ledgerloom.llm.toxicity import fit, fit_toxicity, score_toxicity, swap_gap, swapped
 from ledgerloom.llm.weak_labels import fit_votes, weak_quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, words string, row long, key string, sha string, size long, kept string, n long"
@@ -59,12 +61,13 @@ def test_every_operator_takes_an_empty_table(spark, empty):
         assert out.count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t\r\x0b\x0c\x1c\x85\xa0 　aAbé'sß.,1𝒳<|>")), st.characters(codec="utf-8"))))
-def test_pieces_encode_like_the_whole(text):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t\r\x0b\x0c\x1c\x85\xa0\u2003\u3000aAbéÉ×÷'sß.,109𝒳<|>ÀÿĀ")), st.characters(codec="utf-8"))), max_size=5))
+def test_parts_encode_like_the_whole(texts):
     for path in (WORD, BYTE):
-        e = ENCODERS[path]
-        assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == PLAIN[path].encode(text, add_special_tokens=False).ids
+        ids, n = ENCODERS[path].encode_column(pa.array(texts, pa.string()), 7)
+        want = [[*PLAIN[path].encode(t, add_special_tokens=False).ids, 7] for t in texts]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
 
 
 ENCODERS, PLAIN = {p: Encoder(p) for p in (WORD, BYTE)}, {p: Tokenizer.from_file(p) for p in (WORD, BYTE)}
@@ -259,19 +262,61 @@ def test_language(spark):
 def test_toxicity(spark):
     rng = random.Random(6)
     plain = ["mild", "rain", "falls", "over", "hills", "today", "again", "women", "men"]
-    rows = [(i, " ".join(rng.choice(plain) for _ in range(25)) + (" utter vermin " if i % 3 == 0 else "") + (" women" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
-    model = fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
-    got = {r.doc_id: r for r in score_toxicity(spark.createDataFrame([(1, "rain over hills, vermin!"), (2, "women women rain"), (3, None), (4, "men men rain")], "doc_id long, text string"), model).collect()}
-    assert got[1].predicted == 1 and got[2].predicted == got[3].predicted == got[4].predicted == 0
+    rows = [(i, " ".join(rng.choice(plain) for _ in range(25)) + (" utter vermin " if i % 3 == 0 else "") + (" women" if i % 3 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows] + [(None, 1), (5000, 0), (3, 0), (1, None)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(*r, "x") for r in rows] + [(None, "vermin", None), (4, None, None), rows[0] + (None,)], "doc_id long, text string, toxic string")
+    model = fit_toxicity(labels, docs)
+    assert model == model and fit_toxicity(labels.filter("toxic = 0"), docs) is None and fit_toxicity(labels, docs.limit(0)) is None
+    got = {r.doc_id: r for r in score_toxicity(spark.createDataFrame([(1, "rain over hills, vermin!", 1), (2, "women women rain", 1), (3, None, 1), (4, "men men rain", 1), (None, "utter vermin " * 9000, 1)], "doc_id long, text string, score int"), model).collect()}
+    assert got[1].predicted == got[None].predicted == 1 and got[2].predicted == got[3].predicted == got[4].predicted == 0
     assert abs(got[2].score - got[4].score) < 0.2
-    assert swapped("Women and men") == "men and women"
+    assert swapped("Women and men") == "men and women" and swapped("Viele Frauen") == "Viele männer"
+
+
+def test_toxicity_draws_at_most_so_many_of_a_label(spark):
+    rows = [(i % 900, ("vermin" if i % 9 < 3 else "rain") + " falls") for i in range(3000)]
+    labels = spark.createDataFrame([(i % 900, int(i % 9 < 3)) for i in range(9000)], "doc_id long, toxic int")
+    model = fit_toxicity(labels, spark.createDataFrame(rows, "doc_id long, text string"), per_label=50)
+    assert 2 * 60 < model["pairs"] <= 2 * 100
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
+def test_toxicity_of_the_query_s_model(spark, sf):
+    """Held-out quality on the given tables, the fold rule, and that the penalty acts on the very model."""
+    if not os.path.exists(sf):
+        pytest.skip("no tables")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    train = [r for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    assert labels.filter(~in_fold("doc_id", 3, 1)).count() == len(train)
+    own, free = (fit_toxicity(labels.filter(~in_fold("doc_id", 3, 1)), docs, swap=s) for s in (5.0, 0.0))
+    assert swap_gap(own) < 0.3 * swap_gap(free) and own["pairs"] > 500
+    got = score_toxicity(docs, own).join(labels.filter(in_fold("doc_id", 3, 1)), "doc_id").collect()
+    bad = [r.predicted for r in got if r.toxic == 1]
+    assert sum(bad) >= 0.7 * len(bad) and sum(r.predicted for r in got if r.toxic == 0) <= 0.02 * len(got)
 
 
 def test_counterfactual_penalty_shrinks_the_swap_gap():
     x = np.array([[1, 1, 0], [1, 1, 0], [0, 0, 1], [0, 0, 1]], np.float32)
-    other, y = x[:, [0, 2, 1]], np.array([1, 1, 0, 0], float)
+    d, y = x - x[:, [0, 2, 1]], np.array([1, 1, 0, 0], float)
     gap = lambda w: abs(w[1] - w[2])
-    assert gap(fit(x, other, y, swap=5)) < 0.2 * gap(fit(x, other, y, swap=0))
+    assert gap(fit(x, d.T @ d / 4, y, swap=5)) < 0.2 * gap(fit(x, d.T @ d / 4, y, swap=0))
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
+def test_languages_held_out(spark, sf):
+    if not os.path.exists(sf):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = fit_languages(docs.filter(~in_fold("doc_id", 4, 2)))
+    got = predict_languages(docs.filter(in_fold("doc_id", 4, 2)).withColumnRenamed("lang", "rejected"), model).join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 200 and sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+
+
+def test_language_takes_null_ids_and_repeated_rows(spark):
+    rows = [(None, "the and of", "en"), (1, "le des une", "fr"), (None, "the of", "en"), (1, "le des une", "fr"), (2, None, "fr"), (3, "x", None)]
+    model = fit_languages(spark.createDataFrame(rows * 30, "doc_id long, text string, lang string"), per_language=5)
+    out = predict_languages(spark.createDataFrame(rows * 2, "doc_id long, text string, score string"), model)
+    assert out.columns == ["doc_id", "lang_pred", "score", "rejected"] and out.count() == 12
 
 
 def test_votes_find_the_good_labeller():
@@ -326,11 +371,8 @@ def test_pipeline_quality_does_not_hang_on_a_language_s_share(spark):
 
 
 def test_pipeline_quality_has_no_most_languages(spark):
-    from ledgerloom.llm.quality import fair_references
-
     rng = random.Random(7)
     rows = [(i, t, f"l{i % 120}", "s") for i, t in enumerate(prose(rng, 120 * 20))]
-    assert len(fair_references(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))) == 120
     assert len(kept_by_pipeline(spark, rows)) > 2300
 
 
