@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from collections.abc import Callable
+from functools import cache, reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Endings dropped from a company name, once each, in this order.
 SUFFIXES = ["pte ltd", "pte. ltd.", "pte ltd.", "ltd", "ltd.", "limited", "inc", "inc.", "corp", "corp.", "corporation", "holdings", "group", "singapore", "bank", "international"]
-#: Accented letters and what they fold to.
-FOLD = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
+#: Trailing words that only qualify a name, dropped after the endings, once each, in this order.
+DESCRIPTORS = ["platforms", "asia pacific", "stores", "store", "patisserie", "cafe", "restaurant", "bakery", "bar and grill", "bistro", "eatery", "kitchen", "studio"]
+#: Aliases where no table is given.
+ALIASES = {"dbs bank": "DBS", "sea limited": "Sea", "yeo's": "Yeo Hiap Seng", "ninja van": "Ninja Van"}
+#: Words that name no company by themselves.
+GENERIC = ["the", "and", "group", "asia", "sea", "singapore", "pacific", "global", "inc", "corp", "ltd", "limited", "holdings"]
 #: Industry spellings.
 INDUSTRY_OF = {
     "tech": "Tech", "technology": "Tech", "it": "Tech", "information technology": "Tech", "software": "Tech", "ecommerce": "Tech", "e-commerce": "Tech",
@@ -27,19 +35,31 @@ def strip_chain(c: Column, *steps: tuple[str, str]) -> Column:
     return reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, c)
 
 
+def without_marks(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFD", t) if not "\u0300" <= c <= "\u036f"))
+
+
+@cache
+def unaccented() -> Callable[[Column], Column]:
+    """Letters without their combining marks, by canonical decomposition; Spark has no function for it."""
+    return F.pandas_udf(without_marks, StringType())
+
+
 def fold(c: Column) -> Column:
     """Accents dropped, apostrophes straightened, a spaced ampersand spelled out, spaces collapsed."""
-    return F.trim(strip_chain(F.translate(F.translate(c, FOLD[0], FOLD[1]), "‘’ʼ", "'''"), ("[\\u0300-\\u036f]", ""), (r"(?U)\s&\s", " and "), (r"(?U)\s+", " ")))
+    return F.trim(strip_chain(F.translate(unaccented()(c), "‘’ʼ", "'''"), (r"(?U)\s&\s", " and "), (r"(?U)\s+", " ")))
 
 
 def normalize_company(raw: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Canonical company name: alias, else without brackets, endings and closing punctuation, in title case."""
+    """Canonical company name: alias, else without brackets, endings, descriptors and closing punctuation, in title case.
+
+    Costs a Python pass and some thirty patterns; `with_company_key` spends them on distinct names only.
+    """
     name = fold(raw)
-    bare = F.trim(F.regexp_replace(name, r"\s*\([^)]*\)\s*\z", ""))
-    bare = F.when(bare == "", name).otherwise(bare)
-    short = strip_chain(bare, *((rf"(?i)\s+{s.replace('.', chr(92) + '.')}\z", "") for s in SUFFIXES))
-    short = F.initcap(F.trim(F.regexp_replace(short, r"[,;.]\z", "")))
-    out = F.when(F.coalesce(short, F.lit("")) == "", F.trim(raw)).otherwise(short)
+    bare = F.coalesce(F.nullif(F.trim(F.regexp_replace(name, r"\s*\([^)]*\)\s*\z", "")), F.lit("")), name)
+    endings = [(rf"(?i)\s+{s.replace('.', chr(92) + '.')}\z", "") for s in SUFFIXES] + [(rf"(?i)\s+{d}\s*\z", "") for d in DESCRIPTORS]
+    short = F.initcap(F.trim(F.regexp_replace(strip_chain(bare, *endings), r"[,;.]\z", "")))
+    out = F.coalesce(F.nullif(short, F.lit("")), F.trim(raw))
     if aliases:
         known = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))
         out = F.coalesce(F.element_at(known, F.lower(name)), F.element_at(known, F.lower(bare)), out)
@@ -50,9 +70,15 @@ def company_key(raw: Column, aliases: dict[str, str] | None = None) -> Column:
     return F.lower(F.trim(normalize_company(F.coalesce(raw, F.lit("")), aliases)))
 
 
-def event_id_for(company: Column, date: Column) -> Column:
-    """slug-YYYY-MM, with `event` and `unknown` for what is missing."""
-    slug = strip_chain(company_key(company), ("[^a-z0-9]+", "-"), (r"^-+|-+\z", ""))
+def with_company_key(df: DataFrame, out: str = "k", company: str = "company", aliases: dict[str, str] | None = None) -> DataFrame:
+    """df with the company key, worked out once per distinct name and joined back; null counts as blank."""
+    names = df.select(F.coalesce(company, F.lit("")).alias("_name")).distinct().withColumn(out, company_key(F.col("_name"), aliases))
+    return df.withColumn("_name", F.coalesce(company, F.lit(""))).join(names, "_name").drop("_name")
+
+
+def event_id_for(key: Column, date: Column) -> Column:
+    """slug-YYYY-MM of a company key, with `event` and `unknown` for what is missing."""
+    slug = strip_chain(key, ("[^a-z0-9]+", "-"), (r"^-+|-+\z", ""))
     return F.concat(F.when(slug == "", "event").otherwise(slug), F.lit("-"), F.coalesce(F.nullif(F.substring(date, 1, 7), F.lit("")), F.lit("unknown")))
 
 
@@ -90,6 +116,69 @@ def iso_date(c: Column) -> Column:
     return F.when(c.rlike(ISO), F.try_to_date(c, "yyyy-MM-dd"))
 
 
+#: What a date may look like once commas are gone and words begin with capitals.
+DATE_FORMS = ["d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "yyyy/M/d", "M/d/yyyy", "yyyy-M-d"]
+STAMP_FORMS = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z"]
+
+
+def parse_date(raw: Column) -> Column:
+    """YYYY-MM-DD text of a date in any of the known forms, in UTC; null for anything else."""
+    text = F.trim(raw)
+    loose = F.trim(strip_chain(text, (",", ""), (r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\s+", ""), (r"\s+", " ")))
+    named = F.regexp_replace(F.initcap(loose), r"(?i)\b(gmt|utc)\z", "GMT")
+    days = [F.try_to_timestamp(named, F.lit(f)) for f in DATE_FORMS] + [F.try_to_timestamp(x, F.lit(f)) for f in STAMP_FORMS for x in (named if " z" in f or " Z" in f else loose,)]
+    return F.when(text.rlike(ISO), text).otherwise(F.date_format(F.coalesce(*days), "yyyy-MM-dd"))
+
+
+def guess_company(title: Column) -> Column:
+    """The name before a headline's first layoff verb."""
+    return normalize_company(F.coalesce(F.nullif(F.element_at(F.split(title, r"(?i)cuts?|lays? off|retrench|sheds?", 2), 1), F.lit("")), title))
+
+
+def wayback_url(stamp: Column, url: Column) -> Column:
+    return F.concat(F.lit("https://web.archive.org/web/"), stamp, F.lit("/"), url)
+
+
+def append_evidence(notes: Column, url: Column) -> Column:
+    """notes with the address of the evidence, once."""
+    base, link = F.trim(F.coalesce(notes, F.lit(""))), F.coalesce(url, F.lit(""))
+    return F.when((link == "") | base.contains(link), base).otherwise(F.concat(F.when(base != "", F.concat(base, F.lit(" | "))).otherwise(""), F.lit("Evidence: "), link))
+
+
+def map_industry(raw: Column) -> Column:
+    return F.when(F.coalesce(raw, F.lit("")) == "", "Other").otherwise(normalize_industry(F.translate(raw, "_", " ")))
+
+
+def month_label(month: Column) -> Column:
+    """`Mon YY` of YYYY-MM."""
+    return F.concat(F.date_format(F.to_date(F.concat(month, F.lit("-01"))), "MMM"), F.lit(" "), F.substring(month, 3, 2))
+
+
+def quarter_heading(quarter: Column) -> Column:
+    """`Qn YYYY` of YYYY-Qn."""
+    return F.concat_ws(" ", F.substring_index(quarter, "-", -1), F.substring_index(quarter, "-", 1))
+
+
+#: What tells a layoff story.
+LAYOFF_TERMS = ["layoff", "laid off", "job cut", "jobs cut", "retrench", "redundanc", "restructur", "downsiz", "workforce reduction", "headcount", "sheds jobs", "cuts jobs"]
+
+
+def is_relevant(title: Column, snippet: Column) -> Column:
+    return F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(snippet, F.lit("")))).rlike("|".join(LAYOFF_TERMS))
+
+
+def host_is_excluded(url: Column, excluded: list[str]) -> Column:
+    """Whether the host is one of these domains or below one; addresses that can't be read pass."""
+    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+    return F.coalesce(reduce(lambda a, b: a | b, ((host == d) | host.endswith(f".{d}") for d in excluded), F.lit(False)), F.lit(False))
+
+
+def match_text(company: Column, url: Column) -> Column:
+    """What the rules read: the headline and the words of the address's path."""
+    path = strip_chain(F.coalesce(url, F.lit("")), (r"^https?://[^/]+", ""), (r"(?s)[?#].*\z", ""), (r"[-_/.]", " "))
+    return F.concat(F.coalesce(company, F.lit("")), F.lit(" "), path)
+
+
 def normalize_industry(raw: Column) -> Column:
     low = F.lower(F.trim(raw))
     known = F.element_at(F.create_map(*(F.lit(x) for kv in INDUSTRY_OF.items() for x in kv)), low)
@@ -122,12 +211,12 @@ def share_number(text: Column) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in SHARES)).try_cast("double")
 
 
-def row_quality(e: str = "") -> Column:
-    """+3 confirmed, +2 a head count other than zero (local first), +1 a share, +2 archived, +1 a direct link."""
-    c = lambda n: F.col(e + n)
+def row_quality(e: str = "", fields: dict[str, Column] | None = None) -> Column:
+    """+3 confirmed, +2 a head count other than zero (local first), +1 a share other than zero, +2 archived, +1 a direct link."""
+    c = lambda n: (fields or {}).get(n, F.col(e + n))
     on = lambda x, n: F.when(F.coalesce(x, F.lit(False)), n).otherwise(0)
     link = F.coalesce(c("source_link"), F.lit(""))
     return (
-        on(c("status") == "confirmed", 3) + on(F.coalesce(c("jobs_cut_sg"), c("jobs_cut_global")) != 0, 2) + on(c("pct_workforce").isNotNull(), 1)
+        on(c("status") == "confirmed", 3) + on(F.coalesce(c("jobs_cut_sg"), c("jobs_cut_global")) != 0, 2) + on(c("pct_workforce") != 0, 1)
         + on(link.contains("web.archive.org"), 2) + on((link != "") & ~link.contains("news.google.com"), 1)
     )

@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.rules import EVENT_RULES, REJECTED_KINDS
+from ledgerloom.functions.text import match_text, row_quality
+from ledgerloom.operators.integrity import HEDGE, VAGUE
+
 
 def first_match(text: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:
     """The outcome of the first (pattern, outcome) that is found; the order of rules decides."""
@@ -20,6 +24,72 @@ def contains_any(text: Column, parts: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, parts)), lambda p: text.contains(p))
 
 
+def event_rule(text: Column, rules: list[tuple] = EVENT_RULES) -> Column:
+    """struct(company, industry, verdict, notes) of the first rule that is found, null without any."""
+    first = F.coalesce(*(F.when(text.rlike(f"(?i){r[0]}"), F.lit(i)) for i, r in enumerate(rules)), F.lit(None).cast("int"))
+    table = F.array(*(F.struct(*(F.lit(x).cast("string").alias(n) for n, x in zip(("company", "industry", "verdict", "notes"), r[1:], strict=True))) for r in rules))
+    return F.get(table, first)
+
+
+def triage(candidates: DataFrame, reject: list[str], rules: list[tuple] = EVENT_RULES, overrides: DataFrame | None = None) -> DataFrame:
+    """candidates (row_idx, company, source_link, ...) with rule (struct), verdict, route and reason, before any comparison with others.
+
+    A manual override (row_idx, override) decides, else the first event rule, else a phrase that marks commentary, else the queue.
+    """
+    text = match_text(F.col("company"), F.col("source_link"))
+    d = candidates.withColumn("rule", event_rule(text, rules))
+    d = d.join(overrides, "row_idx", "left") if overrides is not None else d.withColumn("override", F.lit(None).cast("string"))
+    d = d.withColumn("rule", F.when(F.col("override").isNull(), F.col("rule")))
+    manual, low = F.col("override").isNotNull(), F.lower(text)
+    no = F.lit(False) if not reject else contains_any(low, [p.lower() for p in reject])
+    d = d.withColumn("verdict", F.coalesce("override", "rule.verdict", F.when(no, "rejected"), F.lit("queue")))
+    reason = F.when(manual, "manual override").when(F.col("rule").isNotNull(), "event rule").when(F.col("verdict") == "rejected", "commentary, statistics or policy").otherwise("unclassified")
+    return d.withColumn("route", F.when(manual, "manual").otherwise("rule")).withColumn("reason", reason).drop("override")
+
+
+def canonical_score() -> Column:
+    """Which candidate of a cluster stands for it: an event rule above all, then the quality of what a candidate has (jobs_cut, source_link), then a working address."""
+    q = row_quality(fields={"status": F.lit(None).cast("string"), "jobs_cut_sg": F.col("jobs_cut"), "jobs_cut_global": F.lit(None).cast("double"), "pct_workforce": F.lit(None).cast("double")})
+    return q * 10 + F.when(F.col("rule_matched"), 1000).otherwise(0) + F.when(F.col("broken_url"), 0).otherwise(1)
+
+
+def routed(rows: DataFrame) -> dict[str, DataFrame]:
+    """The four outputs of rows with final_verdict."""
+    return {v: rows.filter(F.col("final_verdict") == v) for v in ("confirmed", "rumored", "rejected", "queue")}
+
+
+def rejected_kind(kinds: list[tuple[str, str, tuple[str, ...]]] = REJECTED_KINDS) -> Column:
+    """The first kind of rejection that company, source_link and notes show, else `other`."""
+    at = lambda columns: F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in columns))
+    return F.coalesce(*(F.when(at(columns).rlike(f"(?i){p}"), name) for name, p, columns in kinds), F.lit("other"))
+
+
+def polluted_accept() -> Column:
+    """Accepted rows that no evaluation should count: a vague company, or confirmed with hedged notes."""
+    return F.coalesce(F.col("company").rlike(VAGUE), F.lit(False)) | ((F.col("status") == "confirmed") & F.coalesce(F.col("notes").rlike(HEDGE), F.lit(False)))
+
+
+def reject_pool(rejected: DataFrame) -> DataFrame:
+    """Rejected rows fit for evaluation: with a company and an address, and not rejected as duplicates."""
+    return rejected.filter("coalesce(company, '') <> '' and coalesce(source_link, '') <> ''").filter(~F.coalesce("notes", F.lit("")).rlike("(?i)duplicate"))
+
+
+def tier_metrics(rows: DataFrame) -> DataFrame:
+    """One row of (expected_verdict, verdict, global_figure, headcount_scope, expected_scope) cases: right verdicts, tiers, and how scopes were kept apart. No accepted pair counts as a tier match of 1."""
+    yes = lambda c: F.col(c).isin("confirmed", "rumored")
+    same, both = F.col("verdict") == F.col("expected_verdict"), yes("verdict") & yes("expected_verdict")
+    pair = lambda e, v: F.count_if(both & (F.col("expected_verdict") == e) & (F.col("verdict") == v))
+    ratio = lambda n, d, empty: F.coalesce(F.try_divide(n, d), F.lit(empty))
+    is_global = F.coalesce(F.col("global_figure"), F.lit(False))
+    return rows.agg(
+        F.count("*").alias("cases"), ratio(F.count_if(same), F.count("*"), 0.0).alias("verdict_accuracy"), ratio(F.count_if(yes("verdict") == yes("expected_verdict")), F.count("*"), 0.0).alias("accept_accuracy"),
+        F.count_if(both).alias("tier_cases"), ratio(F.count_if(both & same), F.count_if(both), 1.0).alias("tier_match"), pair("rumored", "confirmed").alias("over_confident"), pair("confirmed", "rumored").alias("under_confident"),
+        F.count_if(is_global).alias("global_cases"), F.count_if(is_global & (F.col("verdict") == "confirmed") & (F.col("headcount_scope") == "singapore")).alias("scope_leaks"),
+        F.count_if(is_global & F.col("headcount_scope").isin("global", "partial")).alias("scope_recognised"), F.count_if(F.col("expected_scope").isNotNull()).alias("scope_labelled"),
+        F.count_if(F.col("expected_scope") == F.col("headcount_scope")).alias("scope_exact"),
+    )
+
+
 def pre_classify(rows: DataFrame, text: Column, rules: list[tuple[str, str]], reject: list[str], overrides: DataFrame | None = None) -> DataFrame:
     """rows with verdict and route: a manual override (row_idx, override), else an event rule, else rejection, else the queue."""
     verdict = F.coalesce(first_match(text, rules), F.when(contains_any(text, reject), "rejected"), F.lit("queue"))
@@ -73,8 +143,8 @@ def confusion(rows: DataFrame, truth: str, guess: str, *by: str) -> DataFrame:
 
 def stratified(rows: DataFrame, category: str, key: str, n: int, seed: int = 1234) -> DataFrame:
     """floor(n / categories) rows of each category, at least one, by a seeded order; filled up from the rest and cut at n."""
-    kinds = rows.select(category).distinct().agg(F.count("*").alias("_kinds"))
-    d = rows.join(F.broadcast(kinds)).withColumn("_o", F.xxhash64(key, F.lit(seed)))
-    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(category).orderBy("_o", key)))
-    own = F.col("_r") <= F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_kinds")))
-    return d.orderBy(F.desc(own), "_o", key).limit(n).drop("_kinds", "_o", "_r")
+    kinds = rows.select(category).distinct().count()
+    d = rows.withColumn("_o", F.xxhash64(key, F.lit(seed)))
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(category).orderBy("_o", key))).filter(F.col("_r") <= n)
+    own = F.col("_r") <= max(1, n // max(1, kinds))
+    return d.orderBy(F.desc(own), "_o", key).limit(n).drop("_o", "_r")

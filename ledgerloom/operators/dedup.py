@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import company_key, gn_fingerprint, normalize_url, title_fingerprint
+from ledgerloom.functions.text import gn_fingerprint, normalize_url, title_fingerprint, with_company_key
+from ledgerloom.operators.components import stage
 
 
 def first_by(df: DataFrame, key: Column, order: str = "row_idx") -> DataFrame:
@@ -26,8 +27,8 @@ def dedup_rejected(rejected: DataFrame) -> DataFrame:
 
 def keyed(e: DataFrame) -> DataFrame:
     """Entries with the four keys of the index."""
-    k = company_key(F.col("company"))
-    return e.withColumns({"url_key": normalize_url(F.col("source_link")), "gn_key": gn_fingerprint(F.col("notes")), "date_key": F.concat(k, F.lit("||"), "date_announced"), "month_key": F.concat(k, F.lit("|"), F.substring("date_announced", 1, 7))})
+    k = F.col("k_")
+    return with_company_key(e, "k_").withColumns({"url_key": normalize_url(F.col("source_link")), "gn_key": gn_fingerprint(F.col("notes")), "date_key": F.concat(k, F.lit("||"), "date_announced"), "month_key": F.concat(k, F.lit("|"), F.substring("date_announced", 1, 7))}).drop("k_")
 
 
 def flag(df: DataFrame, key: str, known: list[DataFrame], name: str, when: Column | None = None) -> DataFrame:
@@ -43,11 +44,18 @@ def flag(df: DataFrame, key: str, known: list[DataFrame], name: str, when: Colum
 def check_candidates(candidates: DataFrame, ledger: DataFrame, queue: DataFrame, rejected: DataFrame) -> DataFrame:
     """verdict of each candidate: duplicate by address (all tables), title fingerprint (queue, rejected) or company and
     date for wrapped news links (all tables); potential-duplicate by company and month (ledger, queue); else new."""
-    c, a, q, r = (keyed(x) for x in (candidates, ledger, queue, rejected))
-    c = flag(c, "url_key", [a, q, r], "by_url")
-    c = flag(c, "gn_key", [q, r], "by_gn")
-    c = flag(c, "date_key", [a, q, r], "by_date", F.coalesce("source_link", F.lit("")).contains("news.google.com"))
-    c = flag(c, "month_key", [a, q], "by_month")
+    own = ["company", "date_announced", "source_link", "notes"]
+    known = None
+    for part, x in (("ledger", ledger), ("queue", queue), ("rejected", rejected)):
+        x = x.select(*own, F.lit(part).alias("part"))
+        known = x if known is None else known.unionByName(x)
+    # the keys of all known rows, worked out in one pass and written once
+    known = stage(keyed(known).select("part", "url_key", "gn_key", "date_key", "month_key"), "known")
+    of = lambda *parts: [known.filter(F.col("part").isin(*parts))]
+    c = flag(keyed(candidates), "url_key", of("ledger", "queue", "rejected"), "by_url")
+    c = flag(c, "gn_key", of("queue", "rejected"), "by_gn")
+    c = flag(c, "date_key", of("ledger", "queue", "rejected"), "by_date", F.coalesce("source_link", F.lit("")).contains("news.google.com"))
+    c = flag(c, "month_key", of("ledger", "queue"), "by_month")
     return c.withColumn("verdict", F.when(F.col("by_url") | F.col("by_gn") | F.col("by_date"), "duplicate").when(F.col("by_month"), "potential-duplicate").otherwise("new"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import INDUSTRIES, ISO, company_key, gn_fingerprint, iso_date, normalize_url
+from ledgerloom.functions.text import INDUSTRIES, ISO, gn_fingerprint, iso_date, normalize_url, with_company_key
 
 STATUSES = ["rumored", "confirmed", "reference", "denied", "expired"]
 #: Wording that the row rules look for, and hosts that need no archive.
@@ -16,6 +16,15 @@ REPUTABLE = [
     "straitstimes.com", "channelnewsasia.com", "businesstimes.com.sg", "todayonline.com", "mothership.sg", "vulcanpost.com", "reuters.com", "bloomberg.com", "ft.com", "theonlinecitizen.com", "asiaone.com",
     "hrsea.economictimes.indiatimes.com", "fintechnews.sg", "stomp.sg", "ntuc.org.sg", "webintravel.com", "sg.finance.yahoo.com", "36kr.com", "news.google.com", "citywire.com", "law.asia",
 ]
+#: Words that recur across unrelated events and names.
+STOPWORDS = """singapore singaporean singaporeans company companies staff employee employees worker workers jobs role roles layoff layoffs retrench retrenched retrenchment
+ cuts cut cutting closure close closing closed shut shuts cease ceased ceases business businesses report reported reports article confirmed rumored event events loss losses losing
+ affected affecting operations office offices store stores outlet outlets workforce headcount restructuring reorganising announced announces announce plans planned future implying
+ implies imply result resulting results source credible news coffee shop shops stall stalls vendor vendors canteen restaurant eatery hawker lease operator operators vacate renew
+ renewal month months located nexus classified rules given their that this with from have been will more than over also into part amid about were told move moving forced making
+ per not and the unnamed undisclosed specified provided identifiable snippet bank banks group holding holdings global international platforms technologies technology services
+ solutions capital ventures labs studios digital mobile house centre center asia pacific financial systems media partners industries patisserie cafe studio""".split()
+SUPERSEDED_DAYS, DOUBLE_DAYS, SAME_EVENT_DAYS = 30, 31, 21
 ARCHIVES = ["web.archive.org", "archive.ph", "archive.is"]
 
 
@@ -40,33 +49,55 @@ def validate_rows(e: DataFrame, industries: list[str] | None = None) -> DataFram
     return e.select((F.col("row_idx") + 1).alias("row"), F.explode(found).alias("field"))
 
 
-def advisories(e: DataFrame, today: str) -> DataFrame:
-    """(row, type) of the row advisories: future date, vague company, hedged or global wording, unarchived source."""
+def advisory_types(today: str) -> Column:
+    """The row advisories that an entry raises: future date, vague company, hedged or global wording, unarchived source."""
     sure, notes, link = F.col("status") == "confirmed", F.coalesce("notes", F.lit("")), F.coalesce("source_link", F.lit(""))
     rules = {
         "future-date": F.col("date_announced").rlike(ISO) & (F.col("date_announced") > today), "vague-company": sure & F.col("company").rlike(VAGUE), "contradictory-verdict": sure & notes.rlike(HEDGE),
         "global-figure": sure & (F.col("jobs_cut_sg") >= 1000) & notes.rlike(GLOBAL), "unarchived-confirmed": sure & ~((link != "") & any_of(link, ARCHIVES + REPUTABLE)),
     }
-    return e.select((F.col("row_idx") + 1).alias("row"), F.explode(F.array_compact(F.array(*(F.when(c, F.lit(t)) for t, c in rules.items())))).alias("type"))
+    return F.array_compact(F.array(*(F.when(c, F.lit(t)) for t, c in rules.items())))
+
+
+def advisories(e: DataFrame, today: str) -> DataFrame:
+    """(row, type) of the row advisories."""
+    return e.select((F.col("row_idx") + 1).alias("row"), F.explode(advisory_types(today)).alias("type"))
+
 
+def with_keys(e: DataFrame) -> DataFrame:
+    """Entries with k, event and d, as the pair rules need them."""
+    return with_company_key(e, "k").withColumns({"event": event_or_row(), "d": iso_date(F.col("date_announced"))})
 
-def same_company_pairs(e: DataFrame, days: int = 31) -> DataFrame:
-    """(type, row_a, row_b, event_a, event_b, gap) of rows of one company with different events, at most `days` apart.
+
+SIDES = ["row", "event", "status", "company", "d"]
+
+
+def same_company(e: DataFrame, days: int = DOUBLE_DAYS) -> DataFrame:
+    """Pairs, the earlier side first, of rows (row_idx, k, event, status, company, d) of one company with different events, at most `days` apart, with gap.
 
     Dates are bucketed by `days`, so the join stays an equi-join on company and neighbouring buckets.
     """
-    n = e.select(company_key(F.col("company")).alias("k"), "row_idx", event_or_row().alias("event"), "status", iso_date(F.col("date_announced")).alias("d")).filter("d is not null")
+    n = e.filter("d is not null").select("k", F.col("row_idx").alias("row"), "event", "status", "company", "d")
     bucket = F.floor(F.unix_date("d") / (days + 1))
-    a = n.select("k", bucket.alias("bucket"), *(F.col(c).alias(f"{c}_a") for c in ("row_idx", "event", "status", "d")))
-    b = n.select("k", F.explode(F.array(bucket, bucket - 1)).alias("bucket"), *(F.col(c).alias(f"{c}_b") for c in ("row_idx", "event", "status", "d")))
-    later = F.struct("d_b", "row_idx_b") > F.struct("d_a", "row_idx_a")
-    p = a.join(b, ["k", "bucket"]).filter(later & (F.col("event_a") != F.col("event_b"))).withColumn("gap", F.datediff("d_b", "d_a")).filter(F.col("gap") <= days)
+    a = n.select("k", bucket.alias("bucket"), *(F.col(c).alias(f"{c}_a") for c in SIDES))
+    b = n.select("k", F.explode(F.array(bucket, bucket - 1)).alias("bucket"), *(F.col(c).alias(f"{c}_b") for c in SIDES))
+    later = F.struct("d_b", "row_b") > F.struct("d_a", "row_a")
+    return a.join(b, ["k", "bucket"]).filter(later & (F.col("event_a") != F.col("event_b"))).withColumn("gap", F.datediff("d_b", "d_a")).filter(F.col("gap") <= days)
+
+
+def pair_kinds(pairs: DataFrame) -> DataFrame:
+    """pairs with a row per type of finding: duplicate, double-count, superseded-rumor."""
     both = (F.col("status_a") == "confirmed") & (F.col("status_b") == "confirmed")
     kinds = F.array_compact(F.array(
-        F.when(F.col("gap") == 0, F.lit("duplicate")), F.when(both & F.col("gap").between(1, 31), F.lit("double-count")),
-        F.when((F.col("status_a") == "rumored") & (F.col("status_b") == "confirmed"), F.lit("superseded-rumor")),
+        F.when(F.col("gap") == 0, F.lit("duplicate")), F.when(both & F.col("gap").between(1, DOUBLE_DAYS), F.lit("double-count")),
+        F.when((F.col("status_a") == "rumored") & (F.col("status_b") == "confirmed") & (F.col("gap") <= SUPERSEDED_DAYS), F.lit("superseded-rumor")),
     ))
-    return p.select(F.explode(kinds).alias("type"), F.col("row_idx_a").alias("row_a"), F.col("row_idx_b").alias("row_b"), "event_a", "event_b", "gap")
+    return pairs.withColumn("type", F.explode(kinds))
+
+
+def same_company_pairs(e: DataFrame) -> DataFrame:
+    """(type, row_a, row_b, event_a, event_b, gap) of the findings among rows of one company."""
+    return pair_kinds(same_company(with_keys(e))).select("type", "row_a", "row_b", "event_a", "event_b", "gap")
 
 
 def pair_groups(pairs: DataFrame) -> DataFrame:
@@ -82,17 +113,23 @@ def significant_tokens(c: Column, stopwords: list[str]) -> Column:
     return F.array_except(F.array_distinct(found), F.array(*map(F.lit, stopwords)))
 
 
-def cross_name(e: DataFrame, text: Column, stopwords: list[str], days: int = 21, rare: int = 5) -> DataFrame:
-    """(row_a, row_b, gap, tokens): rows of one industry, different company and event, near in time, sharing a token of at most `rare` rows.
+def cross_name_pairs(e: DataFrame, stopwords: list[str] = STOPWORDS, days: int = SAME_EVENT_DAYS, rare: int = 5) -> DataFrame:
+    """Pairs, by row, of rows (row_idx, k, event, status, company, industry, d) of one industry, different company and event, near in time, that share a token of at most `rare` rows; with gap and tokens.
 
-    Tokens too common are dropped before the join, so a token pairs at most `rare` rows.
+    Tokens are counted over all rows; too common ones are dropped before the join, so a token pairs at most `rare` rows.
     """
-    n = e.filter("status <> 'reference'").select("row_idx", company_key(F.col("company")).alias("k"), event_or_row().alias("event"), "industry", iso_date(F.col("date_announced")).alias("d"), F.explode(significant_tokens(text, stopwords)).alias("token")).filter("d is not null")
+    n = e.select(F.col("row_idx").alias("row"), "k", "event", "status", "company", "industry", "d", F.explode(significant_tokens(F.col("company"), stopwords)).alias("token"))
     seen = n.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df").between(2, rare)).select("token")
-    n = n.join(seen, "token")
-    a, b = (n.select("token", "industry", *(F.col(c).alias(f"{c}_{s}") for c in ("row_idx", "k", "event", "d"))) for s in "ab")
-    p = a.join(b, ["token", "industry"]).filter("row_idx_a < row_idx_b and k_a <> k_b and event_a <> event_b").withColumn("gap", F.abs(F.datediff("d_a", "d_b"))).filter(F.col("gap") <= days)
-    return p.groupBy(F.col("row_idx_a").alias("row_a"), F.col("row_idx_b").alias("row_b"), "gap").agg(F.array_join(F.array_sort(F.collect_set("token")), ",").alias("tokens"))
+    n = n.join(seen, "token").filter("status is distinct from 'reference' and d is not null")
+    a, b = (n.select("token", "industry", *(F.col(c).alias(f"{c}_{s}") for c in [*SIDES, "k"])) for s in "ab")
+    p = a.join(b, ["token", "industry"]).filter("row_a < row_b and k_a <> k_b and event_a <> event_b").withColumn("gap", F.abs(F.datediff("d_a", "d_b"))).filter(F.col("gap") <= days)
+    return p.groupBy("row_a", "row_b", "event_a", "event_b", "company_a", "company_b", "d_a", "gap").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+
+
+def cross_name(e: DataFrame, stopwords: list[str] = STOPWORDS) -> DataFrame:
+    """(row_a, row_b, gap, tokens joined, type) of the findings across names."""
+    kind = F.when(F.col("gap") == 0, "same-day-same-event").otherwise("possible-same-event")
+    return cross_name_pairs(with_keys(e), stopwords).select("row_a", "row_b", "gap", F.array_join("tokens", ",").alias("tokens"), kind.alias("type"))
 
 
 def name_splits(keys: DataFrame, key: str = "k", allowed: DataFrame | None = None) -> DataFrame:
@@ -109,10 +146,15 @@ def duplicate_sources(e: DataFrame) -> DataFrame:
     return n.groupBy("url").agg(F.count("*").alias("n_rows"), rows.alias("rows")).filter("n_rows > 1")
 
 
-def cross_file(active: DataFrame, rejected: DataFrame) -> DataFrame:
-    """(row, rejected_row): active rows whose address, else title fingerprint, was rejected (other than as a duplicate); the first rejected row wins."""
+def rejected_keys(rejected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(url, by_url) and (gn, by_gn): the first rejected row of each key, but for rows rejected as duplicates."""
     r = rejected.filter(~F.coalesce("notes", F.lit("")).rlike("(?i)duplicate"))
     urls = r.groupBy(normalize_url(F.col("source_link")).alias("url")).agg(F.min("row_idx").alias("by_url")).filter("url <> ''")
-    marks = r.groupBy(gn_fingerprint(F.col("notes")).alias("gn")).agg(F.min("row_idx").alias("by_gn")).filter("gn is not null")
+    return urls, r.groupBy(gn_fingerprint(F.col("notes")).alias("gn")).agg(F.min("row_idx").alias("by_gn")).filter("gn is not null")
+
+
+def cross_file(active: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(row, rejected_row): active rows whose address, else title fingerprint, was rejected (other than as a duplicate); the first rejected row wins."""
+    urls, marks = rejected_keys(rejected)
     a = active.select("row_idx", normalize_url(F.col("source_link")).alias("url"), gn_fingerprint(F.col("notes")).alias("gn"))
     return a.join(urls, "url", "left").join(marks, "gn", "left").select((F.col("row_idx") + 1).alias("row"), (F.coalesce("by_url", "by_gn") + 1).alias("rejected_row")).filter("rejected_row is not null")

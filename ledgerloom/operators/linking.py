@@ -6,30 +6,96 @@ from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import company_key, gn_fingerprint, iso_date, month_base, normalize_url, row_quality
+from ledgerloom.functions.text import GENERIC, gn_fingerprint, iso_date, month_base, normalize_url, row_quality, strip_chain, with_company_key
 from ledgerloom.operators.components import connected_components, stage
 
-LINK_DAYS, CLUSTER_DAYS, DOUBLE_DAYS = 7, 21, 31
+LINK_DAYS, CLUSTER_DAYS = 7, 21
+AGGREGATOR, UNKNOWN = "__aggregator__", "__unknown__:"
 
 
 def islands(rows: DataFrame, key: str, day: str, days: int = CLUSTER_DAYS) -> DataFrame:
-    """rows with `island`: per key, numbered runs whose consecutive dates lie within `days`; no date, no island."""
-    w = Window.partitionBy(key).orderBy(day, "row_idx")
+    """rows with `island`: per key, numbered runs whose consecutive dates lie within `days`; no date, no island.
+
+    Runs are found among a key's distinct dates, which no number of rows on a date can swell, and joined back.
+    """
     dated = rows.filter(F.col(day).isNotNull() & F.col(key).isNotNull())
-    return dated.withColumn("_new", F.coalesce(F.datediff(day, F.lag(day).over(w)) > days, F.lit(True)).cast("int")).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    w = Window.partitionBy(key).orderBy(day)
+    runs = dated.select(key, day).distinct().withColumn("_new", F.coalesce(F.datediff(day, F.lag(day).over(w)) > days, F.lit(True)).cast("int"))
+    runs = runs.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return dated.join(runs, [key, day])
+
+
+def slug_of(c: Column) -> Column:
+    return F.trim(strip_chain(F.lower(c), (r"[^a-z0-9\s]", " "), (r"\s+", " ")))
+
+
+def company_tokens(names: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(key, variant, ord): the spellings under which each company is looked for; keys of aliases come first, then names (company, row_idx) in order.
+
+    A key is the slug of the canonical name. Its variants are the slugs of the name and its aliases, also joined and
+    hyphenated, and a first word of five letters or more; words that name no company are no variants.
+    """
+    spark = names.sparkSession
+    listed = spark.createDataFrame([(i, c, a) for i, (a, c) in enumerate((aliases or {}).items())], "row_idx long, company string, alias string")
+    every = listed.withColumn("source", F.lit(0)).unionByName(names.filter("coalesce(company, '') <> ''").groupBy("company").agg(F.min("row_idx").alias("row_idx")).select("row_idx", "company", F.lit(None).cast("string").alias("alias"), F.lit(1).alias("source")))
+    named = with_company_key(every, "name", aliases=aliases).withColumn("norm", slug_of(F.col("name")))
+    key = F.regexp_replace("norm", " ", "-")
+    first = F.substring_index("slug", " ", 1)
+    forms = F.array(F.col("slug"), F.regexp_replace("slug", " ", ""), F.regexp_replace("slug", " ", "-"), F.when((F.length(first) >= 5) & ~first.isin(GENERIC), first))
+    slugs = named.filter("norm <> ''").select(key.alias("key"), "source", "row_idx", F.explode(F.array_compact(F.array("norm", slug_of(F.col("alias"))))).alias("slug"))
+    found = slugs.select("key", "source", "row_idx", F.explode(F.array_compact(forms)).alias("variant"))
+    found = found.filter((F.col("variant") != "") & ~F.col("variant").isin(GENERIC) & ~F.col("key").isin(GENERIC))
+    return found.groupBy("key", "variant").agg(F.min(F.struct("source", "row_idx")).alias("ord"))
+
+
+def telling(tokens: DataFrame) -> DataFrame:
+    """tokens with three companies a variant at most: that many make an aggregator of whatever names it, and more would only swell the join."""
+    return tokens.withColumn("_r", F.row_number().over(Window.partitionBy("variant").orderBy("ord", "key"))).filter("_r <= 3").drop("_r")
+
+
+def surfaces(company: Column, url: Column) -> tuple[Column, Column]:
+    """The words that a node is searched in: its headline's, and those with its address's path."""
+    words = lambda c: F.filter(F.split(c, " +"), lambda w: w != "")
+    title = F.regexp_replace(F.lower(F.coalesce(company, F.lit(""))), "[^a-z0-9]+", " ")
+    path = strip_chain(F.lower(F.coalesce(url, F.lit(""))), (r"^https?://[^/]+", ""), (r"(?s)[?#].*\z", ""), (r"[-_/.]+", " "), (r"(?U)\s+", " "))
+    return words(title), words(F.concat(title, F.lit(" "), path))
 
 
-def cluster(nodes: DataFrame, days: int = CLUSTER_DAYS) -> DataFrame:
-    """(row_idx, cluster) of entries: same company within `days`, same title fingerprint, or same address; linked through any of them."""
-    n = nodes.select("row_idx", company_key(F.col("company")).alias("k"), iso_date(F.col("date_announced")).alias("d"), gn_fingerprint(F.col("notes")).alias("gn"), F.nullif(F.lower("source_link"), F.lit("")).alias("url"))
-    near = islands(n, "k", "d", days).groupBy("k", "island").agg(F.min("row_idx").alias("b"), F.collect_list("row_idx").alias("m")).select("b", F.explode("m").alias("a"))
-    edges = near.select("a", "b")
+def node_keys(nodes: DataFrame, tokens: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(row_idx, key) of nodes (row_idx, company, source_link): the company that is named first in the headline, else in headline and path.
+
+    Three or more companies make an aggregator. Without any the company key counts, if it has three letters, else the
+    node is unknown. Runs of words are joined with the variants, so a node costs its words times the longest variant's.
+    """
+    tokens = stage(tokens, "tokens")
+    longest = tokens.agg(F.max(F.size(F.split("variant", " ")))).first()[0] or 1
+    title, full = surfaces(F.col("company"), F.col("source_link"))
+    n = nodes.select("row_idx", F.explode(F.array(F.struct(F.lit(0).alias("surface"), title.alias("words")), F.struct(F.lit(1).alias("surface"), full.alias("words")))).alias("s")).select("row_idx", "s.surface", "s.words")
+    n = n.select("row_idx", "surface", "words", F.posexplode("words").alias("pos", "word"))
+    grams = n.select("row_idx", "surface", "pos", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - F.col("pos"))), lambda k: F.array_join(F.slice("words", F.col("pos") + 1, k), " "))).alias("variant"))
+    hits = grams.join(tokens, "variant").groupBy("row_idx", "surface", "key").agg(F.min(F.struct("pos", "ord")).alias("at"))
+    picked = hits.groupBy("row_idx", "surface").agg(F.when(F.count("*") >= 3, AGGREGATOR).otherwise(F.min_by("key", "at")).alias("key"))
+    picked = picked.groupBy("row_idx").agg(F.min_by("key", "surface").alias("found"))
+    own = F.when(F.length("k") >= 3, F.col("k")).otherwise(F.concat(F.lit(UNKNOWN), F.col("row_idx").cast("string")))
+    return with_company_key(nodes.select("row_idx", "company"), "k", aliases=aliases).join(picked, "row_idx", "left").select("row_idx", F.coalesce("found", own).alias("key"))
+
+
+def cluster(nodes: DataFrame, days: int = CLUSTER_DAYS, tokens: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(row_idx, cluster) of nodes: same company within `days`, same title fingerprint, or same address; linked through any of them.
+
+    tokens default to those of the nodes' own names. Aggregators and unknown companies have no company edges.
+    """
+    tokens = tokens if tokens is not None else company_tokens(nodes.select("company", "row_idx"), aliases)
+    keys = node_keys(nodes, telling(tokens), aliases)
+    n = nodes.join(keys, "row_idx").select("row_idx", F.when(~(F.col("key").startswith(UNKNOWN) | (F.col("key") == AGGREGATOR)), F.col("key")).alias("k"), iso_date(F.col("date_announced")).alias("d"), gn_fingerprint(F.col("notes")).alias("gn"), F.nullif(F.lower("source_link"), F.lit("")).alias("url"))
+    n = stage(n, "nodes")
+    first = lambda *by: F.min("row_idx").over(Window.partitionBy(*by))
+    edges = islands(n, "k", "d", days).select(F.col("row_idx").alias("a"), first("k", "island").alias("b"))
     for key in ("gn", "url"):
-        low = n.filter(F.col(key).isNotNull()).select(F.col("row_idx").alias("a"), F.min("row_idx").over(Window.partitionBy(key)).alias("b"))
-        edges = edges.unionByName(low)
+        edges = edges.unionByName(n.filter(F.col(key).isNotNull()).select(F.col("row_idx").alias("a"), first(key).alias("b")))
     comps = connected_components(edges)
     return n.join(comps, n["row_idx"] == comps["node"], "left").select("row_idx", F.coalesce("component", "row_idx").alias("cluster"))
 
@@ -41,13 +107,22 @@ def day_number(text: str | None) -> int | None:
         return None
 
 
+def enemies(distinct: list[tuple[str, str]] | None) -> dict[str, set[str]]:
+    """Per event those that it must never meet."""
+    out: dict[str, set[str]] = {}
+    for a, b in distinct or []:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set()).add(a)
+    return out
+
+
 def window_groups(entries: DataFrame, days: int = LINK_DAYS, distinct: list[tuple[str, str]] | None = None) -> DataFrame:
     """(row_idx, group_idx): per company, in file order, each row joins the first group that takes it, else starts one.
 
     A group takes a row within `days` of its anchor, which only moves forward; undated rows meet undated ones;
     listed distinct events never meet. group_idx is the row_idx of the group's first row. The groups of one company at a time are in memory.
     """
-    apart = {frozenset(p) for p in distinct or []}
+    apart = enemies(distinct)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         company, groups = None, []
@@ -59,19 +134,18 @@ def window_groups(entries: DataFrame, days: int = LINK_DAYS, distinct: list[tupl
                 day = day_number(text)
                 for s in groups:
                     fits = (not text and not s["text"]) or (text and s["text"] and day is not None and s["day"] is not None and abs(day - s["day"]) <= days)
-                    if fits and not any(frozenset((event, x)) in apart for x in s["ids"]):
+                    if fits and event not in s["foes"]:
                         break
                 else:
-                    s = {"text": text, "day": day, "first": idx, "ids": set()}
+                    s = {"text": text, "day": day, "first": idx, "foes": set()}
                     groups.append(s)
-                if apart:
-                    s["ids"].add(event)
+                s["foes"] |= apart.get(event, set())
                 if text and s["text"] and text > s["text"]:
                     s["text"], s["day"] = text, day
                 out.append((idx, s["first"]))
             yield pd.DataFrame(out, columns=["row_idx", "group_idx"])
 
-    rows = entries.select(company_key(F.col("company")).alias("k"), "row_idx", "date_announced", "event_id")
+    rows = with_company_key(entries.select("company", "row_idx", "date_announced", "event_id"), "k").select("k", "row_idx", "date_announced", "event_id")
     return rows.repartition("k").sortWithinPartitions("k", "row_idx").mapInPandas(run, "row_idx long, group_idx long")
 
 
@@ -82,29 +156,50 @@ def resolve_merges(merges: DataFrame, max_depth: int = 50) -> DataFrame:
         raise ValueError("a merge is blank or names itself")
     if m.groupBy("f").count().filter("count > 1").limit(1).count():
         raise ValueError("an event is merged into two targets")
-    done = m.select("f", "t", F.lit(1).alias("depth"))
+    done = stage(m.select("f", "t", F.lit(1).alias("depth")), "merges")
     for _ in range(max_depth):
         nxt = done.alias("x").join(done.alias("y"), F.col("x.t") == F.col("y.f"), "left")
         if nxt.filter(F.col("x.f") == F.col("y.t")).limit(1).count():
             raise ValueError("merges form a cycle")
         if not nxt.filter("y.f is not null").limit(1).count():
             return done.select(F.col("f").alias("from_event_id"), F.col("t").alias("target"), "depth")
-        done = nxt.select("x.f", F.coalesce("y.t", "x.t").alias("t"), (F.col("x.depth") + F.coalesce("y.depth", F.lit(0))).alias("depth"))
+        done = stage(nxt.select("x.f", F.coalesce("y.t", "x.t").alias("t"), (F.col("x.depth") + F.coalesce("y.depth", F.lit(0))).alias("depth")), "merges")
     raise ValueError("merges form a cycle")
 
 
+def assert_merges(resolved: DataFrame, entries: DataFrame, distinct: DataFrame | None = None) -> None:
+    """Raises if a resolved merge contradicts a distinct pair (pair), or its target has no entry."""
+    if distinct is not None:
+        pair = F.array_join(F.array_sort(F.array("from_event_id", "target")), " + ")
+        if r := resolved.withColumn("pair", pair).join(distinct, "pair", "left_semi").first():
+            raise ValueError(f"merge of {r.from_event_id} into {r.target} contradicts the distinct events")
+    if r := resolved.join(entries.select(F.col("event_id").alias("target")), "target", "left_anti").first():
+        raise ValueError(f"merge target {r.target} of {r.from_event_id} has no entry")
+
+
+def link_changes(linked: DataFrame) -> DataFrame:
+    """The rows of `link_events` whose event changes."""
+    return linked.filter("event_id is distinct from new_event_id")
+
+
+def dedup_by_deletion(entries: DataFrame, days: int = LINK_DAYS) -> DataFrame:
+    """The best row, then the first, of each company window; the others go."""
+    best = F.row_number().over(Window.partitionBy("group_idx").orderBy(F.desc(row_quality()), "row_idx"))
+    return entries.join(window_groups(entries, days), "row_idx").withColumn("_r", best).filter("_r = 1").drop("_r", "group_idx")
+
+
 def link_events(entries: DataFrame, merges: DataFrame | None = None, distinct: list[tuple[str, str]] | None = None) -> DataFrame:
     """(row_idx, event_id, new_event_id): every row adopts the id of its group's canonical row.
 
     Groups are joined where rows share a company window, an address, or company and month base. Listed distinct
-    events veto a join; then the rows of a vetoed component are joined one edge at a time, in file order.
+    events veto a join; then the rows of a component that holds both sides of a pair are joined one edge at a time, in file order.
     """
     e = entries
     if merges is not None:
         r = resolve_merges(merges)
         e = e.join(r, e["event_id"] == r["from_event_id"], "left").withColumn("event_id", F.coalesce("target", "event_id")).drop("from_event_id", "target", "depth")
     groups = window_groups(e, distinct=distinct)
-    n = stage(e.join(groups, "row_idx").select("row_idx", "event_id", "group_idx", row_quality().alias("quality"), F.nullif(normalize_url(F.col("source_link")), F.lit("")).alias("url"), F.concat(company_key(F.col("company")), F.lit("|"), month_base(F.col("event_id"))).alias("month")), "linked")
+    n = stage(with_company_key(e, "k").join(groups, "row_idx").select("row_idx", "event_id", "group_idx", row_quality().alias("quality"), F.nullif(normalize_url(F.col("source_link")), F.lit("")).alias("url"), F.concat("k", F.lit("|"), month_base(F.col("event_id"))).alias("month")), "linked")
     edges = n.select(F.col("row_idx").alias("a"), F.col("group_idx").alias("b"), F.lit(0).alias("kind"))
     for kind, key in enumerate(("url", "month"), 1):
         first = F.min("row_idx").over(Window.partitionBy(key))
@@ -112,26 +207,37 @@ def link_events(entries: DataFrame, merges: DataFrame | None = None, distinct: l
     comps = connected_components(edges)
     n = n.join(comps, n["row_idx"] == comps["node"], "left").withColumn("root", F.coalesce("component", "row_idx")).drop("node", "component")
     if distinct:
-        apart = {frozenset(p) for p in distinct}
+        apart = enemies(distinct)
 
         def split(key: tuple, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
             own = {i: i for i in rows["row_idx"]}
             ids = {i: {x} for i, x in zip(rows["row_idx"], rows["event_id"], strict=True)}
+            foes = {i: set(apart.get(x, ())) for i, x in zip(rows["row_idx"], rows["event_id"], strict=True)}
 
             def find(i: int) -> int:
                 while own[i] != i:
-                    i = own[i]
+                    own[i] = i = own[own[i]]
                 return i
 
             for _, a, b in sorted(links[["kind", "a", "b"]].itertuples(index=False)):
                 x, y = sorted((find(a), find(b)))
-                if x != y and not any(frozenset((p, q)) in apart for p in ids[x] for q in ids[y]):
+                if x != y and ids[x].isdisjoint(foes[y]):
                     own[y] = x
-                    ids[x] |= ids[y]
+                    # the smaller side moves
+                    for kind in (ids, foes):
+                        small, large = sorted((kind[x], kind.pop(y)), key=len)
+                        large |= small
+                        kind[x] = large
             return pd.DataFrame({"row_idx": rows["row_idx"], "part": [find(i) for i in rows["row_idx"]]})
 
-        named = edges.join(n.select(F.col("row_idx").alias("a"), F.col("root").alias("link_root")), "a")
-        parts = n.select("root", "row_idx", "event_id").groupBy("root").cogroup(named.groupBy("link_root")).applyInPandas(split, "row_idx long, part long")
-        n = n.join(parts, "row_idx").withColumn("root", F.col("part")).drop("part")
+        # only components that hold both sides of a pair can be cut; all others stay as they are
+        spark, at = e.sparkSession, n.select("root", "event_id").distinct()
+        pairs = spark.createDataFrame([tuple(p) for p in distinct], "x string, y string")
+        cut = at.join(F.broadcast(pairs), F.col("event_id") == F.col("x")).select("root", F.col("y").alias("event_id")).join(at, ["root", "event_id"], "left_semi").select("root").distinct()
+        cut = stage(cut, "cut")
+        mine = n.join(cut, "root", "left_semi").select("root", "row_idx", "event_id")
+        named = edges.join(mine.select(F.col("row_idx").alias("a"), F.col("root").alias("link_root")), "a")
+        parts = mine.groupBy("root").cogroup(named.groupBy("link_root")).applyInPandas(split, "row_idx long, part long")
+        n = n.join(parts, "row_idx", "left").withColumn("root", F.coalesce("part", "root")).drop("part")
     best = n.groupBy("root").agg(F.min_by("event_id", F.struct((-F.col("quality")).alias("q"), "row_idx")).alias("canonical"))
     return n.join(best, "root").select("row_idx", "event_id", F.coalesce(F.nullif(F.trim("canonical"), F.lit("")), "event_id").alias("new_event_id"))

@@ -8,18 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
+from ledgerloom.functions.rules import EVENT_RULES, REJECTED_KINDS
+from ledgerloom.operators import audit as A
 from ledgerloom.operators import classify as C
 from ledgerloom.operators import dedup as D
 from ledgerloom.operators import events as E
 from ledgerloom.operators import integrity as V
+from ledgerloom.operators import guards as U
+from ledgerloom.operators import hints as H
 from ledgerloom.operators import linking as G
+from ledgerloom.operators import projections as P
+from ledgerloom.operators import selection as S
 from ledgerloom.plans.entry_view import entries, oracle_entry
 from ledgerloom.session import table
 
 TODAY = "1999-06-15"
-STOPWORDS = ["large", "small", "medium"]
 RULES = [("(the|and) .{0,40} of ", "confirmed"), (" que ", "rumored"), (" und ", "confirmed")]
 REJECT = ["license", "rights reserved", "est "]
+#: Names that share a token with three or five other rows, for the rules across names; a third of the rows keeps its own.
+LETTERS = "translate(CAST(CAST(floor({}) AS BIGINT) AS STRING), '0123456789', 'qwertyuiop')"
+BRAND = "CASE WHEN row_idx % 3 = 0 THEN company ELSE 'Brand tok' || " + LETTERS.format("row_idx / CASE WHEN CAST(floor(row_idx / 24) AS BIGINT) % 2 = 0 THEN 4 ELSE 6 END") + " || CASE WHEN CAST(floor(row_idx / 24) AS BIGINT) % 2 = 0 THEN 'a' ELSE 'b' END || ' uu' || " + LETTERS.format("row_idx") + " END"
+DISTINCT = "SELECT DISTINCT least(a, b) || ' + ' || greatest(a, b) AS pair FROM (SELECT event_id AS a, lag(event_id) OVER (PARTITION BY substring(event_id, 1, 9) ORDER BY date_announced, row_idx) AS b, row_idx FROM {e}) AS x WHERE a <> '' AND b <> '' AND a <> b AND row_idx % 2 = 0"
+ALLOWED = "SELECT DISTINCT lower(c_name) AS a, lower(c_name) || ' group' AS b FROM {customer} WHERE c_custkey % 10 = 5"
+HEADLINE = "CASE WHEN row_idx % 4 = 0 THEN 'ExxonMobil to cut jobs' WHEN row_idx % 4 = 1 THEN 'Heineken to shed staff' WHEN row_idx % 12 = 2 THEN 'Nokia ' || company WHEN row_idx % 12 = 6 THEN 'Opinion: ' || company ELSE company || ' news' END"
 MERGES = "SELECT DISTINCT 'cust-' || CAST(c_custkey AS STRING) AS from_event_id, 'cust-' || CAST(c_custkey + 7 AS STRING) AS to_event_id FROM {customer} WHERE c_custkey % 21 < 14"
 
 
@@ -65,15 +76,27 @@ def q_grouped_events(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_filters(s: SparkSession, d: str) -> DataFrame:
-    low = lambda c: F.lower(c).contains("global")
-    since = F.add_months(F.trunc(F.lit(TODAY).cast("date"), "MM"), -30).cast("string")
-    e = entries(s, d).filter((low("company") | low("industry") | low("notes")) & (F.col("status") == "confirmed") & F.col("date_announced").startswith("199") & (F.col("date_announced") >= since))
-    return e.select("row_idx", "company", "date_announced", "notes")
+    return S.apply_filters(entries(s, d), search=" Global ", status="confirmed", months=30, today=TODAY).select("row_idx", "company", "date_announced", "notes")
+
+
+def q_filters_year(s: SparkSession, d: str) -> DataFrame:
+    return S.apply_filters(entries(s, d), industry="BUILDING", year="1995").select("row_idx", "company", "date_announced")
 
 
 def q_stale(s: SparkSession, d: str) -> DataFrame:
-    age = F.coalesce(F.datediff(F.lit(TODAY).cast("date"), X.iso_date(F.col("date_announced"))), F.lit(0))
-    return entries(s, d).filter(F.col("status") == "rumored").select("row_idx", age.alias("age")).filter("age >= 30")
+    return S.stale_rumors(entries(s, d), TODAY).select("row_idx", "age")
+
+
+def q_facets(s: SparkSession, d: str) -> DataFrame:
+    return S.facets(entries(s, d))
+
+
+def q_follow_ups(s: SparkSession, d: str) -> DataFrame:
+    return S.follow_up_totals(E.grouped_events(entries(s, d)))
+
+
+def q_event_stats(s: SparkSession, d: str) -> DataFrame:
+    return A.event_stats(entries(s, d))
 
 
 def q_topk(s: SparkSession, d: str) -> DataFrame:
@@ -93,13 +116,12 @@ def q_title_fingerprint(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_hit_dedup(s: SparkSession, d: str) -> DataFrame:
-    hits = table(s, d, "documents").select(F.col("doc_id").alias("row_idx"), F.col("text").alias("title"), F.concat(F.lit("u"), (F.col("doc_id") % 600).cast("string")).alias("url"))
+    hits = table(s, d, "documents").select(F.col("doc_id").alias("row_idx"), F.col("text").alias("title"), F.expr("'u' || CAST(CAST(floor(doc_id / 2) AS BIGINT) AS STRING)").alias("url"))
     return D.dedupe_hits(hits).select("row_idx", "url")
 
 
 def q_company_key(s: SparkSession, d: str) -> DataFrame:
-    c = F.col("company")
-    return entries(s, d).select("row_idx", X.company_key(c).alias("k"), X.event_id_for(c, F.col("date_announced")).alias("slug"), X.month_base(F.col("event_id")).alias("base"))
+    return X.with_company_key(entries(s, d)).select("row_idx", "k", X.event_id_for(F.col("k"), F.col("date_announced")).alias("slug"), X.month_base(F.col("event_id")).alias("base"))
 
 
 def q_dedup_index(s: SparkSession, d: str) -> DataFrame:
@@ -110,13 +132,31 @@ def q_ingest(s: SparkSession, d: str) -> DataFrame:
     return D.ingest(D.check_candidates(*parts(s, d)), skipped=2)[1]
 
 
+def q_ingest_rows(s: SparkSession, d: str) -> DataFrame:
+    return D.ingest(D.check_candidates(*parts(s, d)))[0].select("row_idx", "verdict")
+
+
 def q_islands_21(s: SparkSession, d: str) -> DataFrame:
-    n = entries(s, d).select("row_idx", X.company_key(F.col("company")).alias("k"), X.iso_date(F.col("date_announced")).alias("day"))
+    n = X.with_company_key(entries(s, d)).select("row_idx", "k", X.iso_date(F.col("date_announced")).alias("day"))
     return G.islands(n, "k", "day").select("row_idx", "k", "island")
 
 
+def named(e: DataFrame) -> DataFrame:
+    """Companies whose first words tell them apart, which headlines can be searched for."""
+    return e.withColumn("company", F.expr(NAMED))
+
+
 def q_clusters(s: SparkSession, d: str) -> DataFrame:
-    return G.cluster(entries(s, d))
+    return G.cluster(named(entries(s, d)))
+
+
+def q_node_keys(s: SparkSession, d: str) -> DataFrame:
+    e = named(entries(s, d))
+    return G.node_keys(e, G.telling(G.company_tokens(e.select("company", "row_idx"))))
+
+
+def q_company_tokens(s: SparkSession, d: str) -> DataFrame:
+    return G.company_tokens(named(entries(s, d)).select("company", "row_idx")).select("key", "variant")
 
 
 def q_same_company_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -128,8 +168,30 @@ def q_pair_groups(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_cross_name(s: SparkSession, d: str) -> DataFrame:
-    e = entries(s, d).withColumn("text", F.concat(F.lit("tok"), F.translate((F.col("row_idx") % 5000).cast("string"), "0123456789", "abcdefghij"), F.lit(" large")))
-    return V.cross_name(e, F.col("text"), STOPWORDS, days=400)
+    return V.cross_name(entries(s, d).withColumn("company", F.expr(BRAND)))
+
+
+def audited(s: SparkSession, d: str) -> DataFrame:
+    e = entries(s, d).withColumn("company", F.expr(BRAND)).withColumn("jobs_cut_sg", F.col("jobs_cut_sg") * 10)
+    ledger, rejected = e.filter("row_idx % 4 <> 3"), e.filter("row_idx % 4 = 3")
+    return A.check_integrity(ledger, TODAY, s.sql(DISTINCT, e=ledger), s.sql(ALLOWED, customer=table(s, d, "customer")), rejected)
+
+
+def q_check_integrity(s: SparkSession, d: str) -> DataFrame:
+    text = lambda c, by: F.array_join(F.col(c).cast("array<string>"), by).alias(c)
+    return audited(s, d).select("type", text("event_ids", "|"), text("rows", ","), "identity", "hard")
+
+
+def q_integrity_summary(s: SparkSession, d: str) -> DataFrame:
+    return A.summary(audited(s, d))
+
+
+def q_regression(s: SparkSession, d: str) -> DataFrame:
+    e = entries(s, d)
+    audit = lambda x: A.row_warnings(A.indexed(x), TODAY)
+    new, gone = A.regression(audit(e), audit(e.withColumn("notes", F.expr("CASE WHEN row_idx % 5 = 0 THEN 'plans to cut' ELSE notes END"))))
+    side = lambda x, n: x.select(F.lit(n).alias("side"), "fingerprint", F.get("rows", F.lit(0)).alias("row"))
+    return side(new, "new").unionByName(side(gone, "resolved"))
 
 
 def q_name_split(s: SparkSession, d: str) -> DataFrame:
@@ -150,8 +212,8 @@ def q_duplicate_sources(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_cross_file(s: SparkSession, d: str) -> DataFrame:
-    p = parts(s, d)
-    return V.cross_file(p[1], p[3])
+    e = entries(s, d)
+    return V.cross_file(e.filter("row_idx % 4 < 2"), e.filter("row_idx % 4 >= 2"))
 
 
 def q_merge_chain(s: SparkSession, d: str) -> DataFrame:
@@ -159,22 +221,113 @@ def q_merge_chain(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_patch_kth(s: SparkSession, d: str) -> DataFrame:
-    e = entries(s, d).withColumn("k_", X.company_key(F.col("company"))).withColumn("month", F.substring("date_announced", 1, 4))
+    e = X.with_company_key(entries(s, d), "k_").withColumn("month", F.substring("date_announced", 1, 4))
     rows, results = e.filter("row_idx % 3 <> 0").select("row_idx", "k_", "month"), e.filter("row_idx % 3 = 0").select("row_idx", "k_", "month")
     return D.patch_kth(rows, results, ["k_", "month"]).select("row_idx", "result_idx")
 
 
 def q_new_warnings(s: SparkSession, d: str) -> DataFrame:
-    w = V.advisories(entries(s, d), TODAY).withColumn("fingerprint", F.concat("type", F.lit(" :: "), (F.col("row") % 97).cast("string")))
-    return D.new_warnings(w.filter("row % 2 = 0"), w.filter("row % 2 = 1 and row < 400")).select("fingerprint", "row")
+    w = V.advisories(entries(s, d), TODAY).withColumn("fingerprint", F.expr("type || ' :: ' || CAST(CAST(floor(row / 3) AS BIGINT) AS STRING)"))
+    return D.new_warnings(w.filter("row % 2 = 0"), w.filter("row % 2 = 1")).select("fingerprint", "row")
 
 
 def q_window_groups(s: SparkSession, d: str) -> DataFrame:
     return G.window_groups(entries(s, d))
 
 
+def q_dedup_by_deletion(s: SparkSession, d: str) -> DataFrame:
+    return G.dedup_by_deletion(entries(s, d)).select("row_idx", "event_id")
+
+
 def q_link_events(s: SparkSession, d: str) -> DataFrame:
-    return G.link_events(entries(s, d))
+    """With merges of some customers' events into their next month's, and pairs that must stay apart."""
+    e = entries(s, d)
+    merges = e.filter("event_id <> '' and row_idx % 40 = 0").groupBy(F.substring_index("event_id", "-", 2).alias("c")).agg(F.min("event_id").alias("from_event_id"), F.max("event_id").alias("to_event_id")).filter("from_event_id <> to_event_id")
+    pairs = [tuple(r.pair.split(" + ")) for r in s.sql(DISTINCT, e=e).filter("pmod(xxhash64(pair), 50) = 0").collect()]
+    return G.link_events(e, merges.select("from_event_id", "to_event_id"), pairs)
+
+
+def headlines(s: SparkSession, d: str) -> DataFrame:
+    return entries(s, d).withColumn("company", F.expr(HEADLINE)).withColumn("industry", F.lit("Retail"))
+
+
+def q_triage(s: SparkSession, d: str) -> DataFrame:
+    return C.triage(headlines(s, d), ["Opinion:", "labour market"]).select("row_idx", "verdict", F.col("rule.company").alias("rule_company"), "reason")
+
+
+def q_to_entry(s: SparkSession, d: str) -> DataFrame:
+    t = C.triage(headlines(s, d), ["Opinion:"]).withColumn("final_verdict", F.col("verdict"))
+    return P.to_entry(t).select("row_idx", "company", "industry", "notes", "status", "event_id", "date_reported")
+
+
+def q_month_guard(s: SparkSession, d: str) -> DataFrame:
+    t = X.with_company_key(C.triage(headlines(s, d), ["Opinion:"]).withColumn("final_verdict", F.col("verdict")).withColumn("named", F.coalesce("rule.company", "company")), "k", "named")
+    return C.month_guard(t, F.concat("k", F.lit("|"), F.substring("date_announced", 1, 7))).select("row_idx", "final_verdict")
+
+
+def q_rejected_kinds(s: SparkSession, d: str) -> DataFrame:
+    e = entries(s, d).withColumn("notes", F.expr("notes || CASE row_idx % 5 WHEN 1 THEN ' hiring now' WHEN 2 THEN ' no Singapore nexus' WHEN 3 THEN ' tracker' ELSE '' END")).withColumn("company", F.expr(HEADLINE))
+    return e.select("row_idx", C.rejected_kind().alias("kind"), C.polluted_accept().alias("polluted"))
+
+
+def q_event_hints(s: SparkSession, d: str) -> DataFrame:
+    e = entries(s, d)
+    ledger, own = e.filter("row_idx % 4 <> 0"), e.filter("row_idx % 4 = 0")
+    clusters = e.select("row_idx", F.when(F.col("row_idx") % 4 == 0, "candidate").otherwise("anchor").alias("kind"), F.concat("industry", F.substring("date_announced", 1, 10)).alias("cluster"))
+    return H.select_hints(own, ledger, clusters).select("row_idx", "primary_event_id", F.array_join("listed", "|").alias("listed"))
+
+
+def q_align_events(s: SparkSession, d: str) -> DataFrame:
+    rows = entries(s, d).select("row_idx", F.concat("industry", F.substring("date_announced", 1, 7)).alias("cluster"), F.when(F.col("row_idx") % 300 == 0, "anchor").otherwise("candidate").alias("kind"), X.row_quality().alias("score"), "date_announced", (F.col("status") != "reference").alias("accepted"), "event_id")
+    return H.align_events(rows).select("row_idx", "new_event_id")
+
+
+def q_apply_results(s: SparkSession, d: str) -> DataFrame:
+    e = entries(s, d)
+    results = e.filter("row_idx % 3 = 0").withColumn("date_announced", F.concat(F.lit(" "), F.substring("date_announced", 1, 10))).withColumn("new_status", F.expr("CASE row_idx % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'denied' WHEN 2 THEN 'expired' ELSE 'rumored' END")).withColumn("evidence_url", F.col("source_link"))
+    return U.apply_results(e.withColumn("notes", F.lit("seen")), results).select("row_idx", "status", "notes", "result_idx")
+
+
+def q_archive_links(s: SparkSession, d: str) -> DataFrame:
+    return P.archive_links(entries(s, d), "20260101000000", ["confirmed", "reference"], offset=5)
+
+
+def q_golden_entries(s: SparkSession, d: str) -> DataFrame:
+    e = entries(s, d).select("row_idx", "company", "date_announced", "pct_workforce", "source_link", "notes", F.coalesce("jobs_cut_sg", "jobs_cut_global").alias("jobs_cut"), (F.col("row_idx") % 2 == 0).alias("global_figure"))
+    return P.golden_to_entry(e).select("row_idx", "jobs_cut_sg", "jobs_cut_global", "status", "event_id")
+
+
+def q_result_rows(s: SparkSession, d: str) -> DataFrame:
+    e = entries(s, d).filter("status = 'rumored'").withColumns({"new_status": F.expr("CASE WHEN row_idx % 2 = 0 THEN 'confirmed' ELSE 'denied' END"), "headcount": F.col("jobs_cut_sg"), "evidence_url": F.col("source_link"), "note": F.col("notes")})
+    return P.result_rows(e, TODAY).select("row_idx", "new_status", "evidence_url", "evidence_note")
+
+
+def q_with_defaults(s: SparkSession, d: str) -> DataFrame:
+    e = entries(s, d)
+    v = e.select("row_idx", F.expr("CASE WHEN row_idx % 2 = 0 THEN '' ELSE 'Given' END").alias("company"), F.expr("CASE WHEN row_idx % 3 = 0 THEN 'soon' ELSE '2026-01-02' END").alias("date_announced"), F.lit("").alias("date_reported"), F.expr("CASE WHEN row_idx % 5 = 1 THEN 7.0D END").alias("jobs_cut_sg"), F.lit(None).cast("double").alias("jobs_cut_global"), F.lit(0.0).alias("pct_workforce"))
+    return P.with_defaults(v, e)
+
+
+def q_hit_to_review(s: SparkSession, d: str) -> DataFrame:
+    hits = table(s, d, "documents").filter("text is not null").select(F.col("doc_id").alias("row_idx"), F.expr("'Firm ' || CAST(doc_id AS STRING) || ' Ltd cut ' || CAST(doc_id AS STRING) || ' jobs, say people - Paper'").alias("title"), F.concat(F.lit("http://p/"), F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("snippet"), F.expr("CASE WHEN doc_id % 3 = 0 THEN '5 May 2026' WHEN doc_id % 3 = 1 THEN '2026-04-03' ELSE 'nonsense' END").alias("published"))
+    return P.hit_to_review(hits, "2026-06-01", "t", "x", "via").select("row_idx", "review_id", "company", "date_announced", "jobs_cut_sg", "notes", "snippet")
+
+
+def q_source_checks(s: SparkSession, d: str) -> DataFrame:
+    e = entries(s, d)
+    return e.select("row_idx", X.is_relevant(F.col("notes"), F.expr("CASE WHEN row_idx % 3 = 0 THEN 'Retrenchment at a firm' ELSE 'x' END")).alias("relevant"), X.host_is_excluded(F.col("source_link"), ["site7.example.com", "reuters.com"]).alias("excluded"))
+
+
+def q_labels(s: SparkSession, d: str) -> DataFrame:
+    m = E.monthly(E.event_rollup(entries(s, d)))
+    return m.select("month", X.month_label(F.col("month")).alias("label"), X.quarter_heading(E.quarter_of("month")).alias("heading"))
+
+
+def q_tier_metrics(s: SparkSession, d: str) -> DataFrame:
+    pick = lambda c: F.expr(f"CASE {c} WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rumored' ELSE 'rejected' END")
+    rows = table(s, d, "events").select(pick("event_id % 3").alias("expected_verdict"), pick("CAST(floor(event_id / 2) AS BIGINT) % 3").alias("verdict"), (F.col("event_id") % 5 == 0).alias("global_figure"), F.expr("CASE event_id % 4 WHEN 0 THEN 'singapore' WHEN 1 THEN 'global' WHEN 2 THEN 'partial' END").alias("headcount_scope"), F.expr("CASE WHEN event_id % 2 = 0 THEN 'singapore' END").alias("expected_scope"))
+    r = lambda c: F.round(c, 9).alias(c)
+    return C.tier_metrics(rows).select("cases", r("verdict_accuracy"), r("accept_accuracy"), "tier_cases", r("tier_match"), "over_confident", "under_confident", "global_cases", "scope_leaks", "scope_recognised", "scope_labelled", "scope_exact")
 
 
 def q_extract_figures(s: SparkSession, d: str) -> DataFrame:
@@ -206,16 +359,18 @@ def q_eval_metrics(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_stratified(s: SparkSession, d: str) -> DataFrame:
-    return C.stratified(table(s, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 40).groupBy("lang").agg(F.count("*").alias("n"))
+    return C.stratified(table(s, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 40)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k[2:]: f for k, f in list(globals().items()) if k.startswith("q_")}
 
 
 def sql_key(c: str) -> str:
-    c = f"regexp_replace(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '\\s*\\([^)]*\\)\\s*$', '')"
+    c = f"regexp_replace(trim(regexp_replace(regexp_replace(strip_accents({c}), '\\s&\\s', ' and ', 'g'), '\\s+', ' ', 'g')), '\\s*\\([^)]*\\)\\s*$', '')"
     for x in X.SUFFIXES:
         c = f"regexp_replace({c}, '\\s+{x.replace('.', '[.]')}$', '', 'i')"
+    for x in X.DESCRIPTORS:
+        c = f"trim(regexp_replace({c}, '\\s+{x}$', '', 'i'))"
     return f"lower(trim(regexp_replace({c}, '[,;.]$', '')))"
 
 
@@ -227,14 +382,15 @@ def sql_url(c: str) -> str:
     return c
 
 
-QUALITY = "(CASE WHEN status = 'confirmed' THEN 3 ELSE 0 END + CASE WHEN coalesce(jobs_cut_sg, jobs_cut_global) <> 0 THEN 2 ELSE 0 END + CASE WHEN pct_workforce IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN contains(source_link, 'web.archive.org') THEN 2 ELSE 0 END + CASE WHEN source_link <> '' AND NOT contains(source_link, 'news.google.com') THEN 1 ELSE 0 END)"
+QUALITY = "(CASE WHEN status = 'confirmed' THEN 3 ELSE 0 END + CASE WHEN coalesce(jobs_cut_sg, jobs_cut_global) <> 0 THEN 2 ELSE 0 END + CASE WHEN pct_workforce <> 0 THEN 1 ELSE 0 END + CASE WHEN contains(source_link, 'web.archive.org') THEN 2 ELSE 0 END + CASE WHEN source_link <> '' AND NOT contains(source_link, 'news.google.com') THEN 1 ELSE 0 END)"
 GN = r"nullif(regexp_extract(notes, '\[gn:([^\]]*)\]', 1), '')"
-KEY = "coalesce(nullif(trim(event_id), ''), '__row__:' || company || '|' || date_announced || '|' || coalesce(nullif(source_link, ''), CAST(row_idx AS STRING)))"
+KEY = "coalesce(nullif(trim(event_id), ''), '__row__:' || e0.company || '|' || date_announced || '|' || coalesce(nullif(source_link, ''), CAST(row_idx AS STRING)))"
 EVENT = "coalesce(nullif(trim(event_id), ''), 'row-' || CAST(row_idx + 1 AS STRING))"
 
 
-def with_entries(rest: str, *ctes: str) -> str:
-    e = f"e0 AS ({oracle_entry()}), e AS (SELECT *, {KEY} AS event, {QUALITY} AS quality, {sql_key('company')} AS k, {sql_url('source_link')} AS url, {GN} AS gn, CAST(date_announced AS DATE) AS d, {EVENT} AS ev FROM e0)"
+def with_entries(rest: str, *ctes: str, company: str = "company", where: str = "true") -> str:
+    keys = f"n AS (SELECT DISTINCT company FROM e0), nk AS (SELECT company, {sql_key('company')} AS k FROM n)"
+    e = f"ev AS ({oracle_entry()}), e0 AS (SELECT * EXCLUDE (company), {company} AS company FROM ev), {keys}, every AS (SELECT e0.*, nk.k, {KEY} AS event, {QUALITY} AS quality, {sql_url('source_link')} AS url, {GN} AS gn, CAST(date_announced AS DATE) AS d, {EVENT} AS ev FROM e0 JOIN nk ON e0.company = nk.company), e AS (SELECT * FROM every WHERE {where})"
     return "WITH " + ", ".join([e, *ctes]) + " " + rest
 
 
@@ -244,10 +400,31 @@ MONTHS = """m AS (SELECT substring(first_date, 1, 7) AS month, sum(CASE WHEN con
 CHECK = """p AS (SELECT *, row_idx % 4 AS part, k || '||' || date_announced AS dk, k || '|' || substring(date_announced, 1, 7) AS mk FROM e),
 c AS (SELECT *, url <> '' AND url IN (SELECT url FROM p WHERE part > 0) AS by_url, gn IS NOT NULL AND gn IN (SELECT gn FROM p WHERE part IN (2, 3) AND gn IS NOT NULL) AS by_gn, mk IN (SELECT mk FROM p WHERE part IN (1, 2)) AS by_month FROM p WHERE part = 0),
 v AS (SELECT *, CASE WHEN by_url OR by_gn THEN 'duplicate' WHEN by_month THEN 'potential-duplicate' ELSE 'new' END AS verdict FROM c)"""
-PAIRS = """p AS (SELECT a.row_idx AS row_a, b.row_idx AS row_b, a.ev AS event_a, b.ev AS event_b, a.status AS sa, b.status AS sb, CAST(b.d - a.d AS INT) AS gap FROM e a JOIN e b ON a.k = b.k AND a.ev <> b.ev AND row(b.d, b.row_idx) > row(a.d, a.row_idx) AND b.d - a.d <= 31),
-t AS (SELECT 'duplicate' AS type, * FROM p WHERE gap = 0 UNION ALL SELECT 'double-count', * FROM p WHERE sa = 'confirmed' AND sb = 'confirmed' AND gap BETWEEN 1 AND 31 UNION ALL SELECT 'superseded-rumor', * FROM p WHERE sa = 'rumored' AND sb = 'confirmed')"""
+PAIRS = """p AS (SELECT a.row_idx AS row_a, b.row_idx AS row_b, a.ev AS event_a, b.ev AS event_b, a.status AS sa, b.status AS sb, a.d AS d_a, CAST(b.d - a.d AS INT) AS gap FROM e a JOIN e b ON a.k = b.k AND a.ev <> b.ev AND row(b.d, b.row_idx) > row(a.d, a.row_idx) AND b.d - a.d <= 31),
+t AS (SELECT 'duplicate' AS type, * FROM p WHERE gap = 0 UNION ALL SELECT 'double-count', * FROM p WHERE sa = 'confirmed' AND sb = 'confirmed' AND gap BETWEEN 1 AND 31 UNION ALL SELECT 'superseded-rumor', * FROM p WHERE sa = 'rumored' AND sb = 'confirmed' AND gap <= 30)"""
 ADVICE = f"""(SELECT row_idx + 1 AS row, 'future-date' AS type FROM e WHERE date_announced > '{TODAY}' UNION ALL SELECT row_idx + 1, 'contradictory-verdict' FROM e WHERE status = 'confirmed' AND (contains(notes, 'expected to') OR contains(notes, 'potential duplicate'))
- UNION ALL SELECT row_idx + 1, 'global-figure' FROM e WHERE status = 'confirmed' AND jobs_cut_sg * SCALE >= 1000 AND contains(notes, 'global') UNION ALL SELECT row_idx + 1, 'unarchived-confirmed' FROM e WHERE status = 'confirmed' AND NOT (contains(source_link, 'web.archive.org') OR contains(source_link, 'reuters.com')))"""
+ UNION ALL SELECT row_idx + 1, 'global-figure' FROM e WHERE status = 'confirmed' AND jobs_cut_sg * SCALE >= 1000 AND contains(notes, 'global') UNION ALL SELECT row_idx + 1, 'vague-company' FROM e WHERE status = 'confirmed' AND contains(company, 'Unnamed') UNION ALL SELECT row_idx + 1, 'unarchived-confirmed' FROM e WHERE status = 'confirmed' AND NOT (contains(source_link, 'web.archive.org') OR contains(source_link, 'reuters.com')))"""
+CROSS = f"""tk AS (SELECT DISTINCT row_idx, t FROM (SELECT row_idx, unnest(regexp_split_to_array(lower(company), '[^a-z]+')) AS t FROM e) WHERE length(t) >= 4 AND t NOT IN ({", ".join(f"'{w}'" for w in V.STOPWORDS)})),
+rt AS (SELECT * FROM tk QUALIFY count(*) OVER (PARTITION BY t) BETWEEN 2 AND 5), q AS (SELECT e.*, t FROM e JOIN rt USING (row_idx) WHERE status <> 'reference'),
+cn AS (SELECT a.row_idx AS row_a, b.row_idx AS row_b, a.ev AS event_a, b.ev AS event_b, any_value(a.d) AS d_a, any_value(abs(CAST(a.d - b.d AS INT))) AS gap, array_to_string(list_sort(list(DISTINCT a.t)), ',') AS tokens
+ FROM q a JOIN q b ON a.t = b.t AND a.industry = b.industry AND a.row_idx < b.row_idx AND a.k <> b.k AND a.ev <> b.ev AND abs(CAST(a.d - b.d AS INT)) <= 21 GROUP BY ALL)"""
+AUDIT = f"""dp AS ({DISTINCT.format(e="e")}), al AS ({ALLOWED.format(customer="customer")}), rj AS (SELECT * FROM every WHERE row_idx % 4 = 3 AND NOT contains(lower(notes), 'duplicate')),
+f AS (SELECT type, row_a, row_b, event_a, event_b, d_a, gap FROM t UNION ALL SELECT 'possible-same-event', row_a, row_b, event_a, event_b, d_a, gap FROM cn WHERE gap > 0),
+g AS (SELECT type, least(event_a, event_b) || ' + ' || greatest(event_a, event_b) AS identity, list_sort(list_distinct(flatten(list([row_a + 1, row_b + 1])))) AS rows, arg_min(event_a, row(d_a, row_a, row_b)) AS one, arg_min(event_b, row(d_a, row_a, row_b)) AS two FROM f GROUP BY 1, 2),
+since AS (SELECT ev, min(date_announced) AS s FROM e GROUP BY ev), ks AS (SELECT k AS a, lead(k) OVER (ORDER BY k) AS b FROM (SELECT DISTINCT k FROM e)), sp AS (SELECT a, b FROM ks WHERE length(a) >= 4 AND starts_with(b, a || ' ') AND (a, b) NOT IN (SELECT (a, b) FROM al)),
+adv AS (SELECT row_idx, type FROM {ADVICE.replace("SCALE", "10").replace("row_idx + 1 AS row", "row_idx").replace("row_idx + 1", "row_idx")}),
+w AS (SELECT type, CASE WHEN type <> 'superseded-rumor' AND s1.s > s2.s THEN two || '|' || one ELSE one || '|' || two END AS event_ids, array_to_string(rows, ',') AS rows, identity FROM g JOIN since s1 ON s1.ev = one JOIN since s2 ON s2.ev = two WHERE identity NOT IN (SELECT pair FROM dp)
+ UNION ALL SELECT 'same-day-same-event', event_a || '|' || event_b, CAST(row_a + 1 AS STRING) || ',' || CAST(row_b + 1 AS STRING), least(event_a, event_b) || ' + ' || greatest(event_a, event_b) FROM cn WHERE gap = 0
+ UNION ALL SELECT 'name-split', array_to_string(list_sort(list(DISTINCT ev)), '|'), array_to_string(list_sort(list(row_idx + 1)), ','), a || ' + ' || b FROM sp JOIN e ON e.k IN (a, b) GROUP BY a, b
+ UNION ALL SELECT 'duplicate-source', array_to_string(list_sort(list(DISTINCT ev)), '|'), array_to_string(list_sort(list(row_idx + 1)), ','), url FROM e WHERE url <> '' GROUP BY url HAVING count(*) > 1
+ UNION ALL SELECT type, ev, CAST(row_idx + 1 AS STRING), coalesce(nullif(url, ''), k || '@' || date_announced) FROM adv JOIN e USING (row_idx)
+ UNION ALL SELECT 'cross-file-contradiction', ev, CAST(row_idx + 1 AS STRING), coalesce(nullif(url, ''), k || '@' || date_announced) FROM e WHERE (url <> '' AND url IN (SELECT url FROM rj)) OR gn IN (SELECT gn FROM rj WHERE gn IS NOT NULL))"""
+RULE = lambda i: "CASE " + " ".join("WHEN regexp_matches(mt, '{}', 'i') THEN {}".format(r[0].replace("'", "''"), "NULL" if r[i] is None else "'" + r[i].replace("'", "''") + "'") for r in EVENT_RULES) + " END"
+NAMED = "translate(regexp_replace(company, 'Customer#0*', 'Co'), '0123456789', 'qwertyuiop')"
+GENERIC = ", ".join(f"'{w}'" for w in X.GENERIC)
+TOKENS = f"""sl AS (SELECT trim(regexp_replace(regexp_replace(k, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS s, min(row_idx) AS ord FROM e GROUP BY 1), fs AS (SELECT *, split_part(s, ' ', 1) AS w FROM sl),
+vt AS (SELECT * FROM (SELECT replace(s, ' ', '-') AS key, ord, unnest(list_distinct([s, replace(s, ' ', ''), replace(s, ' ', '-')] || CASE WHEN length(w) >= 5 AND w NOT IN ({GENERIC}) THEN [w] ELSE [] END)) AS variant FROM fs) WHERE key NOT IN ({GENERIC}) AND variant NOT IN ({GENERIC}) AND variant <> '')"""
+MATCH = f"h AS (SELECT * EXCLUDE (company), {HEADLINE} AS company FROM e), m AS (SELECT *, company || ' ' || regexp_replace(regexp_replace(regexp_replace(source_link, '^https?://[^/]+', ''), '[?#].*$', ''), '[-_/.]', ' ', 'g') AS mt FROM h), v AS (SELECT *, {RULE(1)} AS rc, {RULE(2)} AS ri, {RULE(3)} AS rv, {RULE(4)} AS rn FROM m), z AS (SELECT *, coalesce(rv, CASE WHEN contains(lower(mt), 'opinion:') THEN 'rejected' ELSE 'queue' END) AS verdict FROM v)"
 TITLE = r"array_to_string(string_split(trim(regexp_replace(regexp_replace(lower(regexp_replace(coalesce(text, ''), ' [-–] [^-–\n]+$', '')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ')[1:6], ' ')"
 
 ORACLES: dict[str, str] = {
@@ -261,32 +438,67 @@ ORACLES: dict[str, str] = {
     "canonical_row": with_entries("SELECT event, row_idx, quality FROM e QUALIFY row_number() OVER (PARTITION BY event ORDER BY quality DESC, row_idx) = 1"),
     "grouped_events": with_entries("SELECT event, row_idx, company, date_announced, CASE WHEN any_c AND status NOT IN ('confirmed', 'reference') THEN 'confirmed' ELSE status END AS status, jobs_cut_sg, jobs_cut_global, CAST(n - 1 AS INT) AS n_follow_ups FROM g",
         "g AS (SELECT event, row_idx, company, date_announced, status, bool_or(status IN ('confirmed', 'reference')) OVER w AS any_c, max(jobs_cut_sg) OVER w AS jobs_cut_sg, max(jobs_cut_global) OVER w AS jobs_cut_global, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY event) QUALIFY row_number() OVER (PARTITION BY event ORDER BY date_announced, quality DESC, row_idx) = 1)"),
-    "filters": with_entries("SELECT row_idx, company, date_announced, notes FROM e WHERE (contains(lower(company), 'global') OR contains(lower(industry), 'global') OR contains(lower(notes), 'global')) AND status = 'confirmed' AND starts_with(date_announced, '199') AND date_announced >= '1996-12-01'"),
+    "filters": with_entries("SELECT row_idx, company, date_announced, notes FROM e WHERE (contains(lower(company), 'global') OR contains(lower(industry), 'global') OR contains(lower(notes), 'global')) AND status = 'confirmed' AND date_announced >= '1996-12-01'"),
     "stale": with_entries(f"SELECT row_idx, CAST(DATE '{TODAY}' - d AS INT) AS age FROM e WHERE status = 'rumored' AND DATE '{TODAY}' - d >= 30"),
     "topk": with_entries("SELECT row_idx, date_announced, event_id FROM e ORDER BY date_announced DESC, row_idx LIMIT 50 OFFSET 20"),
     "url_keys": with_entries("SELECT row_idx, url AS url_key FROM e"),
     "rejected_dedup": with_entries("SELECT row_idx, source_link FROM e QUALIFY url = '' OR row_number() OVER (PARTITION BY url ORDER BY row_idx) = 1"),
     "title_fingerprint": f"SELECT doc_id, {TITLE} AS fingerprint FROM documents",
-    "hit_dedup": f"WITH h AS (SELECT doc_id AS row_idx, 'u' || CAST(doc_id % 600 AS STRING) AS url, {TITLE} AS f FROM documents), a AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY url ORDER BY row_idx) = 1) SELECT row_idx, url FROM a QUALIFY f = '' OR row_number() OVER (PARTITION BY f ORDER BY row_idx) = 1",
+    "hit_dedup": f"WITH h AS (SELECT doc_id AS row_idx, 'u' || CAST(CAST(floor(doc_id / 2) AS BIGINT) AS STRING) AS url, {TITLE} AS f FROM documents), a AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY url ORDER BY row_idx) = 1) SELECT row_idx, url FROM a QUALIFY f = '' OR row_number() OVER (PARTITION BY f ORDER BY row_idx) = 1",
     "company_key": with_entries(r"SELECT row_idx, k, regexp_replace(regexp_replace(k, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || substring(date_announced, 1, 7) AS slug, nullif(regexp_extract(event_id, '^(.+?-\d{4}-(?:0[1-9]|1[0-2]))(?:-([a-z][a-z0-9-]*))?$', 1), '') AS base FROM e"),
     "dedup_index": with_entries("SELECT row_idx, by_url, by_gn, by_month, verdict FROM v", CHECK),
     "ingest": with_entries("SELECT count(*) AS added, (SELECT count(*) FROM v) - count(*) + 2 AS duplicates, CAST(count_if(verdict = 'potential-duplicate') AS BIGINT) AS potential FROM f", CHECK, "f AS (SELECT * FROM v WHERE verdict <> 'duplicate' QUALIFY row_number() OVER (PARTITION BY dk ORDER BY row_idx) = 1)"),
     "islands_21": with_entries("SELECT row_idx, k, CAST(sum(n) OVER (PARTITION BY k ORDER BY d, row_idx) AS BIGINT) AS island FROM i", "i AS (SELECT row_idx, k, d, CASE WHEN d - lag(d) OVER (PARTITION BY k ORDER BY d, row_idx) <= 21 THEN 0 ELSE 1 END AS n FROM e)"),
     "same_company_pairs": with_entries("SELECT type, row_a, row_b, event_a, event_b, gap FROM t", PAIRS),
     "pair_groups": with_entries("SELECT type, least(event_a, event_b) || ' + ' || greatest(event_a, event_b) AS pair, array_to_string(list_sort(list_distinct(flatten(list([row_a + 1, row_b + 1])))), ',') AS rows, min(gap) AS gap FROM t GROUP BY 1, 2", PAIRS),
-    "cross_name": with_entries("SELECT a.row_idx AS row_a, b.row_idx AS row_b, abs(CAST(a.d - b.d AS INT)) AS gap, a.t AS tokens FROM n a JOIN n b ON a.t = b.t AND a.industry = b.industry AND a.row_idx < b.row_idx AND a.k <> b.k AND a.ev <> b.ev AND abs(CAST(a.d - b.d AS INT)) <= 400",
-        "x AS (SELECT *, 'tok' || translate(CAST(row_idx % 5000 AS STRING), '0123456789', 'abcdefghij') AS t FROM e WHERE status <> 'reference')", "n AS (SELECT * FROM x QUALIFY count(*) OVER (PARTITION BY t) BETWEEN 2 AND 5)"),
+    "cross_name": with_entries("SELECT row_a, row_b, gap, tokens, CASE WHEN gap = 0 THEN 'same-day-same-event' ELSE 'possible-same-event' END AS type FROM cn", CROSS, company=BRAND),
     "name_split": "WITH k AS (SELECT DISTINCT k FROM (SELECT lower(p_name) AS k FROM part UNION ALL SELECT string_split(lower(p_name), ' ')[1] FROM part)), n AS (SELECT k AS a, lead(k) OVER (ORDER BY k) AS b FROM k) SELECT a, b FROM n WHERE length(a) >= 4 AND starts_with(b, a || ' ')",
     "validate_rows": with_entries("SELECT row_idx + 1 AS row, 'pct_workforce' AS field FROM e WHERE pct_workforce > 100 UNION ALL SELECT row_idx + 1, 'industry' FROM e WHERE industry NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE') UNION ALL SELECT row_idx + 1, 'source_link' FROM e WHERE source_link = '' UNION ALL SELECT row_idx + 1, 'event_id' FROM e WHERE event_id = ''"),
     "advisories": with_entries(f"SELECT * FROM {ADVICE.replace('SCALE', '10')}"),
     "duplicate_sources": with_entries("SELECT url, count(*) AS n_rows, array_to_string(list_sort(list(row_idx + 1)), ',') AS rows FROM e WHERE url <> '' GROUP BY url HAVING count(*) > 1"),
-    "cross_file": with_entries("SELECT a.row_idx + 1 AS row, coalesce(u.i, g.i) + 1 AS rejected_row FROM e a LEFT JOIN (SELECT url, min(row_idx) AS i FROM r WHERE url <> '' GROUP BY url) u ON a.url = u.url LEFT JOIN (SELECT gn, min(row_idx) AS i FROM r WHERE gn IS NOT NULL GROUP BY gn) g ON a.gn = g.gn WHERE a.row_idx % 4 = 1 AND coalesce(u.i, g.i) IS NOT NULL", "r AS (SELECT * FROM e WHERE row_idx % 4 = 3 AND NOT contains(notes, 'duplicate'))"),
+    "cross_file": with_entries("SELECT a.row_idx + 1 AS row, coalesce(u.i, g.i) + 1 AS rejected_row FROM e a LEFT JOIN (SELECT url, min(row_idx) AS i FROM r WHERE url <> '' GROUP BY url) u ON a.url = u.url LEFT JOIN (SELECT gn, min(row_idx) AS i FROM r WHERE gn IS NOT NULL GROUP BY gn) g ON a.gn = g.gn WHERE a.row_idx % 4 < 2 AND coalesce(u.i, g.i) IS NOT NULL", "r AS (SELECT * FROM e WHERE row_idx % 4 >= 2 AND NOT contains(notes, 'duplicate'))"),
     "merge_chain": f"WITH RECURSIVE m AS ({MERGES.format(customer='customer')}), w AS (SELECT from_event_id, to_event_id AS target, 1 AS depth FROM m UNION ALL SELECT w.from_event_id, m.to_event_id, w.depth + 1 FROM w JOIN m ON w.target = m.from_event_id) SELECT from_event_id, target, depth FROM w QUALIFY row_number() OVER (PARTITION BY from_event_id ORDER BY depth DESC) = 1",
     "patch_kth": with_entries("SELECT a.row_idx, b.row_idx AS result_idx FROM x a LEFT JOIN y b ON a.k = b.k AND a.m = b.m AND a.n = b.n", "x AS (SELECT row_idx, k, substring(date_announced, 1, 4) AS m, row_number() OVER (PARTITION BY k, substring(date_announced, 1, 4) ORDER BY row_idx) AS n FROM e WHERE row_idx % 3 <> 0)", "y AS (SELECT row_idx, k, substring(date_announced, 1, 4) AS m, row_number() OVER (PARTITION BY k, substring(date_announced, 1, 4) ORDER BY row_idx) AS n FROM e WHERE row_idx % 3 = 0)"),
-    "new_warnings": with_entries("SELECT fingerprint, row FROM f WHERE row % 2 = 0 AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE row % 2 = 1 AND row < 400)", f"f AS (SELECT type || ' :: ' || CAST(row % 97 AS STRING) AS fingerprint, row FROM {ADVICE.replace('SCALE', '1')})"),
+    "new_warnings": with_entries("SELECT fingerprint, row FROM f WHERE row % 2 = 0 AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE row % 2 = 1)", f"f AS (SELECT type || ' :: ' || CAST(CAST(floor(row / 3) AS BIGINT) AS STRING) AS fingerprint, row FROM {ADVICE.replace('SCALE', '1')})"),
     "extract_figures": with_entries("SELECT row_idx, CASE row_idx % 4 WHEN 0 THEN row_idx % 3000 WHEN 1 THEN 1100 + row_idx % 800 END AS jobs, CASE row_idx % 4 WHEN 2 THEN CAST(row_idx % 100 AS DOUBLE) + 0.5 END AS pct FROM e"),
     "classify": r"SELECT doc_id AS row_idx, CASE WHEN regexp_matches(text, '(the|and) .{0,40} of ') THEN 'confirmed' WHEN contains(text, ' que ') THEN 'rumored' WHEN contains(text, ' und ') THEN 'confirmed' WHEN contains(text, 'license') OR contains(text, 'rights reserved') OR contains(text, 'est ') THEN 'rejected' ELSE 'queue' END AS verdict FROM documents",
     "resolve_clusters": with_entries("SELECT row_idx, CASE WHEN row_idx % 50 = 0 OR row_idx % 13 = 0 OR n = 1 OR (NOT anchored AND rk = 1) THEN status ELSE 'rejected' END AS final_verdict FROM c", "c AS (SELECT row_idx, status, count(*) OVER w AS n, bool_or(row_idx % 50 = 0) OVER w AS anchored, row_number() OVER (PARTITION BY industry, substring(date_announced, 1, 7) ORDER BY quality DESC, date_announced, row_idx) AS rk FROM e WINDOW w AS (PARTITION BY industry, substring(date_announced, 1, 7)))"),
     "json_verdict": "SELECT event_id, CASE WHEN event_id % 10 < 8 THEN CASE event_id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rumored' END END AS verdict, CASE WHEN event_id % 10 < 8 AND event_id % 2 = 1 THEN CAST(event_id % 77 AS DOUBLE) END AS jobs FROM events",
     "eval_metrics": "WITH r AS (SELECT lang, quality, CASE WHEN regexp_matches(text, '[#$%&|]|!!') THEN 0 ELSE 1 END AS g FROM labels JOIN documents USING (doc_id)), c AS (SELECT lang, CAST(count_if(quality = 1 AND g = 1) AS BIGINT) AS tp, CAST(count_if(quality = 0 AND g = 1) AS BIGINT) AS fp, CAST(count_if(quality = 1 AND g = 0) AS BIGINT) AS fn, CAST(count_if(quality = 0 AND g = 0) AS BIGINT) AS tn FROM r GROUP BY lang), p AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM c) SELECT lang, tp, fp, fn, tn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 9) AS f1, round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy FROM p",
+    "filters_year": with_entries("SELECT row_idx, company, date_announced FROM e WHERE industry = 'BUILDING' AND starts_with(date_announced, '1995-')"),
+    "facets": with_entries("SELECT year(d)::INT AS year, count(*) AS n_rows, max(date_announced) AS latest FROM e GROUP BY 1"),
+    "follow_ups": with_entries("SELECT count(*) AS events, sum(n - 1)::BIGINT AS follow_ups FROM (SELECT count(*) AS n FROM e GROUP BY event) WHERE n > 1"),
+    "event_stats": with_entries("SELECT count(*) AS rows, count(DISTINCT ev) AS events, count(DISTINCT CASE WHEN status = 'confirmed' THEN ev END) AS confirmed_events FROM e"),
+    "ingest_rows": with_entries("SELECT row_idx, verdict FROM v WHERE verdict <> 'duplicate' QUALIFY row_number() OVER (PARTITION BY dk ORDER BY row_idx) = 1", CHECK),
+    "node_keys": with_entries("SELECT row_idx, coalesce(key, k) AS key FROM e LEFT JOIN pk USING (company)", TOKENS,
+        "ti AS (SELECT DISTINCT company, ' ' || trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM e)", "mt AS (SELECT company, key, min(row(strpos(t, ' ' || variant || ' '), ord)) AS spot FROM ti JOIN vt ON contains(t, ' ' || variant || ' ') GROUP BY ALL)",
+        "pk AS (SELECT company, CASE WHEN count(*) >= 3 THEN '__aggregator__' ELSE arg_min(key, spot) END AS key FROM mt GROUP BY company)", company=NAMED),
+    "company_tokens": with_entries("SELECT key, variant FROM vt", TOKENS, company=NAMED),
+    "check_integrity": with_entries("SELECT *, type = 'same-day-same-event' AS hard FROM w", PAIRS, CROSS, AUDIT, company=BRAND, where="row_idx % 4 <> 3"),
+    "integrity_summary": with_entries("SELECT type, count(*) AS n FROM w GROUP BY type", PAIRS, CROSS, AUDIT, company=BRAND, where="row_idx % 4 <> 3"),
+    "regression": with_entries("SELECT 'new' AS side, fingerprint, row FROM fa WHERE fingerprint NOT IN (SELECT fingerprint FROM fb) UNION ALL SELECT 'resolved', fingerprint, row FROM fb WHERE fingerprint NOT IN (SELECT fingerprint FROM fa)",
+        f"adv AS (SELECT * FROM {ADVICE.replace('SCALE', '1')}), fa AS (SELECT type || ' :: ' || coalesce(nullif(url, ''), k || '@' || date_announced) AS fingerprint, row FROM adv JOIN e ON row = row_idx + 1)",
+        "n5 AS (SELECT * REPLACE (CASE WHEN row_idx % 5 = 0 THEN 'plans to' ELSE notes END AS notes) FROM e)",
+        f"adb AS (SELECT * FROM {ADVICE.replace('SCALE', '1').replace('FROM e ', 'FROM n5 ').replace('FROM e)', 'FROM n5)')}), adc AS (SELECT * FROM adb UNION ALL SELECT row_idx + 1, 'contradictory-verdict' FROM n5 WHERE status = 'confirmed' AND notes = 'plans to')",
+        "fb AS (SELECT type || ' :: ' || coalesce(nullif(url, ''), k || '@' || date_announced) AS fingerprint, row FROM adc JOIN e ON row = row_idx + 1)"),
+    "triage": with_entries("SELECT row_idx, verdict, rc AS rule_company, CASE WHEN rc IS NOT NULL THEN 'event rule' WHEN verdict = 'rejected' THEN 'commentary, statistics or policy' ELSE 'unclassified' END AS reason FROM z", MATCH),
+    "to_entry": with_entries("SELECT row_idx, coalesce(rc, company) AS company, coalesce(ri, 'Retail') AS industry, CASE WHEN verdict = 'rejected' AND coalesce(rn, notes) = '' THEN 'commentary, statistics or policy' ELSE coalesce(rn, notes) END AS notes, CASE WHEN verdict IN ('rejected', 'queue') THEN status ELSE verdict END AS status, CASE WHEN event_id <> '' THEN event_id ELSE regexp_replace(regexp_replace(kk, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || substring(date_announced, 1, 7) END AS event_id, date_reported FROM y", MATCH, f"y AS (SELECT *, {sql_key('coalesce(rc, company)')} AS kk FROM z)"),
+    "month_guard": with_entries("SELECT row_idx, CASE WHEN hot AND row_number() OVER (PARTITION BY hot, kk, substring(date_announced, 1, 7) ORDER BY row_idx) > 1 THEN 'rejected' ELSE verdict END AS final_verdict FROM y", MATCH, f"y AS (SELECT *, verdict IN ('confirmed', 'rumored') AS hot, {sql_key('coalesce(rc, company)')} AS kk FROM z)"),
+    "rejected_kinds": with_entries("SELECT row_idx, coalesce(kind, 'other') AS kind, contains(company, 'Unnamed') OR (status = 'confirmed' AND (contains(notes, 'expected to') OR contains(notes, 'potential duplicate'))) AS polluted FROM z", f"h AS (SELECT * REPLACE ({HEADLINE} AS company, notes || CASE row_idx % 5 WHEN 1 THEN ' hiring now' WHEN 2 THEN ' no Singapore nexus' WHEN 3 THEN ' tracker' ELSE '' END AS notes) FROM e)",
+        "z AS (SELECT *, CASE " + " ".join(f"WHEN regexp_matches({' || chr(32) || '.join(c)}, '{p}', 'i') THEN '{n}'" for n, p, c in REJECTED_KINDS) + " END AS kind FROM h)"),
+    "event_hints": with_entries("SELECT c.row_idx, nullif(pr.ev0, '') AS primary_event_id, coalesce(l.listed, '') AS listed FROM c LEFT JOIN pr ON pr.cl = c.cl LEFT JOIN l USING (row_idx)",
+        "c AS (SELECT row_idx, k, industry || date_announced AS cl FROM e WHERE row_idx % 4 = 0), a AS (SELECT row_idx, k, event_id, industry || date_announced AS cl FROM e WHERE row_idx % 4 <> 0), pr AS (SELECT cl, arg_min(event_id, row_idx) AS ev0 FROM a GROUP BY cl)",
+        "o AS (SELECT c.row_idx, i.event_id, 0 AS src, i.spot FROM c JOIN (SELECT k, event_id, min(row_idx) AS spot FROM a WHERE event_id <> '' GROUP BY ALL) i ON c.k = i.k UNION ALL SELECT c.row_idx, i.event_id, 1, i.spot FROM c JOIN (SELECT cl, event_id, min(row_idx) AS spot FROM a WHERE event_id <> '' GROUP BY ALL) i ON c.cl = i.cl)",
+        "o2 AS (SELECT o.row_idx, event_id, min(row(src, spot)) AS t FROM o JOIN c ON o.row_idx = c.row_idx LEFT JOIN pr ON pr.cl = c.cl WHERE event_id IS DISTINCT FROM pr.ev0 GROUP BY ALL)", "o3 AS (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY t, event_id) AS r FROM o2)", "l AS (SELECT row_idx, string_agg(event_id, '|' ORDER BY r) AS listed FROM o3 WHERE r <= 12 GROUP BY row_idx)"),
+    "align_events": with_entries("SELECT row_idx, CASE WHEN NOT anchored AND status <> 'reference' AND lead_id IS NOT NULL THEN lead_id ELSE event_id END AS new_event_id FROM b", "a AS (SELECT *, industry || substring(date_announced, 1, 7) AS cl FROM e)", "r AS (SELECT *, bool_or(row_idx % 300 = 0) OVER (PARTITION BY cl) AS anchored, row_number() OVER (PARTITION BY cl ORDER BY quality DESC, date_announced, row_idx) AS rk FROM a)", "b AS (SELECT *, max(CASE WHEN rk = 1 AND status <> 'reference' THEN event_id END) OVER (PARTITION BY cl) AS lead_id FROM r)"),
+    "apply_results": with_entries("SELECT a.row_idx, coalesce(b.ns, a.status) AS status, CASE WHEN b.i IS NULL OR b.source_link = '' THEN 'seen' ELSE 'seen | Evidence: ' || b.source_link END AS notes, b.i AS result_idx FROM x1 a LEFT JOIN y1 b ON a.k = b.k AND a.date_announced = b.date_announced AND a.n = b.n",
+        "x1 AS (SELECT row_idx, status, k, date_announced, row_number() OVER (PARTITION BY k, date_announced ORDER BY row_idx) AS n FROM e)", "y1 AS (SELECT row_idx AS i, source_link, k, date_announced, CASE row_idx % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'denied' ELSE 'expired' END AS ns, row_number() OVER (PARTITION BY k, date_announced ORDER BY row_idx) AS n FROM e WHERE row_idx % 3 = 0 AND row_idx % 4 <> 3)"),
+    "archive_links": with_entries("SELECT row_idx, source_link, 'https://web.archive.org/web/20260101000000/' || source_link AS archived FROM e WHERE source_link <> '' AND NOT contains(source_link, 'web.archive.org') AND status IN ('confirmed', 'reference') ORDER BY row_idx OFFSET 5"),
+    "golden_entries": with_entries("SELECT row_idx, CASE WHEN row_idx % 2 = 1 THEN coalesce(jobs_cut_sg, jobs_cut_global) END AS jobs_cut_sg, CASE WHEN row_idx % 2 = 0 THEN coalesce(jobs_cut_sg, jobs_cut_global) END AS jobs_cut_global, 'confirmed' AS status, '' AS event_id FROM e"),
+    "result_rows": with_entries("SELECT row_idx, CASE WHEN row_idx % 2 = 0 THEN 'confirmed' ELSE 'denied' END AS new_status, source_link AS evidence_url, trim(notes || CASE WHEN row_idx % 2 = 0 AND jobs_cut_sg IS NOT NULL THEN ' (~' || CAST(CAST(jobs_cut_sg AS BIGINT) AS STRING) || ' Singapore jobs)' ELSE '' END) AS evidence_note FROM e WHERE status = 'rumored'"),
+    "with_defaults": with_entries("SELECT row_idx, CASE WHEN row_idx % 2 = 0 THEN company ELSE 'Given' END AS company, CASE WHEN row_idx % 3 = 0 THEN date_announced ELSE '2026-01-02' END AS date_announced, date_reported, CASE WHEN row_idx % 5 = 1 THEN 7.0 ELSE jobs_cut_sg END::DOUBLE AS jobs_cut_sg, jobs_cut_global, 0.0::DOUBLE AS pct_workforce FROM e"),
+    "hit_to_review": "SELECT doc_id AS row_idx, 'x-t-' || doc_id AS review_id, 'Firm ' || doc_id AS company, CASE doc_id % 3 WHEN 0 THEN '2026-05-05' WHEN 1 THEN '2026-04-03' ELSE '2026-06-01' END AS date_announced, doc_id::DOUBLE AS jobs_cut_sg, 'via [gn:firm ' || doc_id || ' ltd cut ' || doc_id || ' jobs]' AS notes, substring(text, 1, 300) AS snippet FROM documents WHERE text IS NOT NULL",
+    "source_checks": with_entries("SELECT row_idx, contains(lower(notes), 'headcount') OR row_idx % 3 = 0 AS relevant, regexp_matches(lower(source_link), '^https?://(www[.])?([a-z0-9.]+[.])?(site7[.]example[.]com|reuters[.]com)/') AS excluded FROM e"),
+    "labels": with_entries("SELECT month, strftime(CAST(month || '-01' AS DATE), '%b') || ' ' || substring(month, 3, 2) AS label, 'Q' || CAST(ceil(CAST(substring(month, 6, 2) AS INT) / 3) AS INT) || ' ' || substring(month, 1, 4) AS heading FROM m", ROLL, MONTHS),
+    "tier_metrics": "WITH r AS (SELECT CASE event_id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rumored' ELSE 'rejected' END AS x, CASE CAST(floor(event_id / 2) AS BIGINT) % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rumored' ELSE 'rejected' END AS v, event_id % 5 = 0 AS g, CASE event_id % 4 WHEN 0 THEN 'singapore' WHEN 1 THEN 'global' WHEN 2 THEN 'partial' END AS h, CASE WHEN event_id % 2 = 0 THEN 'singapore' END AS s FROM events) SELECT count(*) AS cases, round(count(*) FILTER (x = v) / count(*), 9) AS verdict_accuracy, round(count(*) FILTER ((x <> 'rejected') = (v <> 'rejected')) / count(*), 9) AS accept_accuracy, count(*) FILTER (x <> 'rejected' AND v <> 'rejected') AS tier_cases, round(count(*) FILTER (x <> 'rejected' AND x = v) / count(*) FILTER (x <> 'rejected' AND v <> 'rejected'), 9) AS tier_match, count(*) FILTER (x = 'rumored' AND v = 'confirmed') AS over_confident, count(*) FILTER (x = 'confirmed' AND v = 'rumored') AS under_confident, count(*) FILTER (g) AS global_cases, count(*) FILTER (g AND v = 'confirmed' AND h = 'singapore') AS scope_leaks, count(*) FILTER (g AND h IN ('global', 'partial')) AS scope_recognised, count(s) AS scope_labelled, count(*) FILTER (s = h) AS scope_exact FROM r",
 }

@@ -8,7 +8,8 @@ from ledgerloom.session import table
 
 ENTRY = """
 SELECT o_orderkey AS row_idx,
- c_name || CASE o_orderkey % 4 WHEN 1 THEN ' Pte Ltd' WHEN 2 THEN ' Group Singapore' WHEN 3 THEN ' (Asia)' ELSE '' END AS company,
+ CASE WHEN o_orderkey % 97 = 0 THEN 'Unnamed retailer of ' ELSE '' END || c_name || CASE o_orderkey % 8 WHEN 1 THEN ' Pte Ltd' WHEN 2 THEN ' Group Singapore' WHEN 3 THEN ' (Asia)' WHEN 4 THEN ' Platforms'
+  WHEN 5 THEN ' Asia Pacific Ltd' WHEN 6 THEN ' Pâtisserie' WHEN 7 THEN ' Bar  & Grill' ELSE '' END AS company,
  CAST(CAST(o_orderdate AS DATE) AS STRING) AS date_announced,
  CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 10 AS INT) AS STRING) END AS date_reported,
  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(floor(o_totalprice / 1000) AS DOUBLE) END AS jobs_cut_sg,

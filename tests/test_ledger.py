@@ -5,10 +5,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
+from ledgerloom.operators import audit as A
+from ledgerloom.operators import classify as C
 from ledgerloom.operators import dedup as D
 from ledgerloom.operators import events as E
 from ledgerloom.operators import integrity as V
+from ledgerloom.operators import guards as U
+from ledgerloom.operators import hints as H
 from ledgerloom.operators import linking as G
+from ledgerloom.operators import projections as P
+from ledgerloom.operators import selection as S
 from ledgerloom.operators.components import connected_components
 from ledgerloom.sources import ledger_files as L
 from ledgerloom.streaming.ingest import ingest_stream
@@ -37,7 +43,7 @@ def test_month_of_earliest_row(spark):
 
 @pytest.mark.parametrize(
     "raw, key",
-    [("Nova Pte Ltd", "nova"), ("Nova Group Singapore", "nova group"), ("Nova (Asia)", "nova"), ("Café  Nova, Inc.", "cafe nova,".rstrip(",")), ("  ", ""), ("H&M", "h&m"), ("A & B Ltd", "a and b")],
+    [("Meta Platforms", "meta"), ("Heineken Asia Pacific", "heineken"), ("Flor Pâtisserie", "flor"), ("Őrség Bar & Grill", "orseg"), ("Cafe", "cafe"), ("Jetstar Asia", "jetstar asia"), ("Nova Pte Ltd", "nova"), ("Nova Group Singapore", "nova group"), ("Nova (Asia)", "nova"), ("Café  Nova, Inc.", "cafe nova,".rstrip(",")), ("  ", ""), ("H&M", "h&m"), ("A & B Ltd", "a and b")],
 )
 def test_company_key(spark, raw, key):
     assert one(spark, X.company_key(F.lit(raw))) == key
@@ -107,6 +113,167 @@ def test_clusters(spark):
     assert [c for _, c in sorted(map(tuple, G.cluster(e).collect()))] == [0, 0, 2, 3, 3]
 
 
+def test_clusters_leave_aggregators_and_unknown_companies_alone(spark):
+    e = rows(spark, {"company": "Orbit cuts jobs"}, {"company": "Orbit, Quasar and Nebula shed staff"}, {"company": "Orbit, Quasar and Nebula shed staff"}, {"company": ""}, {"company": ""}, {"company": "x", "source_link": "http://n.sg/2026/quasar-job-cuts"}, {"company": "Quasar"})
+    names = rows(spark, {"company": "Orbit"}, {"company": "Quasar"}, {"company": "Nebula"})
+    tokens = G.telling(G.company_tokens(names.select("company", "row_idx")))
+    keys = dict(map(tuple, G.node_keys(e, tokens).collect()))
+    assert [keys[i] for i in range(7)] == ["orbit", G.AGGREGATOR, G.AGGREGATOR, f"{G.UNKNOWN}3", f"{G.UNKNOWN}4", "quasar", "quasar"]
+    assert [c for _, c in sorted(map(tuple, G.cluster(e, tokens=tokens).collect()))] == [0, 1, 2, 3, 4, 5, 5]
+
+
+def test_clusters_match_a_sequential_model(spark):
+    rng = random.Random(3)
+    changes = [{"company": f"Firm{rng.choice('abcdefgh')} Ltd", "date_announced": str(datetime.date(2026, 1, 1) + datetime.timedelta(rng.randrange(200))), "notes": f"[gn:{rng.randrange(150)}]" if rng.random() < 0.2 else "", "source_link": f"http://s/{rng.randrange(400)}" if rng.random() < 0.3 else ""} for _ in range(250)]
+    own = list(range(250))
+
+    def find(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    for i, a in enumerate(changes):
+        for j, b in enumerate(changes[:i]):
+            near = a["company"] == b["company"] and abs((datetime.date.fromisoformat(a["date_announced"]) - datetime.date.fromisoformat(b["date_announced"])).days) <= 21
+            if near or (a["notes"] and a["notes"] == b["notes"]) or (a["source_link"] and a["source_link"] == b["source_link"]):
+                x, y = sorted((find(i), find(j)))
+                own[y] = x
+    assert sorted(map(tuple, G.cluster(rows(spark, *changes)).collect())) == [(i, find(i)) for i in range(250)]
+
+
+def test_vetoed_links_match_a_sequential_model(spark):
+    rng = random.Random(9)
+    changes = [{"company": f"C{rng.randrange(12)}", "date_announced": str(datetime.date(2026, 1, 1) + datetime.timedelta(rng.randrange(60))), "source_link": f"http://s.sg/{rng.randrange(50)}" if rng.random() < 0.5 else "", "event_id": f"e{rng.randrange(40)}-2026-0{rng.randrange(1, 4)}"} for _ in range(120)]
+    ids = sorted({c["event_id"] for c in changes})
+    pairs = [tuple(rng.sample(ids, 2)) for _ in range(25)]
+    foes = {frozenset(p) for p in pairs}
+    groups, own, members = dict(map(tuple, G.window_groups(rows(spark, *changes), distinct=pairs).collect())), list(range(120)), {i: {i} for i in range(120)}
+
+    def find(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    edges = [(i, groups[i]) for i in range(120)]
+    for key in (lambda c: c["source_link"], lambda c: c["company"].lower() + "|" + c["event_id"]):
+        first = {}
+        for i, c in enumerate(changes):
+            if key(c):
+                edges.append((i, first.setdefault(key(c), i)))
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        if x != y and not any(frozenset((changes[p]["event_id"], changes[q]["event_id"])) in foes for p in members[x] for q in members[y]):
+            own[y] = x
+            members[x] |= members.pop(y)
+    best = {r: min(m, key=lambda i: (-(3 + (changes[i]["source_link"] != "")), i)) for r, m in members.items()}
+    got = {r.row_idx: r.new_event_id for r in G.link_events(rows(spark, *changes), distinct=pairs).collect()}
+    assert got == {i: changes[best[find(i)]]["event_id"] for i in range(120)}
+
+
+def test_merge_assertions(spark):
+    m = G.resolve_merges(spark.createDataFrame([("a", "b")], "from_event_id string, to_event_id string"))
+    G.assert_merges(m, rows(spark, {"event_id": "b"}))
+    with pytest.raises(ValueError):
+        G.assert_merges(m, rows(spark, {"event_id": "c"}))
+    with pytest.raises(ValueError):
+        G.assert_merges(m, rows(spark, {"event_id": "b"}), spark.createDataFrame([("a + b",)], "pair string"))
+
+
+def test_deletion_keeps_the_best_row_of_a_window(spark):
+    e = rows(spark, {}, {"date_announced": "2026-05-03", "jobs_cut_sg": 5.0}, {"date_announced": "2026-06-03"})
+    assert sorted(r.row_idx for r in G.dedup_by_deletion(e).collect()) == [1, 2]
+
+
+def test_share_of_zero_adds_nothing(spark):
+    q = [r[0] for r in rows(spark, {"pct_workforce": 0.0}, {"pct_workforce": 5.0}).orderBy("row_idx").select(X.row_quality()).collect()]
+    assert q == [3, 4]
+
+
+@pytest.mark.parametrize(
+    "raw, day",
+    [("2026-05-04", "2026-05-04"), (" 2026-05-04 ", "2026-05-04"), ("4 May 2026", "2026-05-04"), ("May 4, 2026", "2026-05-04"), ("14 september 2026", "2026-09-14"), ("Tue, 05 May 2026 23:30:00 GMT", "2026-05-05"), ("2026-05-04T23:30:00Z", "2026-05-04"), ("2026-05-04T23:30:00-02:00", "2026-05-05"), ("soon", None), ("", None)],
+)
+def test_parse_date(spark, raw, day):
+    assert one(spark, X.parse_date(F.lit(raw))) == day
+
+
+def test_small_functions(spark):
+    assert one(spark, X.guess_company(F.lit("Nova Pte Ltd lays off 20"))) == "Nova" and one(spark, X.guess_company(F.lit("cuts at Nova"))) == "Cuts At Nova"
+    assert one(spark, X.append_evidence(F.lit("a"), F.lit("u"))) == "a | Evidence: u" and one(spark, X.append_evidence(F.lit("see u"), F.lit("u"))) == "see u" and one(spark, X.append_evidence(F.lit(None).cast("string"), F.lit("u"))) == "Evidence: u"
+    assert one(spark, X.map_industry(F.lit("information_technology"))) == "Tech" and one(spark, X.map_industry(F.lit(""))) == "Other"
+    assert one(spark, X.normalize_industry(F.lit("the retail trade"))) == "Retail"
+    assert S.rotated(["a", "b", "c"], ["k"], "2026-01-02", 3) == ["k", "c", "a"]
+
+
+def finding_types(spark, *changes, **how):
+    return sorted((r.type, r.identity) for r in A.check_integrity(rows(spark, *changes), "2026-12-31", **how).collect() if r.type not in ("unarchived-confirmed",))
+
+
+def test_audit_windows_and_suppression(spark):
+    rumor = {"status": "rumored", "date_announced": "2026-01-01", "event_id": "a"}
+    for day, n in (("2026-01-31", 1), ("2026-02-01", 0)):
+        assert len(finding_types(spark, rumor, {"date_announced": day, "event_id": "b"})) == n
+    same = [{"event_id": "a"}, {"event_id": "b"}]
+    assert finding_types(spark, *same) == [("duplicate", "a + b")]
+    assert finding_types(spark, *same, distinct_pairs=spark.createDataFrame([("a + b",)], "pair string")) == []
+
+
+def test_audit_tokens_are_counted_over_all_rows(spark):
+    def of(n, last):
+        return finding_types(spark, *({"company": f"Zephyr {'abcdefgh'[i] * 4}", "event_id": f"e{i}", "date_announced": "2026-05-01" if i < 2 else f"2020-0{i}-01", "status": last if i == n - 1 else "confirmed"} for i in range(n)))
+
+    assert of(5, "reference") == [("same-day-same-event", "e0 + e1")] and of(6, "reference") == []
+
+
+def test_audit_messages_and_hard_errors(spark):
+    e = rows(spark, {"company": "Uber", "event_id": "a"}, {"company": "Uber Technologies", "event_id": "b"}, {"company": "Unnamed firm", "event_id": "c", "date_announced": "2027-01-01", "notes": "plans to cut globally", "jobs_cut_sg": 2000.0})
+    got = {(r.type, r.hard): r.message for r in A.check_integrity(e, "2026-12-31").collect()}
+    assert got["same-day-same-event", True].startswith("Same-day, same-industry entries share distinctive company token(s) [uber]: \"Uber\" and \"Uber Technologies\" both on 2026-05-01")
+    assert got["future-date", False] == 'Future date: "Unnamed firm" dated 2027-01-01 (after 2026-12-31)'
+    assert got["global-figure", False] == 'Global figure in jobs_cut_sg: "Unnamed firm" jobs_cut_sg=2000 reads as worldwide — move to jobs_cut_global'
+    assert ("name-split", False) in got and ("vague-company", False) in got and ("contradictory-verdict", False) in got
+    errors, hard, warnings = A.analyze(e, "2026-12-31")
+    assert hard.count() == 1 and warnings.count() == len(got) - 1 + 2 and errors.filter("field = 'source_link'").count() == 3
+    twice = finding_types(spark, {"company": "Orbit", "event_id": "a"}, {"company": "ORBIT", "event_id": "b", "date_announced": "2026-04-20"})
+    assert twice == [("double-count", "a + b")]
+
+
+def test_guards_hold_back_what_adds_findings(spark):
+    ledger = rows(spark, {"event_id": "a", "source_link": "https://reuters.com/1"})
+    audit = lambda d: A.check_integrity(d, "2026-12-31")
+    new = rows(spark, {}, {"event_id": "b", "source_link": "https://reuters.com/2"}, {"event_id": "c", "company": "Nova", "source_link": "https://reuters.com/3"}).filter("row_idx > 0")
+    kept, held = U.screen_batch(ledger, new, audit)
+    assert [r.row_idx for r in kept.collect()] == [2] and [(r.row_idx, r.added) for r in held.collect()] == [(1, ["duplicate :: a + b"])]
+
+
+def test_results_are_taken_back_where_they_add_findings(spark):
+    ledger = rows(spark, {"status": "rumored", "event_id": "a", "source_link": "https://reuters.com/1"}, {"status": "rumored", "event_id": "b", "company": "Nova", "notes": "plans to cut", "source_link": "https://reuters.com/2"})
+    results = spark.createDataFrame([(0, "Orbit Ltd", " 2026-05-01", "confirmed", "http://e"), (1, "Nova", "2026-05-01", "confirmed", "http://f"), (2, "None", "2026-05-01", "denied", "")], "row_idx long, company string, date_announced string, new_status string, evidence_url string")
+    out, undone = U.apply_results_safely(ledger, results, lambda d: A.check_integrity(d, "2026-12-31"))
+    got = {r.row_idx: (r.status, r.notes) for r in out.collect()}
+    assert undone == [1] and got == {0: ("confirmed", "Evidence: http://e"), 1: ("rumored", "plans to cut")}
+
+
+def test_hinted_ids_are_taken_word_for_word(spark):
+    hints = spark.createDataFrame([(0, "p", ["a"]), (1, None, [])], "row_idx long, primary_event_id string, listed array<string>")
+    v = spark.createDataFrame([(0, " a "), (1, "b"), (2, None)], "row_idx long, proposed string")
+    assert {r.row_idx: (r.event_id, r.discarded_event_id) for r in H.pick_hinted(v, hints).collect()} == {0: ("a", None), 1: (None, "b"), 2: (None, None)}
+
+
+def test_source_events(spark):
+    e = spark.createDataFrame([(0, "7", "Nova Pte Ltd", "it", "4 May 2026", None, 10.5, True, "Paper", " ", "note"), (1, "7", "Nova", None, None, None, None, None, None, None, None), (2, "8", " ", None, None, None, None, None, None, None, None)], "row_idx long, id string, company string, industry string, announcement_date string, created_date string, affected double, is_exact boolean, source_name string, source_url string, notes string")
+    kept, counts = P.source_events(e)
+    r = P.event_to_review(kept, "2026-06-01").first()
+    assert counts.first().skipped == 2 and (r.company, r.date_announced, r.jobs_cut_sg, r.industry, r.source_link) == ("Nova", "2026-05-04", 11.0, "Tech", "https://layoffsg.com/feed?event=7")
+    assert r.notes == "From layoffsg.com (via Paper; exact count; note) [lsg:7]" and "review_id" not in P.without_review(kept).columns
+
+
+def test_canonical_score_and_pool(spark):
+    d = spark.createDataFrame([(100.0, "http://a", True, False), (None, "https://news.google.com/x", False, True)], "jobs_cut double, source_link string, rule_matched boolean, broken_url boolean")
+    assert sorted(r[0] for r in d.select(C.canonical_score()).collect()) == [0, 1031]
+    assert C.reject_pool(rows(spark, {"source_link": "x"}, {"source_link": ""}, {"source_link": "x", "notes": "Duplicate of y"})).count() == 1
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
