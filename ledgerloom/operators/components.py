@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 def stage(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
