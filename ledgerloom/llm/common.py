@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.components import connected_components, shared_dir, stage
 
-__all__ = ["connected_components", "create", "documents", "filesystem", "mix", "numbered", "shared_dir", "stage", "texts_of", "word_pattern", "words_col", "slices"]
+__all__ = ["connected_components", "create", "documents", "filesystem", "fresh", "join_counted", "mix", "numbered", "own_columns", "shared_dir", "stage", "texts_of", "word_pattern", "words_col", "slices"]
 
 #: Fixed value: the words of every contract are runs of anything but ASCII white space.
 word_pattern = "[^\\x20\\x09-\\x0D]+"
@@ -64,6 +64,31 @@ def slices(sizes: list[int], most: int) -> list[tuple[int, int]]:
     return out
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs written once with a number per row in _row, so that decisions find their rows again even where ids repeat or are null."""
-    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs written once with a number per row, and the name of that column, so that decisions find their rows again even where ids repeat or are null."""
+    row = fresh(docs, "_row")
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, rows: int) -> DataFrame:
+    """left joined with right's row of its key, however many rows share one: right tells their number in `count`, of `rows` in all.
+
+    Keys with more than a quarter of a partition's share of rows, thus at most four a partition, are broadcast; their
+    rows stay where they are, and only the others are shuffled. `count` is not among the result's columns.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.col(count) > max(1.0, rows / (4 * parts))
+    many, few = F.broadcast(right.filter(hot).drop(count)), right.filter(~hot).drop(count)
+    return left.join(many, key).unionByName(left.join(F.broadcast(right.filter(hot).select(key)), key, "left_anti").join(few, key))

@@ -86,6 +86,21 @@ def fly(sizes: np.ndarray, chances: np.ndarray, rng: np.random.Generator, land:
     return p
 
 
+def fly_in_chunks(sizes: np.ndarray, chances: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
+    """`fly` for any number of units: chunks of BLOCK fly apart, what they leave flies again, so work grows with the number of units, not its square."""
+    p = chances.astype(float)
+    while True:
+        left = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+        if len(left) <= BLOCK:
+            break
+        for lo in range(0, len(left), BLOCK):
+            own = left[lo : lo + BLOCK]
+            p[own] = fly(sizes[own], p[own], rng, False)
+        if ((p > EPS) & (p < 1 - EPS)).sum() == len(left):
+            break
+    return fly(sizes, p, rng, land)
+
+
 def mix_sources(docs: DataFrame, most: int = 3, seed: int = 7, row: str | None = None) -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target, copies, taken (and `row`, if named).
 
@@ -116,7 +131,7 @@ def mix_sources(docs: DataFrame, most: int = 3, seed: int = 7, row: str | None =
     def flight(group: pd.DataFrame) -> pd.DataFrame:
         g = group.assign(key=group["doc_id"].fillna(-1)).sort_values(["size", "turn", "key", "row"], ascending=[False, True, True, True]).drop(columns="key")
         rng = np.random.default_rng([seed, int(g["block"].iloc[0]), *g["name"].iloc[0].encode()])
-        return g.assign(chance=fly(g["size"].to_numpy(float), g["chance"].to_numpy(float), rng, bool(g["blocks"].iloc[0] <= 1)))
+        return g.assign(chance=fly_in_chunks(g["size"].to_numpy(float), g["chance"].to_numpy(float), rng, bool(g["blocks"].iloc[0] <= 1)))
 
     schema = flying.schema
     while True:

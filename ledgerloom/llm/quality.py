@@ -128,7 +128,7 @@ def compared(d: DataFrame, refs: list[dict]) -> DataFrame:
     return d.withColumn("_best", F.array_min(ways))
 
 
-def quality_rules(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+def quality_rules(docs: DataFrame, keep_text: bool = True, carry: list[str] | None = None) -> DataFrame:
     """docs' own columns plus NEW: the base counts, base_failed, js_words, js_chars and kept; a column of docs of one of those names gives way.
 
     docs has text and lang. Null text counts as empty and fails the base rules, as does any text of under MIN_WORDS
@@ -136,10 +136,10 @@ def quality_rules(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     are null, and the base rules alone decide, if it is too short to compare, or its language has no reference;
     a null lang is compared with all. Ties in the ranking of common words go by code point. Repeated rows are judged
     one by one and weigh in a reference like one; an empty table gives no rows; other columns, whatever their names,
-    pass through. Facts of rows are written once, without texts, to the shared folder; with keep_text they are found
+    pass through; of several `carry` names those that do. Facts of rows are written once, without texts, to the shared folder; with keep_text they are found
     again when rows are judged, so that no text is written; without it text is not among the columns, and the written ones serve.
     """
-    names = [c for c in docs.columns if c not in NEW and (keep_text or c != "text")]
+    names = carry or [c for c in docs.columns if c not in NEW and (keep_text or c != "text")]
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     every = facts(docs.select(row, F.col("lang"), F.col("text").isNotNull().alias("_has"), text))

@@ -17,10 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import connected_components, stage, texts_of
+from ledgerloom.llm.common import connected_components, join_counted, stage, texts_of
 
 BITS = 64
-SMALL = 24
+SMALL, LONG = 24, 2048
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -73,13 +73,27 @@ def forest(prints: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np
     return left, right
 
 
-def links(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among sorted complete lists: short ones compared at all offsets at once, long ones searched."""
+def links(keys: np.ndarray, prints: np.ndarray, distance: int, split: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Links among sorted complete lists: short ones compared at all offsets at once, long ones searched.
+
+    Very long ones are first cut by the distance + 1 segments of which two fingerprints within reach share one
+    unchanged, so that work on a list does not grow with the square of its length.
+    """
     left, right = [prints[:0]], [prints[:0]]
     heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(heads, len(keys)))
     for h, n in zip(heads[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-        a, b = forest(prints[h : h + n], distance)
+        own = prints[h : h + n]
+        if n > LONG and split:
+            for i in range(distance + 1):
+                lo, hi = BITS * i // (distance + 1), BITS * (i + 1) // (distance + 1)
+                part = (own >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
+                order = np.argsort(part, kind="stable")
+                a, b = links(part[order], own[order], distance, False)
+                left.append(a)
+                right.append(b)
+            continue
+        a, b = forest(own, distance)
         left += a
         right += b
     short = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
@@ -102,7 +116,8 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4, row: st
     Null, empty and blank texts have fingerprint zero and are linked like any other; component_id is the
     smallest doc_id reachable (null ids never name a group; a group of null ids alone has null). Exact
     copies and repeated rows meet in one fingerprint before any search. An empty table gives no rows; other
-    columns are not read. Work on a key's list grows with its members times those they can't reach.
+    columns are not read. A key's list is in one task, 8 bytes a member; rows of one fingerprint, and fingerprints of one
+    component, stay where they are, however many.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,11 +154,14 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4, row: st
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(row).cast("long") if row else F.lit(None).cast("long")).alias("row"), F.col("text").cast("string").alias("text"))
     marked = stage(rows.mapInArrow(mark, "doc_id long, row long, mark long"), "marks")
-    prints = marked.groupBy("mark").agg(F.min("doc_id").alias("first"))
+    total = marked.count()
+    prints = stage(marked.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "prints")
     filed = prints.select("mark").mapInArrow(file, "key long, mark long").repartition("key").sortWithinPartitions("key")
-    groups = connected_components(filed.mapInArrow(link, "a long, b long"))
-    named = prints.join(groups, prints["mark"] == groups["node"], "left").select("mark", "first", F.coalesce("component", "mark").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = named.join(smallest, "component").select("mark", "component_id", F.col("component").alias("group"))
-    out = marked.join(ids, "mark").select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id", "group", "row")
+    groups = stage(connected_components(filed.mapInArrow(link, "a long, b long")).select(F.col("node").alias("mark"), "component"), "components")
+    # only linked fingerprints, fewer than all, meet by component; however many one has
+    linked = groups.join(prints.select("mark", "first"), "mark")
+    smallest = stage(linked.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("members")), "smallest")
+    named = join_counted(linked.select("mark", "component"), smallest, "component", "members", total)
+    ids = prints.join(named, "mark", "left").select("mark", "n", F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", "mark").alias("group"))
+    out = join_counted(marked, stage(ids, "ids"), "mark", "n", total).select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id", "group", "row")
     return out.withColumnRenamed("row", row) if row else out.drop("row")

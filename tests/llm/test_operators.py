@@ -328,19 +328,190 @@ def test_votes_find_the_good_labeller():
     assert ((post[back.ravel()] > 0.5) == (truth > 0)).mean() > 0.9 and np.allclose(found["accuracy"], (0.95, 0.8, 0.8, 0.6), atol=0.06)
 
 
-def test_pipeline_stages(spark, docs):
+CLASHING = ["words", "kept", "copies", "_row", "row", "_doc", "_copies", "_turn", "group", "first", "n", "key", "rid", "sha", "size", "n_words", "text_sha256", "turn", "place", "component"]
+
+
+def pipeline_rows():
+    """Clean prose, copies exact and near, junk, blanks, repeated rows and ids, null in every column."""
+    rng = random.Random(21)
+    clean = prose(rng, 40)
+    near = [" ".join(w if k != 7 else "zzz" for k, w in enumerate(t.split())) for t in clean[:6]]
+    texts = [*clean, *near, *[t.replace(" ", "\n") for t in clean[:4]], clean[9], " ".join(clean[:30]), "spam " * 200, "short", None, "", " \n"]
+    rows = [(i, t, "en", ["s", "t", None][i % 3]) for i, t in enumerate(texts)]
+    return [*rows, rows[2], (None, clean[3], None, None), (None, clean[12], "xx", "s")]
+
+
+def jaccard_groups(sets):
+    own = list(range(len(sets)))
+
+    def find(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                own[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def test_pipeline_stages_against_brute_force_with_clashing_columns(spark):
     import corpus_pipeline as P
+    import duckdb
 
-    d = docs.select("doc_id", "text", "lang", "source")
-    for k, (_, step) in enumerate(P.STAGES):
-        before = d.count()
-        out = P.stage(step(spark, d, ""), "t")
-        if k < 3:
-            assert out.count() <= before
-        if k < 4:
+    from ledgerloom.llm.quality import oracle
+
+    rows = pipeline_rows()
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in CLASHING)
+    d = spark.createDataFrame([(*r, *(f"{c}{k}" if k % 2 else None for c in CLASHING)) for k, r in enumerate(rows)], schema).repartition(3)
+    marks = lambda x: Counter(tuple(r) for r in x.collect())
+    every = marks(d)
+
+    def stage(name):
+        out = P.stage(dict(P.STAGES)[name](spark, d, ""), "t")
+        if name != "packing":
             assert out.columns == d.columns
-            d = out
-    assert out.count() > 0
+        return out
+
+    # quality: the SQL over the same rows, told apart by their place
+    c = duckdb.connect()
+    frame = d.select("text", "lang").toPandas().reset_index(names="doc_id")
+    c.register("documents", frame)
+    kept = {r[0] for r in c.sql(oracle()).fetchall() if r[-1]}
+    want = Counter((t, g) for k, (t, g) in enumerate(zip(frame["text"], frame["lang"], strict=True)) if k in kept)
+    out = stage("quality rules")
+    assert Counter((r.text, r.lang) for r in out.collect()) == want and not marks(out) - every and sum(want.values()) > 40
+    d = out
+
+    out, groups = stage("exact dedup"), {}
+    for r in d.collect():
+        groups.setdefault("".join((r.text or "").split()), []).append((-len(r.text or ""), r.doc_id is None, r.doc_id or 0))
+    assert Counter((-len(r.text), r.doc_id is None, r.doc_id or 0) for r in out.collect()) == Counter(min(g) for g in groups.values())
+    assert not marks(out) - marks(d)
+    d = out
+
+    out, before = stage("near dedup"), d.collect()
+    best = {}
+    for r, g in zip(before, jaccard_groups([five(r.text) for r in before]), strict=True):
+        best[g] = min(best.get(g, (True, 1 << 60)), (r.doc_id is None, r.doc_id or 0))
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == Counter(best.values()) and len(best) < len(before)
+    assert not marks(out) - marks(d)
+    d = out
+
+    out = stage("mixing")
+    taken = {(r.doc_id, r.source): r for r in mix_sources(d).collect()}
+    got = Counter((r.doc_id, r.source) for r in out.collect())
+    assert all(got[k] == r.copies and r.copies <= 3 for k, r in taken.items()) and not set(marks(out)) - set(marks(d))
+    target, real, most = {}, Counter(), {}
+    for (_, s), r in taken.items():
+        target[s], most[s] = r.target, max(most.get(s, 0), r["size"])
+        real[s] += r.taken
+    assert all(abs(real[s] - target[s]) <= most[s] for s in target)
+    d = out
+
+    packed = stage("packing").collect()
+    tokens = Counter()
+    for r in packed:
+        tokens[r.doc_id] += r.length
+    plain = Counter()
+    for r in d.collect():
+        plain[r.doc_id] += len(PLAIN[BYTE].encode(r.text or "", add_special_tokens=False).ids) + 1
+    assert tokens == plain
+    fill = Counter()
+    for r in packed:
+        fill[r.sequence_id] += r.length
+    assert all(n == 1024 or n & (n - 1) == 0 for n in fill.values())
+
+
+def test_pipeline_stages_take_empty_tables(spark):
+    import corpus_pipeline as P
+
+    d = spark.createDataFrame([], "doc_id long, text string, lang string, source string, kept string")
+    for name, step in P.STAGES:
+        out = step(spark, d, "")
+        assert out.count() == 0 and (name == "packing" or out.columns == d.columns)
+
+
+def test_run_is_its_stages(spark, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame(pipeline_rows(), "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, step in P.STAGES:
+        d = P.stage(step(spark, d, str(tmp_path)), "t")
+    tokens = lambda x: sum(r.length for r in x.collect())
+    assert tokens(P.run(spark, str(tmp_path))) == tokens(d) > 0
+
+
+def test_flight_in_chunks_keeps_totals():
+    from ledgerloom.llm.mixing import fly_in_chunks
+
+    rng = np.random.default_rng(4)
+    size = np.sort(rng.lognormal(5, 1, 5000))[::-1]
+    p = fly_in_chunks(size, np.full(5000, 0.4), np.random.default_rng(2), True)
+    assert set(p) <= {0.0, 1.0} and abs(p.sum() - 2000) <= 3 and abs((p * size).sum() / (0.4 * size.sum()) - 1) < 0.001
+
+
+def test_mixing_comes_near_its_targets(spark):
+    rng = random.Random(2)
+    rows = [(i, "w " * max(1, int(rng.lognormvariate(4, 1))), rng.choice("abc")) for i in range(3000)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in "abc":
+        own = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in own) / own[0].target - 1) < 0.01
+
+
+def test_simhash_of_one_hot_text_and_long_lists(spark):
+    from ledgerloom.llm import simhash as H
+
+    rows = [(i, "one two three four five six") for i in range(400)] + [(1000 + i, f"text {i} is {i * 7} of {i * 3}") for i in range(200)]
+    got = simhash_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 600 and {r.component_id for r in got if r.doc_id < 400} == {0}
+    rng = np.random.default_rng(5)
+    prints = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64) & np.uint64((1 << 18) - 1))
+    a, b = H.links(np.zeros(len(prints), np.int64), prints, 4)
+    c, e = H.links(np.zeros(len(prints), np.int64), prints, 4, split=False)
+
+    def parts(x, y):
+        own = {int(p): int(p) for p in prints}
+
+        def find(k):
+            while own[k] != k:
+                k = own[k]
+            return k
+
+        for p, q in zip(x, y, strict=True):
+            p, q = sorted((find(int(p)), find(int(q))))
+            own[q] = p
+        return {p: find(p) for p in own}
+
+    assert len(prints) > H.LONG and parts(a, b) == parts(c, e)
+
+
+def test_exact_with_a_hot_group(spark):
+    rows = [(i, "same text") for i in range(500)] + [(1000 + i, f"t{i % 150}") for i in range(300)]
+    out = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(out) == 800 and sum(r.kept for r in out) == 151 and {(r.keep_id, r.group_size) for r in out if r.doc_id < 500} == {(0, 500)}
+    assert all(r.group_size == 2 and r.keep_id == 1000 + (r.doc_id - 1000) % 150 for r in out if r.doc_id >= 1000)
+
+
+def test_weak_quality_scores_like_its_plain_posterior(spark):
+    good, bad = prose(random.Random(3), 60), [" ".join(f"#{i}$ AAA|" for _ in range(9)) for i in range(30)]
+    rows = [(i, t, "x") for i, t in enumerate(good + bad)] + [(None, None, None), (5, good[5], "y"), (900, "", None), (901, "long " * 9000, None)]
+    got = weak_quality(spark.createDataFrame(rows, "doc_id long, text string, votes string").repartition(3)).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and 0 <= r.label_prob <= 1 for r in got)
+    kept = Counter((r.doc_id, r.kept) for r in got)
+    assert sum(kept[(i, True)] for i in range(60)) >= 58 and sum(kept[(i, False)] for i in range(60, 90)) >= 28
+    again = {r.doc_id: round(r.label_prob, 9) for r in weak_quality(spark.createDataFrame(rows, "doc_id long, text string, votes string").repartition(2)).collect()}
+    assert all(again[r.doc_id] == round(r.label_prob, 9) for r in got)
+
+
+def test_quality_passes_other_columns_through(spark):
+    rows = [(i, t, "en", "w", "k", "h") for i, t in enumerate(prose(random.Random(8), 25))] + [(None, None, None, None, None, None)]
+    out = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, words string, kept string, _h string"))
+    assert out.columns[:5] == ["doc_id", "text", "lang", "words", "_h"] and {r.words for r in out.collect()} == {"w", None}
 
 
 def prose(rng, n, common=("the", "of", "and", "to", "in", "was")):
