@@ -73,7 +73,7 @@ def exact_dedup(docs: DataFrame, hash_bits: int = 48, broadcast_hashes: int = 1_
             yield from flush()
 
     out = stage(rows.mapInArrow(send, "doc_id long, row long, n_chars int, sha binary, key long, sender long, owner long, rank long, rid long, n long, coded binary, twice binary"), "fingerprints")
-    bits = repeated(out.filter("coded is not null").select("sender", "owner", "coded", "twice"))
+    bits = repeated(out.filter("coded is not null").select("sender", "owner", "coded", "twice", F.lit(None).cast("binary").alias("check")))
     flag = F.coalesce(F.getbit(F.expr("get(bits, int(rank div 64))"), F.expr("int(rank % 64)")) == 1, F.lit(False))
     seen = out.filter("coded is null").select("doc_id", "row", "n_chars", "sha", "key", "sender", "owner", "rank", "rid")
     seen = stage(seen.join(bits, ["sender", "owner"], "left").select("doc_id", "row", "n_chars", "sha", "key", "rid", flag.alias("suspect")), "suspects")

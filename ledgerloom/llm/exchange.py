@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOBS = "sender long, owner long, n long, coded binary, twice binary"
+BLOBS = "sender long, owner long, n long, coded binary, twice binary, check binary"
 
 
 def rice_encode(values: np.ndarray) -> bytes:
@@ -45,22 +45,36 @@ def owner_starts(owners: int, bits: int) -> np.ndarray:
     return np.array([-((-o << bits) // owners) for o in range(owners)], np.uint64)
 
 
-def sent(keys: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """(owner, n, coded list, bits of those that the sender itself has twice) of sorted distinct keys."""
+def grouped(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, check) pairs in order, the index of each input's pair, and how often each comes."""
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    head = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])) if len(k) else np.zeros(0, bool)
+    back = np.empty(len(k), np.int64)
+    back[order] = np.cumsum(head) - 1
+    return k[head], c[head], back, np.diff(np.append(np.flatnonzero(head), len(k)))
+
+
+def sent(keys: np.ndarray, counts: np.ndarray, starts: np.ndarray, checks: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes, bytes, bytes | None]]:
+    """(owner, n, coded list, bits of those that the sender itself has twice, checks) of sorted keys; keys are distinct, or with their checks."""
     cut = np.append(np.searchsorted(keys, starts), len(keys))
     for o in np.flatnonzero(np.diff(cut)):
         own = slice(cut[o], cut[o + 1])
-        yield int(o), int(cut[o + 1] - cut[o]), rice_encode(keys[own] - starts[o]), np.packbits(counts[own] > 1, bitorder="little").tobytes()
+        twice = np.packbits(counts[own] > 1, bitorder="little").tobytes()
+        yield int(o), int(cut[o + 1] - cut[o]), rice_encode(keys[own] - starts[o]), twice, checks[own].astype("<u8").tobytes() if checks is not None else None
 
 
 def repeated(blobs: DataFrame) -> DataFrame:
-    """(sender, owner, bits array<long>): which of a sender's hashes came more than once; lists without any are left out."""
+    """(sender, owner, bits array<long>): which of a sender's hashes came more than once, with the same check if they have one; lists without any are left out."""
 
     def answer(group: pa.Table) -> pa.Table:
-        coded, twice = group.column("coded").to_pylist(), group.column("twice").to_pylist()
+        coded, twice, checks = (group.column(c).to_pylist() for c in ("coded", "twice", "check"))
         lists = [rice_decode(c) for c in coded]
         own = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(x), bitorder="little") for t, x in zip(twice, lists, strict=True)])
-        _, back, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        if checks[0] is None:
+            _, back, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        else:
+            _, _, back, n = grouped(np.concatenate(lists), np.frombuffer(b"".join(checks), "<u8"))
         more = ((n > 1)[back] | (own > 0)).astype(np.uint8)
         out, at = [], 0
         for x in lists:
@@ -70,7 +84,7 @@ def repeated(blobs: DataFrame) -> DataFrame:
         keep = pa.array([i for i, x in enumerate(out) if x is not None], pa.int64())
         return pa.table({"sender": group.column("sender").take(keep), "owner": group.column("owner").take(keep), "bits": pa.array([x for x in out if x is not None], pa.list_(pa.int64()))})
 
-    return blobs.select("sender", "owner", "coded", "twice").groupBy("owner").applyInArrow(answer, "sender long, owner long, bits array<long>")
+    return blobs.select("sender", "owner", "coded", "twice", "check").groupBy("owner").applyInArrow(answer, "sender long, owner long, bits array<long>")
 
 
 def owners_for(df: DataFrame, hashes: int, each: int = 4_000_000) -> int:

@@ -8,8 +8,8 @@ around a passage give it equal symbols wherever that span lies within the passag
 
 Each window of consecutive words is thus represented by the highest symbol whose span it holds, the same
 symbol at the same place in every copy of the window. Spark rounds exchange these symbols (with the words of
-their span) between all chunks of the corpus; windows whose symbol is shared are verified by a hash of all
-their words in a second exchange, and the words of verified windows are removed.
+their span) between all chunks of the corpus; windows whose symbol is shared are verified by 128 bits of hash
+of all their words in a second exchange, and the words of verified windows are removed.
 """
 
 from __future__ import annotations
@@ -26,11 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import mix, stage, texts_of
-from ledgerloom.llm.exchange import BLOBS, answers, marked, owner_starts, owners_for, repeated, sent
+from ledgerloom.llm.exchange import BLOBS, answers, grouped, marked, owner_starts, owners_for, repeated, sent
 
 ODD, ROUNDS = 0x9E3779B97F4A7C15, 5
-BASE = 0xD1342543DE82EF95
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+BASES = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 CHUNK = 2_000_000
 
 
@@ -50,15 +49,21 @@ class Chunk:
         self.ends = np.cumsum(n)
         self.begins = self.ends - n
         coded = pa.array([w for ws in self.words for w in ws], pa.binary()).dictionary_encode()
-        names = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-        self.names = names[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64)
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist())), ">u8").astype(np.uint64).reshape(-1, 2)
+        at = coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int64)
+        self.names = both[at, 1]
+        self.others = both[at, 0]
         self.doc = np.repeat(np.arange(len(texts)), n)
-        self.prefix = np.append(np.uint64(0), np.cumsum(self.names * powers(BASE, len(self.names))[:-1], dtype=np.uint64))
-        self.back = powers(BASE_INVERSE, len(self.names))
+        self.lanes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def span_hash(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Of words lo to hi (exclusive): equal word sequences have equal hashes wherever they lie."""
-        return (self.prefix[hi] - self.prefix[lo]) * self.back[lo]
+    def span_hash(self, lo: np.ndarray, hi: np.ndarray, lane: int = 0) -> np.ndarray:
+        """Of words lo to hi (exclusive): equal word sequences have equal hashes wherever they lie. The two lanes hash independently."""
+        if lane not in self.lanes:
+            base, names = BASES[lane], (self.names, self.others)[lane]
+            prefix = np.append(np.uint64(0), np.cumsum(names * powers(base, len(names))[:-1], dtype=np.uint64))
+            self.lanes[lane] = prefix, powers(pow(base, -1, 1 << 64), len(names))
+        prefix, back = self.lanes[lane]
+        return (prefix[hi] - prefix[lo]) * back[lo]
 
     def starts(self) -> np.ndarray:
         """Where windows start."""
@@ -139,8 +144,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
     A word is removed if a window that covers it has the same words as a window that starts anywhere else, the
     same document included; windows are judged on the input, so every copy goes. Null text has no words;
     documents shorter than a window keep all; an empty table gives no rows; repeated rows are each other's
-    copies; only doc_id and text are read. Windows that agree in a 64-bit hash of all their words are held
-    equal. A chunk of about 2 MB of text, or one longer document, is in memory at a time.
+    copies; only doc_id and text are read. Windows are held equal if two independent 64-bit hashes of all their
+    words, 128 bits together, agree. A chunk of about 2 MB of text, or one longer document, is in memory at a time.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,14 +177,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
                 r["texts"] = [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
                 yield r
 
-    def blobs(sender: int, keys: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> list[dict]:
-        return [{"sender": sender, "owner": o, "n": n, "coded": c, "twice": t, "held": None} for o, n, c, t in sent(keys, counts, starts)]
+    def blobs(sender: int, keys: np.ndarray, counts: np.ndarray, starts: np.ndarray, checks: np.ndarray | None = None) -> list[dict]:
+        return [{"sender": sender, "owner": o, "n": n, "coded": c, "twice": t, "check": x, "held": None} for o, n, c, t, x in sent(keys, counts, starts, checks)]
 
-    held = pa.schema([("sender", pa.int64()), ("owner", pa.int64()), ("n", pa.int64()), ("coded", pa.binary()), ("twice", pa.binary()), ("held", pa.binary())])
+    held = pa.schema([("sender", pa.int64()), ("owner", pa.int64()), ("n", pa.int64()), ("coded", pa.binary()), ("twice", pa.binary()), ("check", pa.binary()), ("held", pa.binary())])
 
     chunks = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "sender long, ids array<long>, sizes array<long>, packed binary, bytes long"), "chunks")
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
-    starts = owner_starts(owners_for(docs, total // 40), 64)
+    starts = owner_starts(owners_for(docs, total // 6), 64)
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows(batches):
@@ -195,17 +200,17 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
             keys, back, counts = np.unique(own, return_inverse=True, return_counts=True)
             shared = marked(keys, starts, r["answers"]) | (counts > 1)
             at = at[shared[back][of]] if len(at) else at
-            keys, counts = np.unique(chunk.span_hash(at, at + window), return_counts=True)
+            keys, checks, _, counts = grouped(chunk.span_hash(at, at + window), chunk.span_hash(at, at + window, 1))
             bits = np.zeros(len(chunk.names), np.uint8)
             bits[at] = 1
             kept = {"sender": r["sender"], "held": zstandard.compress(np.packbits(bits).tobytes(), 3)}
-            yield pa.RecordBatch.from_pylist([*blobs(r["sender"], keys, counts, starts), kept], schema=held)
+            yield pa.RecordBatch.from_pylist([*blobs(r["sender"], keys, counts, starts, checks), kept], schema=held)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows(batches):
             chunk = Chunk(r["texts"], window)
             at = np.flatnonzero(np.unpackbits(np.frombuffer(zstandard.decompress(r["held"]), np.uint8), count=len(chunk.names))) if len(chunk.names) else np.zeros(0, np.int64)
-            keys, back, counts = np.unique(chunk.span_hash(at, at + window), return_inverse=True, return_counts=True)
+            keys, _, back, counts = grouped(chunk.span_hash(at, at + window), chunk.span_hash(at, at + window, 1))
             gone = chunk.covered(at[(marked(keys, starts, r["answers"]) | (counts > 1))[back]])
             n, out, texts = [], [], []
             for ws, lo, hi in zip(chunk.words, chunk.begins, chunk.ends, strict=True):

@@ -583,3 +583,15 @@ def test_pipeline_near_dedup_against_brute_force(spark):
     assert far > 10
     out = P.near(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3), "").collect()
     assert Counter(r.doc_id for r in out) == Counter(rows[i][0] for i in range(len(rows)) if own[i] == i)
+
+
+def test_an_owner_tells_windows_apart_that_share_one_hash(spark):
+    from ledgerloom.llm.exchange import BLOBS, grouped, owner_starts, repeated, sent
+
+    starts, rows = owner_starts(2, 64), []
+    for sender, (keys, checks) in enumerate([([5, 5, 9, 1 << 63], [1, 2, 1, 4]), ([5, 9, 7, 1 << 63], [3, 1, 1, 4])]):
+        k, c, _, n = grouped(np.array(keys, np.uint64), np.array(checks, np.uint64))
+        rows += [(sender, o, m, code, twice, check) for o, m, code, twice, check in sent(k, n, starts, c)]
+    got = {(r.sender, r.owner): r.bits for r in repeated(spark.createDataFrame(rows, BLOBS)).collect()}
+    # of sender 0 the third of (5, 1) (5, 2) (9, 1), of sender 1 the third of (5, 3) (7, 1) (9, 1), and both top keys
+    assert got == {(0, 0): [4], (0, 1): [1], (1, 0): [4], (1, 1): [1]}
