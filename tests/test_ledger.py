@@ -322,3 +322,44 @@ def test_streaming_ingest(spark, tmp_path):
     for _ in range(2):
         ingest_stream(stream, empty, empty, str(tmp_path / "queue"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "queue")).count() == 2
+
+
+def test_rows_are_numbered_over_files(spark, tmp_path):
+    e = rows(spark, *({"event_id": f"e{i}"} for i in range(30))).repartition(5)
+    L.write_ledger(e, str(tmp_path / "l"))
+    got = L.read_ledger(spark, str(tmp_path / "l"))
+    assert sorted(r.row_idx for r in got.collect()) == list(range(30))
+    L.append_ledger(rows(spark, {"event_id": "x"}), str(tmp_path / "l"))
+    assert L.read_ledger(spark, str(tmp_path / "l"), raw=True).count() == 31
+
+
+def test_ledger_text(spark):
+    got = L.parse_ledger(spark, "company,jobs_cut_sg,date_announced\r\nNova,12,2026-01-01\rOrbit,many,2026-01-02\n\n").orderBy("row_idx").collect()
+    assert [(r.company, r.jobs_cut_sg, r.jobs_cut_sg_raw, r.row_idx) for r in got] == [("Nova", 12.0, "12", 0), ("Orbit", None, "many", 1)]
+
+
+def test_aliases(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("alias,canonical,note\nDBS Bank,One,\ndbs bank,DBS,\n,x,\nGrab Holdings ,Grab,\n")
+    known = L.read_aliases(spark, str(tmp_path / "a.csv"))
+    assert known == {"dbs bank": "DBS", "grab holdings": "Grab"} and L.read_aliases(spark, str(tmp_path / "none")) == X.ALIASES
+    e = rows(spark, {"company": "DBS Bank (Singapore)"}, {"company": "Grab  Holdings"}, {"company": "DBS Bank India"})
+    assert [r.k for r in X.with_company_key(e, aliases=known).orderBy("row_idx").collect()] == ["dbs", "grab", "dbs bank india"]
+
+
+def test_feeds_and_links(spark):
+    import base64
+
+    xml = "<rss><channel><item><title>R&D firm cuts jobs</title><link>http://a</link><pubDate>now</pubDate></item><item><title>Sport</title><link>http://b</link></item><item><title>layoff</title></item></channel></rss>"
+    got = L.feed_hits(spark.createDataFrame([("s", xml)], "source string, xml string")).collect()
+    assert [tuple(r) for r in got] == [("s", "R&D firm cuts jobs", "http://a", "", "now")]
+    pack = lambda url, head: base64.urlsafe_b64encode(b"\x08\x13\x22" + head + url.encode() + b"\xd2\x01\x00").decode().rstrip("=")
+    short, long = "http://news.sg/a", "https://news.sg/" + "b" * 120
+    ids = [pack(short, bytes([len(short)])), pack(long, bytes([128 + len(long) % 128, 1])), pack("AU_yqLabc", bytes([9])), "??", None]
+    out = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "i int, x string").orderBy("i").select(L.decoded_link(F.col("x"))).collect()]
+    assert out[0] == short and out[1].startswith(long) and out[2:] == [None, None, None]
+
+
+def test_budget_turns_over(spark):
+    state = spark.createDataFrame([("2026-05", 7, 50)], "month string, searches_used int, monthly_cap int")
+    assert tuple(L.budget(state, "2026-05").first()) == ("2026-05", 7, 50) and tuple(L.budget(state, "2026-06").first()) == ("2026-06", 0, 50)
+    assert tuple(L.budget(state.limit(0), "2026-06").first()) == ("2026-06", 0, 1000)
