@@ -24,6 +24,7 @@ from ledgerloom.llm.mixing import fly, mix_sources
 from ledgerloom.llm.packing import hilbert_key, pack_on_curve
 from ledgerloom.llm.quality import quality_rules
 from ledgerloom.llm.repeats import remove_repeats
+from ledgerloom.llm.shingles import shingle_groups, shingles
 from ledgerloom.llm.simhash import fingerprint, links, simhash_groups
 from ledgerloom.llm.token_files import read_token_files, write_token_files
 from ledgerloom.llm.toxicity import fit, fit_toxicity, score_toxicity, swap_gap, swapped
@@ -595,3 +596,39 @@ def test_an_owner_tells_windows_apart_that_share_one_hash(spark):
     got = {(r.sender, r.owner): r.bits for r in repeated(spark.createDataFrame(rows, BLOBS)).collect()}
     # of sender 0 the third of (5, 1) (5, 2) (9, 1), of sender 1 the third of (5, 3) (7, 1) (9, 1), and both top keys
     assert got == {(0, 0): [4], (0, 1): [1], (1, 0): [4], (1, 1): [1]}
+
+
+def test_near_groups_in_blocks_are_those_of_one_task(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    shared = rng.sample(words, 150)
+    for g in range(4):  # groups that share three quarters of their words, so that candidates chain them
+        base = shared + rng.sample(words, 50)
+        for _ in range(40):
+            copy = list(base)
+            for at in rng.sample(range(150, 200), rng.randrange(4)):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy))
+    drift = rng.sample(words, 200)
+    for i in range(30):  # a chain whose ends are unlike
+        drift[i * 6 : i * 6 + 6] = rng.sample(words, 6)
+        texts.append(" ".join(drift))
+    texts += [None, "", "x y", "x y", *(" ".join(rng.sample(words, 100)) for _ in range(30))]
+    rng.shuffle(texts)
+    rows = spark.createDataFrame([(i // 2 if i % 9 else None, i, t) for i, t in enumerate(texts)], "doc_id long, row long, text string").repartition(4)
+    whole = sorted(tuple(r) for r in shingle_groups(rows, "row").select("row", "group", "doc_id").collect())
+    sets = [shingles((t or "").encode()) for t in texts]
+    own = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9 and own[i] != own[j]:
+                keep, drop = sorted((own[i], own[j]))
+                own = [keep if x == drop else x for x in own]
+    sizes = Counter(own)
+    assert [(r, g) for r, g, _ in whole] == [(i, g) for i, g in enumerate(own) if sizes[g] > 1]
+    assert max(sizes.values()) > 30
+    for most in (7, 25):
+        assert sorted(tuple(r) for r in shingle_groups(rows, "row", block_rows=most).select("row", "group", "doc_id").collect()) == whole
+    assert sorted(tuple(r) for r in shingle_groups(rows, "row", block_bytes=20_000, broadcast_rows=0).select("row", "group", "doc_id").collect()) == whole
