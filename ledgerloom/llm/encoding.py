@@ -22,6 +22,35 @@ for chars, kind in ((range(0x41, 0x5B), LETTER), (range(0x61, 0x7B), LETTER), (r
     KIND[list(chars)] = kind
 
 
+def cut_texts(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
+    """The parts of all texts one after another, with A-Z in lower case if asked for, and the number of parts before each text and in all."""
+    wide = pa.types.is_large_string(texts.type)
+    ends = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    kind = np.append(KIND[raw], OTHER)
+    # two-byte letters of Latin: C3 and what follows it, but for the two signs among them
+    lead = np.flatnonzero(raw == 0xC3)
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    if lower:
+        raw = np.where((raw >= 0x41) & (raw <= 0x5A), raw | 0x20, raw).astype(np.uint8)
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[ends] = True
+    solid = kind <= SIGN
+    before, here = kind[:-2], kind[1:-1]
+    alone = np.zeros(len(raw) + 1, bool)  # line ends between solid characters of one text
+    if len(raw) > 2:
+        alone[1:-2] = (here[:-1] == LINE) & solid[:-3] & solid[2:-1] & ~edge[1:-2] & ~edge[2:-1]
+    at = edge.copy()
+    if len(raw) > 1:
+        at[1:-1] |= (solid[:-2] & ((here == SPACE) | (solid[1:-1] & (before != here)))) | alone[1:-1] | alone[:-2]
+    starts = np.flatnonzero(at)
+    offsets = starts.astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.string(), max(0, len(starts) - 1), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    return pieces, np.searchsorted(starts, ends)
+
+
 class Encoder:
     """Whole-text encoding that equals Tokenizer.encode(text, add_special_tokens=False).
 
@@ -69,32 +98,7 @@ class Encoder:
         return list(map(known.__getitem__, texts))
 
     def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """The parts of all texts one after another, and the number of parts before each text and in all."""
-        wide = pa.types.is_large_string(texts.type)
-        ends = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-        ends = ends - ends[0]
-        kind = np.append(KIND[raw], OTHER)
-        # two-byte letters of Latin: C3 and what follows it, but for the two signs among them
-        lead = np.flatnonzero(raw == 0xC3)
-        lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
-        kind[lead] = kind[lead + 1] = LETTER
-        if self.lower:
-            raw = np.where((raw >= 0x41) & (raw <= 0x5A), raw | 0x20, raw).astype(np.uint8)
-        edge = np.zeros(len(raw) + 1, bool)
-        edge[ends] = True
-        solid = kind <= SIGN
-        before, here = kind[:-2], kind[1:-1]
-        alone = np.zeros(len(raw) + 1, bool)  # line ends between solid characters of one text
-        if len(raw) > 2:
-            alone[1:-2] = (here[:-1] == LINE) & solid[:-3] & solid[2:-1] & ~edge[1:-2] & ~edge[2:-1]
-        at = edge.copy()
-        if len(raw) > 1:
-            at[1:-1] |= (solid[:-2] & ((here == SPACE) | (solid[1:-1] & (before != here)))) | alone[1:-1] | alone[:-2]
-        starts = np.flatnonzero(at)
-        offsets = starts.astype(np.int32)
-        pieces = pa.Array.from_buffers(pa.string(), max(0, len(starts) - 1), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-        return pieces, np.searchsorted(starts, ends)
+        return cut_texts(texts, self.lower)
 
     def encode_column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column one after another, each followed by end_id if given, and how many each has. Null counts as empty."""

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import documents, shared_dir
 from ledgerloom.llm.exact import exact_dedup
-from ledgerloom.llm import quality
+from ledgerloom.llm import merkle, quality
 from ledgerloom.llm.language import fit_languages, in_fold, predict_languages
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.packing import pack_on_curve
 from ledgerloom.llm.repeats import remove_repeats
 from ledgerloom.llm.simhash import simhash_groups
+from ledgerloom.llm.token_counts import token_counts
 from ledgerloom.llm.token_files import read_token_files, write_token_files
 from ledgerloom.llm.toxicity import fit_toxicity, score_toxicity
 from ledgerloom.llm.weak_labels import weak_quality
+from ledgerloom.llm.whitening import whiten
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,12 +68,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_on_curve(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, with_ids=False)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_proofs(documents(spark, sf_dir), merkle.changed_text()).drop("proof")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_files, op2_quality_rules, op3_simhash, op4_weak_quality, op5_exact_dedup, op6_language, op7_toxicity, op8_substring_dedup, op9_mixing, op10_packing)
+    for f in (op1_token_files, op2_quality_rules, op3_simhash, op4_weak_quality, op5_exact_dedup, op6_language, op7_toxicity, op8_substring_dedup, op9_mixing, op10_packing, op11_token_counts, op12_whitening, op13_merkle)
 }
 
 ORACLES = {
+    "op13_merkle": merkle.ORACLE,
     "op2_quality_rules": quality.oracle(),
     "op5_exact_dedup": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS bare FROM documents),
