@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cache, reduce
 
 import pandas as pd
@@ -50,19 +51,40 @@ def fold(c: Column) -> Column:
     return F.trim(strip_chain(F.translate(unaccented()(c), "‘’ʼ", "'''"), (r"(?U)\s&\s", " and "), (r"(?U)\s+", " ")))
 
 
+@dataclass(frozen=True)
+class Names:
+    """The key dimension of a run: a written table (name, key) of every distinct company name, and the aliases it went by."""
+
+    table: DataFrame
+    aliases: dict[str, str] | DataFrame | None = None
+
+
+#: What names resolve by: lower-cased aliases with their canonical names (a frame has alias and canonical), a key dimension, or None for the fixed few.
+Aliases = dict[str, str] | DataFrame | Names | None
+
+
+def without_brackets(name: Column) -> Column:
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(name, r"\s*\([^)]*\)\s*\z", "")), F.lit("")), name)
+
+
+def without_endings(bare: Column, raw: Column) -> Column:
+    """The name without endings, descriptors and closing punctuation, in title case; what is left blank keeps its spelling."""
+    endings = [(rf"(?i)\s+{s.replace('.', chr(92) + '.')}\z", "") for s in SUFFIXES] + [(rf"(?i)\s+{d}\s*\z", "") for d in DESCRIPTORS]
+    short = F.initcap(F.trim(F.regexp_replace(strip_chain(bare, *endings), r"[,;.]\z", "")))
+    return F.coalesce(F.nullif(short, F.lit("")), F.trim(raw))
+
+
 def normalize_company(raw: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Canonical company name: alias, else without brackets, endings, descriptors and closing punctuation, in title case.
+    """Canonical company name: that of an alias, spelled out or left without brackets, else the name without its endings.
 
     Costs a Python pass and some thirty patterns; `with_company_key` spends them on distinct names only.
     """
     name = fold(raw)
-    bare = F.coalesce(F.nullif(F.trim(F.regexp_replace(name, r"\s*\([^)]*\)\s*\z", "")), F.lit("")), name)
-    endings = [(rf"(?i)\s+{s.replace('.', chr(92) + '.')}\z", "") for s in SUFFIXES] + [(rf"(?i)\s+{d}\s*\z", "") for d in DESCRIPTORS]
-    short = F.initcap(F.trim(F.regexp_replace(strip_chain(bare, *endings), r"[,;.]\z", "")))
-    out = F.coalesce(F.nullif(short, F.lit("")), F.trim(raw))
-    if aliases:
-        known = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))
-        out = F.coalesce(F.element_at(known, F.lower(name)), F.element_at(known, F.lower(bare)), out)
+    bare, known = without_brackets(name), ALIASES if aliases is None else aliases
+    out = without_endings(bare, raw)
+    if known:
+        table = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))
+        out = F.coalesce(F.element_at(table, F.lower(name)), F.element_at(table, F.lower(bare)), out)
     return out
 
 
@@ -70,10 +92,28 @@ def company_key(raw: Column, aliases: dict[str, str] | None = None) -> Column:
     return F.lower(F.trim(normalize_company(F.coalesce(raw, F.lit("")), aliases)))
 
 
-def with_company_key(df: DataFrame, out: str = "k", company: str = "company", aliases: dict[str, str] | None = None) -> DataFrame:
-    """df with the company key, worked out once per distinct name and joined back; null counts as blank."""
-    names = df.select(F.coalesce(company, F.lit("")).alias("_name")).distinct().withColumn(out, company_key(F.col("_name"), aliases))
-    return df.withColumn("_name", F.coalesce(company, F.lit(""))).join(names, "_name").drop("_name")
+def keyed_names(names: DataFrame, aliases: Aliases = None, out: str = "key") -> DataFrame:
+    """`out`, the company key, of distinct names (_name). A frame of aliases is joined, so it may be of any size."""
+    if not isinstance(aliases, DataFrame):
+        return names.withColumn(out, company_key(F.col("_name"), aliases))
+    known = aliases.select(F.lower(F.trim("alias")).alias("_alias"), F.trim("canonical").alias("_to")).filter("_alias <> '' and _to <> ''").dropDuplicates(["_alias"])
+    d = names.withColumn("_fold", fold(F.col("_name"))).withColumn("_bare", without_brackets(F.col("_fold")))
+    for n, c in enumerate(("_fold", "_bare")):
+        d = d.join(known.select(F.col("_alias").alias(f"_a{n}"), F.col("_to").alias(f"_t{n}")), F.lower(c) == F.col(f"_a{n}"), "left")
+    return d.select("_name", F.lower(F.trim(F.coalesce("_t0", "_t1", without_endings(F.col("_bare"), F.col("_name"))))).alias(out))
+
+
+def with_company_key(df: DataFrame, out: str = "k", company: str = "company", aliases: Aliases = None) -> DataFrame:
+    """df with the company key; null counts as blank.
+
+    Given the run's key dimension, it is joined; else keys are worked out once per distinct name of df and joined back.
+    """
+    d = df.withColumn("_name", F.coalesce(company, F.lit("")))
+    if isinstance(aliases, Names):
+        names = aliases.table.select(F.col("name").alias("_name"), F.col("key").alias(out))
+    else:
+        names = keyed_names(d.select("_name").distinct(), aliases, out)
+    return d.join(names, "_name").drop("_name")
 
 
 def event_id_for(key: Column, date: Column) -> Column:
@@ -130,9 +170,9 @@ def parse_date(raw: Column) -> Column:
     return F.when(text.rlike(ISO), text).otherwise(F.date_format(F.coalesce(*days), "yyyy-MM-dd"))
 
 
-def guess_company(title: Column) -> Column:
+def guess_company(title: Column, aliases: dict[str, str] | None = None) -> Column:
     """The name before a headline's first layoff verb."""
-    return normalize_company(F.coalesce(F.nullif(F.element_at(F.split(title, r"(?i)cuts?|lays? off|retrench|sheds?", 2), 1), F.lit("")), title))
+    return normalize_company(F.coalesce(F.nullif(F.element_at(F.split(title, r"(?i)cuts?|lays? off|retrench|sheds?", 2), 1), F.lit("")), title), aliases)
 
 
 def wayback_url(stamp: Column, url: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import gn_fingerprint, iso_date, normalize_url, with_company_key
+from ledgerloom.functions.text import Aliases, gn_fingerprint, iso_date, normalize_url, with_company_key
 from ledgerloom.operators.components import stage
 from ledgerloom.operators.integrity import STOPWORDS, advisory_types, cross_name_pairs, event_or_row, name_splits, pair_kinds, rejected_keys, same_company, validate_rows
 
@@ -35,7 +35,7 @@ def names_text(names: Column) -> Column:
     return F.when(n <= 3, F.array_join(quoted, " / ")).otherwise(text_of(F.array_join(F.slice(quoted, 1, 3), " / "), " + ", n - 3, " more names"))
 
 
-def indexed(entries: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+def indexed(entries: DataFrame, aliases: Aliases = None) -> DataFrame:
     """Entries with what all rules share, worked out and written once: key, event, date, address key and identity."""
     e = with_company_key(entries, "k", aliases=aliases).withColumns({"event": event_or_row(), "d": iso_date(F.col("date_announced")), "url": normalize_url(F.col("source_link")), "gn": gn_fingerprint(F.col("notes"))})
     e = e.withColumn("identity", F.coalesce(F.nullif("url", F.lit("")), text_of(F.col("k"), "@", F.col("date_announced"))))
@@ -113,7 +113,7 @@ def cross_file_warnings(e: DataFrame, rejected: DataFrame) -> DataFrame:
     return d.select(F.lit("cross-file-contradiction").alias("type"), F.array("event").alias("event_ids"), F.array(F.col("row_idx") + 1).alias("rows"), "identity", text.alias("message"))
 
 
-def check_integrity(entries: DataFrame, today: str, distinct_pairs: DataFrame | None = None, allowed: DataFrame | None = None, rejected: DataFrame | None = None, stopwords: list[str] = STOPWORDS, aliases: dict[str, str] | None = None) -> DataFrame:
+def check_integrity(entries: DataFrame, today: str, distinct_pairs: DataFrame | None = None, allowed: DataFrame | None = None, rejected: DataFrame | None = None, stopwords: list[str] = STOPWORDS, aliases: Aliases = None) -> DataFrame:
     """(type, event_ids, rows, identity, message, hard) of every rule over the ledger.
 
     distinct_pairs (pair) suppresses pair findings of two events, but not same-day ones; allowed (a, b) suppresses

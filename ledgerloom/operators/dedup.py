@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import gn_fingerprint, normalize_url, title_fingerprint, with_company_key
+from ledgerloom.functions.text import Aliases, gn_fingerprint, normalize_url, title_fingerprint, with_company_key
 from ledgerloom.operators.components import stage
+from ledgerloom.operators.names import company_names
 
 
 def first_by(df: DataFrame, key: Column, order: str = "row_idx") -> DataFrame:
@@ -25,10 +26,10 @@ def dedup_rejected(rejected: DataFrame) -> DataFrame:
     return first_by(rejected, normalize_url(F.col("source_link")))
 
 
-def keyed(e: DataFrame) -> DataFrame:
+def keyed(e: DataFrame, aliases: Aliases = None) -> DataFrame:
     """Entries with the four keys of the index."""
     k = F.col("k_")
-    return with_company_key(e, "k_").withColumns({"url_key": normalize_url(F.col("source_link")), "gn_key": gn_fingerprint(F.col("notes")), "date_key": F.concat(k, F.lit("||"), "date_announced"), "month_key": F.concat(k, F.lit("|"), F.substring("date_announced", 1, 7))}).drop("k_")
+    return with_company_key(e, "k_", aliases=aliases).withColumns({"url_key": normalize_url(F.col("source_link")), "gn_key": gn_fingerprint(F.col("notes")), "date_key": F.concat(k, F.lit("||"), "date_announced"), "month_key": F.concat(k, F.lit("|"), F.substring("date_announced", 1, 7))}).drop("k_")
 
 
 def flag(df: DataFrame, key: str, known: list[DataFrame], name: str, when: Column | None = None) -> DataFrame:
@@ -41,7 +42,7 @@ def flag(df: DataFrame, key: str, known: list[DataFrame], name: str, when: Colum
     return df.join(keys, key, "left").withColumn(name, hit & when if when is not None else hit)
 
 
-def check_candidates(candidates: DataFrame, ledger: DataFrame, queue: DataFrame, rejected: DataFrame) -> DataFrame:
+def check_candidates(candidates: DataFrame, ledger: DataFrame, queue: DataFrame, rejected: DataFrame, aliases: Aliases = None) -> DataFrame:
     """verdict of each candidate: duplicate by address (all tables), title fingerprint (queue, rejected) or company and
     date for wrapped news links (all tables); potential-duplicate by company and month (ledger, queue); else new."""
     own = ["company", "date_announced", "source_link", "notes"]
@@ -49,10 +50,11 @@ def check_candidates(candidates: DataFrame, ledger: DataFrame, queue: DataFrame,
     for part, x in (("ledger", ledger), ("queue", queue), ("rejected", rejected)):
         x = x.select(*own, F.lit(part).alias("part"))
         known = x if known is None else known.unionByName(x)
+    names = company_names(known.select("company"), candidates.select("company"), aliases=aliases)
     # the keys of all known rows, worked out in one pass and written once
-    known = stage(keyed(known).select("part", "url_key", "gn_key", "date_key", "month_key"), "known")
+    known = stage(keyed(known, names).select("part", "url_key", "gn_key", "date_key", "month_key"), "known")
     of = lambda *parts: [known.filter(F.col("part").isin(*parts))]
-    c = flag(keyed(candidates), "url_key", of("ledger", "queue", "rejected"), "by_url")
+    c = flag(keyed(candidates, names), "url_key", of("ledger", "queue", "rejected"), "by_url")
     c = flag(c, "gn_key", of("queue", "rejected"), "by_gn")
     c = flag(c, "date_key", of("ledger", "queue", "rejected"), "by_date", F.coalesce("source_link", F.lit("")).contains("news.google.com"))
     c = flag(c, "month_key", of("ledger", "queue"), "by_month")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import append_evidence, with_company_key
+from ledgerloom.functions.text import Aliases, append_evidence, with_company_key
 from ledgerloom.operators.audit import regression
 from ledgerloom.operators.components import stage
 
@@ -42,14 +42,14 @@ def screen_batch(ledger: DataFrame, candidates: DataFrame, audit: Audit) -> tupl
     return candidates.filter(F.col("row_idx").isin(kept)), candidates.join(F.broadcast(why), "row_idx")
 
 
-def apply_results(rows: DataFrame, results: DataFrame) -> DataFrame:
+def apply_results(rows: DataFrame, results: DataFrame, aliases: Aliases = None) -> DataFrame:
     """Ledger rows with the results (row_idx, company, date_announced, new_status, evidence_url) applied: result_idx, previous_status and previous_notes tell where.
 
     Each result that changes a status claims the next unclaimed row of its company and date; only status and notes change.
     """
     date = F.trim(F.coalesce("date_announced", F.lit("")))
     turn = F.row_number().over(Window.partitionBy("_k", "_d").orderBy("row_idx"))
-    keyed = lambda x: with_company_key(x, "_k").withColumn("_d", date).withColumn("_n", turn)
+    keyed = lambda x: with_company_key(x, "_k", aliases=aliases).withColumn("_d", date).withColumn("_n", turn)
     own = keyed(results.filter(F.col("new_status").isin(APPLIED))).select("_k", "_d", "_n", F.col("row_idx").alias("result_idx"), "new_status", "evidence_url")
     d = keyed(rows).join(own, ["_k", "_d", "_n"], "left")
     hit = F.col("result_idx").isNotNull()
@@ -57,10 +57,10 @@ def apply_results(rows: DataFrame, results: DataFrame) -> DataFrame:
     return d.select(*(F.when(hit, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in rows.columns), "result_idx", F.when(hit, F.col("status")).alias("previous_status"), F.when(hit, F.col("notes")).alias("previous_notes"))
 
 
-def apply_results_safely(rows: DataFrame, results: DataFrame, audit: Audit, max_rounds: int = 50) -> tuple[DataFrame, list[int]]:
+def apply_results_safely(rows: DataFrame, results: DataFrame, audit: Audit, max_rounds: int = 50, aliases: Aliases = None) -> tuple[DataFrame, list[int]]:
     """(rows, result_idx of results held back): changes whose rows appear in new findings are taken back until none are; if new findings remain, all are."""
     base = stage(audit(rows), "baseline")
-    done = stage(apply_results(rows, results), "applied")
+    done = stage(apply_results(rows, results, aliases), "applied")
     undone: list[int] = []
 
     def state() -> DataFrame:

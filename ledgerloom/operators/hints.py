@@ -5,35 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import with_company_key
+from ledgerloom.functions.text import Aliases, with_company_key
+from ledgerloom.operators.names import company_names
 
 
-
-def event_index(ledger: DataFrame) -> DataFrame:
+def event_index(ledger: DataFrame, aliases: Aliases = None) -> DataFrame:
     """(k, event_id, date_announced, company, row_idx): the first row of each company's events."""
-    e = with_company_key(ledger.filter("coalesce(event_id, '') <> ''"), "k")
+    e = with_company_key(ledger.filter("coalesce(event_id, '') <> ''"), "k", aliases=aliases)
     first = F.min(F.struct("row_idx", "date_announced", "company")).alias("f")
     return e.groupBy("k", "event_id").agg(first).select("k", "event_id", "f.date_announced", "f.company", "f.row_idx")
 
 
-def select_hints(candidates: DataFrame, ledger: DataFrame, clusters: DataFrame, most: int = 12) -> DataFrame:
+def first_events(events: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, ids): the first `most` of events (key, event_id, at) of each key, in order.
+
+    The rank is cut in every task before the shuffle, so of a key with any number of events only `most` a task move on.
+    """
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("at", "event_id"))
+    kept = events.withColumn("_r", rank).filter(F.col("_r") <= most)
+    return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "event_id"))), lambda x: x["event_id"]).alias("ids"))
+
+
+def select_hints(candidates: DataFrame, ledger: DataFrame, clusters: DataFrame, most: int = 12, aliases: Aliases = None) -> DataFrame:
     """(row_idx, primary_event_id, listed): per candidate the event of its cluster's first anchor, and up to `most` other known events.
 
     candidates (row_idx, company), ledger (row_idx, company, date_announced, event_id), clusters (kind, row_idx, cluster)
     of candidates and anchors. Events of the candidate's company come first, in file order, then those of its cluster.
+    Companies and clusters get a bounded list each, once: with one more than `most` of its own, a company needs none of
+    the cluster's; with fewer, all of them are in its list, and the cluster's list has `most` more than they and the primary
+    can take away. A candidate meets the two lists, never the events.
     """
-    anchors = clusters.filter("kind = 'anchor'").select("cluster", "row_idx").join(ledger, "row_idx").filter("coalesce(event_id, '') <> ''")
-    all_anchors = clusters.filter("kind = 'anchor'").select("cluster", "row_idx").join(ledger.select("row_idx", "event_id"), "row_idx").groupBy("cluster").agg(F.min_by("event_id", "row_idx").alias("primary_event_id"))
+    names = company_names(candidates.select("company"), ledger.select("company"), aliases=aliases)
+    known = event_index(ledger, names).select("k", "event_id", F.col("row_idx").alias("at"))
+    anchors = clusters.filter("kind = 'anchor'").select("cluster", "row_idx").join(ledger.select("row_idx", "event_id"), "row_idx")
+    primary = anchors.groupBy("cluster").agg(F.min_by("event_id", "row_idx").alias("primary_event_id"))
+    near = anchors.filter("coalesce(event_id, '') <> ''").groupBy("cluster", "event_id").agg(F.min("row_idx").alias("at"))
     own = clusters.filter("kind = 'candidate'").select("row_idx", "cluster")
-    keyed = with_company_key(candidates.select("row_idx", "company"), "k").select("row_idx", "k").join(own, "row_idx", "left").join(all_anchors, "cluster", "left")
-    known = event_index(ledger).select("k", "event_id", F.lit(0).alias("source"), F.col("row_idx").alias("at"))
-    near = anchors.groupBy("cluster", "event_id").agg(F.min("row_idx").alias("at")).withColumn("source", F.lit(1))
-    hits = keyed.select("row_idx", "k").join(known, "k").select("row_idx", "event_id", "source", "at")
-    hits = hits.unionByName(keyed.select("row_idx", "cluster").join(near, "cluster").select("row_idx", "event_id", "source", "at"))
-    hits = hits.groupBy("row_idx", "event_id").agg(F.min(F.struct("source", "at")).alias("o")).join(keyed.select("row_idx", "primary_event_id"), "row_idx").filter("event_id is distinct from primary_event_id")
-    hits = hits.withColumn("_r", F.row_number().over(Window.partitionBy("row_idx").orderBy("o", "event_id"))).filter(F.col("_r") <= most)
-    listed = hits.groupBy("row_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "event_id"))), lambda x: x["event_id"]).alias("listed"))
-    return keyed.join(listed, "row_idx", "left").select("row_idx", F.nullif("primary_event_id", F.lit("")).alias("primary_event_id"), F.coalesce("listed", F.array().cast("array<string>")).alias("listed"))
+    lists = primary.join(first_events(near, "cluster", 2 * most + 1).withColumnRenamed("ids", "_near"), "cluster", "left")
+    d = with_company_key(candidates.select("row_idx", "company"), "k", aliases=names).join(own, "row_idx", "left")
+    d = d.join(first_events(known, "k", most + 1).withColumnRenamed("ids", "_own"), "k", "left").join(lists, "cluster", "left")
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(F.coalesce("_own", none), F.coalesce("_near", none)))
+    others = F.filter(every, lambda x: ~x.eqNullSafe(F.col("primary_event_id")))
+    return d.select("row_idx", F.nullif("primary_event_id", F.lit("")).alias("primary_event_id"), F.slice(others, 1, most).alias("listed"))
 
 
 def pick_hinted(verdicts: DataFrame, hints: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import INDUSTRIES, ISO, gn_fingerprint, iso_date, normalize_url, with_company_key
+from ledgerloom.functions.text import INDUSTRIES, ISO, Aliases, gn_fingerprint, iso_date, normalize_url, with_company_key
+from ledgerloom.operators.components import stage
 
 STATUSES = ["rumored", "confirmed", "reference", "denied", "expired"]
 #: Wording that the row rules look for, and hosts that need no archive.
@@ -64,9 +65,9 @@ def advisories(e: DataFrame, today: str) -> DataFrame:
     return e.select((F.col("row_idx") + 1).alias("row"), F.explode(advisory_types(today)).alias("type"))
 
 
-def with_keys(e: DataFrame) -> DataFrame:
+def with_keys(e: DataFrame, aliases: Aliases = None) -> DataFrame:
     """Entries with k, event and d, as the pair rules need them."""
-    return with_company_key(e, "k").withColumns({"event": event_or_row(), "d": iso_date(F.col("date_announced"))})
+    return with_company_key(e, "k", aliases=aliases).withColumns({"event": event_or_row(), "d": iso_date(F.col("date_announced"))})
 
 
 SIDES = ["row", "event", "status", "company", "d"]
@@ -95,9 +96,9 @@ def pair_kinds(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("type", F.explode(kinds))
 
 
-def same_company_pairs(e: DataFrame) -> DataFrame:
+def same_company_pairs(e: DataFrame, aliases: Aliases = None) -> DataFrame:
     """(type, row_a, row_b, event_a, event_b, gap) of the findings among rows of one company."""
-    return pair_kinds(same_company(with_keys(e))).select("type", "row_a", "row_b", "event_a", "event_b", "gap")
+    return pair_kinds(same_company(with_keys(e, aliases))).select("type", "row_a", "row_b", "event_a", "event_b", "gap")
 
 
 def pair_groups(pairs: DataFrame) -> DataFrame:
@@ -126,10 +127,10 @@ def cross_name_pairs(e: DataFrame, stopwords: list[str] = STOPWORDS, days: int =
     return p.groupBy("row_a", "row_b", "event_a", "event_b", "company_a", "company_b", "d_a", "gap").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
 
 
-def cross_name(e: DataFrame, stopwords: list[str] = STOPWORDS) -> DataFrame:
+def cross_name(e: DataFrame, stopwords: list[str] = STOPWORDS, aliases: Aliases = None) -> DataFrame:
     """(row_a, row_b, gap, tokens joined, type) of the findings across names."""
     kind = F.when(F.col("gap") == 0, "same-day-same-event").otherwise("possible-same-event")
-    return cross_name_pairs(with_keys(e), stopwords).select("row_a", "row_b", "gap", F.array_join("tokens", ",").alias("tokens"), kind.alias("type"))
+    return cross_name_pairs(stage(with_keys(e, aliases), "keyed"), stopwords).select("row_a", "row_b", "gap", F.array_join("tokens", ",").alias("tokens"), kind.alias("type"))
 
 
 def name_splits(keys: DataFrame, key: str = "k", allowed: DataFrame | None = None) -> DataFrame:
@@ -141,7 +142,7 @@ def name_splits(keys: DataFrame, key: str = "k", allowed: DataFrame | None = Non
 
 def duplicate_sources(e: DataFrame) -> DataFrame:
     """(url, n_rows, rows) of addresses cited by two rows or more."""
-    n = e.select("row_idx", normalize_url(F.col("source_link")).alias("url")).filter("url <> ''")
+    n = e.filter("source_link <> ''").select("row_idx", F.explode(F.array(normalize_url(F.col("source_link")))).alias("url")).filter("url <> ''")
     rows = F.array_join(F.array_sort(F.collect_list(F.col("row_idx") + 1)).cast("array<string>"), ",")
     return n.groupBy("url").agg(F.count("*").alias("n_rows"), rows.alias("rows")).filter("n_rows > 1")
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from datetime import date
+from heapq import merge
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import GENERIC, gn_fingerprint, iso_date, month_base, normalize_url, row_quality, strip_chain, with_company_key
+from ledgerloom.functions.text import GENERIC, Aliases, Names, gn_fingerprint, iso_date, month_base, normalize_url, row_quality, strip_chain, with_company_key
 from ledgerloom.operators.components import connected_components, stage
+from ledgerloom.operators.names import alias_rows, company_names
 
 LINK_DAYS, CLUSTER_DAYS = 7, 21
 AGGREGATOR, UNKNOWN = "__aggregator__", "__unknown__:"
@@ -32,16 +35,16 @@ def slug_of(c: Column) -> Column:
     return F.trim(strip_chain(F.lower(c), (r"[^a-z0-9\s]", " "), (r"\s+", " ")))
 
 
-def company_tokens(names: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+def company_tokens(names: DataFrame, aliases: Aliases = None) -> DataFrame:
     """(key, variant, ord): the spellings under which each company is looked for; keys of aliases come first, then names (company, row_idx) in order.
 
     A key is the slug of the canonical name. Its variants are the slugs of the name and its aliases, also joined and
     hyphenated, and a first word of five letters or more; words that name no company are no variants.
     """
-    spark = names.sparkSession
-    listed = spark.createDataFrame([(i, c, a) for i, (a, c) in enumerate((aliases or {}).items())], "row_idx long, company string, alias string")
+    listed = alias_rows(names.sparkSession, aliases).select("row_idx", "company", "alias")
     every = listed.withColumn("source", F.lit(0)).unionByName(names.filter("coalesce(company, '') <> ''").groupBy("company").agg(F.min("row_idx").alias("row_idx")).select("row_idx", "company", F.lit(None).cast("string").alias("alias"), F.lit(1).alias("source")))
-    named = with_company_key(every, "name", aliases=aliases).withColumn("norm", slug_of(F.col("name")))
+    keys = company_names(every.select("company"), aliases=aliases.aliases if isinstance(aliases, Names) else aliases)
+    named = with_company_key(every, "name", aliases=keys).withColumn("norm", slug_of(F.col("name")))
     key = F.regexp_replace("norm", " ", "-")
     first = F.substring_index("slug", " ", 1)
     forms = F.array(F.col("slug"), F.regexp_replace("slug", " ", ""), F.regexp_replace("slug", " ", "-"), F.when((F.length(first) >= 5) & ~first.isin(GENERIC), first))
@@ -64,7 +67,7 @@ def surfaces(company: Column, url: Column) -> tuple[Column, Column]:
     return words(title), words(F.concat(title, F.lit(" "), path))
 
 
-def node_keys(nodes: DataFrame, tokens: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+def node_keys(nodes: DataFrame, tokens: DataFrame, aliases: Aliases = None) -> DataFrame:
     """(row_idx, key) of nodes (row_idx, company, source_link): the company that is named first in the headline, else in headline and path.
 
     Three or more companies make an aggregator. Without any the company key counts, if it has three letters, else the
@@ -83,7 +86,7 @@ def node_keys(nodes: DataFrame, tokens: DataFrame, aliases: dict[str, str] | Non
     return with_company_key(nodes.select("row_idx", "company"), "k", aliases=aliases).join(picked, "row_idx", "left").select("row_idx", F.coalesce("found", own).alias("key"))
 
 
-def cluster(nodes: DataFrame, days: int = CLUSTER_DAYS, tokens: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+def cluster(nodes: DataFrame, days: int = CLUSTER_DAYS, tokens: DataFrame | None = None, aliases: Aliases = None) -> DataFrame:
     """(row_idx, cluster) of nodes: same company within `days`, same title fingerprint, or same address; linked through any of them.
 
     tokens default to those of the nodes' own names. Aggregators and unknown companies have no company edges.
@@ -92,14 +95,22 @@ def cluster(nodes: DataFrame, days: int = CLUSTER_DAYS, tokens: DataFrame | None
     keys = node_keys(nodes, telling(tokens), aliases)
     n = nodes.join(keys, "row_idx").select("row_idx", F.when(~(F.col("key").startswith(UNKNOWN) | (F.col("key") == AGGREGATOR)), F.col("key")).alias("k"), iso_date(F.col("date_announced")).alias("d"), gn_fingerprint(F.col("notes")).alias("gn"), F.nullif(F.lower("source_link"), F.lit("")).alias("url"))
     n = stage(n, "nodes")
-    first = lambda *by: F.min("row_idx").over(Window.partitionBy(*by))
-    edges = islands(n, "k", "d", days).select(F.col("row_idx").alias("a"), first("k", "island").alias("b"))
+    edges = to_first(stage(islands(n, "k", "d", days), "islands"), "k", "island")
     for key in ("gn", "url"):
-        edges = edges.unionByName(n.filter(F.col(key).isNotNull()).select(F.col("row_idx").alias("a"), first(key).alias("b")))
+        edges = edges.unionByName(to_first(n, key))
     comps = connected_components(edges)
     return n.join(comps, n["row_idx"] == comps["node"], "left").select("row_idx", F.coalesce("component", "row_idx").alias("cluster"))
 
 
+def to_first(rows: DataFrame, *key: str) -> DataFrame:
+    """(a, b): an edge from each row to the first one of its key; null keys have none.
+
+    The first rows come from a combining count and are joined back, one a key, so a key with many rows is neither sorted nor held.
+    """
+    kept = rows.select("row_idx", *key).filter(" and ".join(f"{k} is not null" for k in key))
+    return kept.join(kept.groupBy(*key).agg(F.min("row_idx").alias("b")), list(key)).select(F.col("row_idx").alias("a"), "b")
+
+
 def day_number(text: str | None) -> int | None:
     try:
         return date.fromisoformat(text).toordinal() if text and len(text) == 10 else None
@@ -107,46 +118,96 @@ def day_number(text: str | None) -> int | None:
         return None
 
 
-def enemies(distinct: list[tuple[str, str]] | None) -> dict[str, set[str]]:
-    """Per event those that it must never meet."""
-    out: dict[str, set[str]] = {}
-    for a, b in distinct or []:
-        out.setdefault(a, set()).add(b)
-        out.setdefault(b, set()).add(a)
-    return out
+#: Pairs of events that must never meet: a frame (a, b), or a short list.
+Distinct = DataFrame | list[tuple[str, str]] | None
+
+
+def pair_frame(rows: DataFrame, distinct: Distinct) -> DataFrame | None:
+    """The pairs as a frame; none at all is None."""
+    if isinstance(distinct, list):
+        return rows.sparkSession.createDataFrame([tuple(p) for p in distinct], "a string, b string") if distinct else None
+    return distinct
+
+
+def foes_of(distinct: DataFrame) -> DataFrame:
+    """(event_id, foes): per event those that it must never meet, of pairs (a, b)."""
+    both = distinct.select("a", "b").unionByName(distinct.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.groupBy(F.col("a").alias("event_id")).agg(F.collect_set("b").alias("foes"))
+
 
+def with_foes(rows: DataFrame, distinct: DataFrame | None) -> DataFrame:
+    if distinct is None:
+        return rows.withColumn("foes", F.lit(None).cast("array<string>"))
+    return rows.join(foes_of(distinct), "event_id", "left")
 
-def window_groups(entries: DataFrame, days: int = LINK_DAYS, distinct: list[tuple[str, str]] | None = None) -> DataFrame:
+
+class OpenGroups:
+    """The groups of one company and piece: found by the day of their anchor, in the order they were opened.
+
+    A day's groups are a sorted list; the first group that may take a row is the least of the lists of the days around
+    it, so a row looks at 2 * days + 1 lists and at groups that veto it, whatever the number of groups.
+    """
+
+    def __init__(self, days: int) -> None:
+        self.days, self.at = days, {}
+        self.anchor: list[int | None] = []
+        self.foes: list[set[str] | None] = []
+        self.first: list[int] = []
+
+    def take(self, day: int | None, event: str | None, foes: list[str] | None, row: int, joins: bool = True) -> int:
+        """The first row of the group that takes the row; day None means undated. A row that doesn't join opens a group that none joins."""
+        near = (None,) if day is None else range(day - self.days, day + self.days + 1)
+        lists = [self.at[d] for d in near if d in self.at] if joins else []
+        for g in lists[0] if len(lists) == 1 else merge(*lists):
+            if self.foes[g] is None or event not in self.foes[g]:
+                break
+        else:
+            g = len(self.first)
+            self.first.append(row)
+            self.anchor.append(day)
+            self.foes.append(None)
+            if joins:
+                self.at.setdefault(day, []).append(g)
+        if foes is not None and len(foes):
+            self.foes[g] = (self.foes[g] or set()).union(foes)
+        if day is not None and joins and day > self.anchor[g]:
+            own = self.at[self.anchor[g]]
+            own.pop(bisect_left(own, g))
+            if not own:
+                del self.at[self.anchor[g]]
+            insort(self.at.setdefault(day, []), g)
+            self.anchor[g] = day
+        return self.first[g]
+
+
+def window_groups(entries: DataFrame, days: int = LINK_DAYS, distinct: Distinct = None, aliases: Aliases = None) -> DataFrame:
     """(row_idx, group_idx): per company, in file order, each row joins the first group that takes it, else starts one.
 
-    A group takes a row within `days` of its anchor, which only moves forward; undated rows meet undated ones;
-    listed distinct events never meet. group_idx is the row_idx of the group's first row. The groups of one company at a time are in memory.
+    A group takes a row within `days` of its anchor, which only moves forward; undated rows meet undated ones; a date that
+    is none stays alone; distinct events (a, b) never meet. group_idx is the row_idx of the group's first row.
+
+    A company's dates are cut where more than `days` lie between two neighbours: an anchor is always a date of its group, so
+    no group reaches over such a gap in whatever order the rows come. Each piece is a pass of its own, and one company
+    spreads over as many tasks as it has pieces; a pass holds the open groups of one piece, not its rows.
     """
-    apart = enemies(distinct)
+    rows = with_company_key(entries.select("company", "row_idx", "date_announced", "event_id"), "k", aliases=aliases)
+    rows = with_foes(rows, pair_frame(entries, distinct)).select("k", "row_idx", F.nullif("date_announced", F.lit("")).alias("text"), "event_id", "foes")
+    dated = islands(rows.select("k", iso_date(F.col("text")).alias("day")).distinct(), "k", "day", days).select("k", "day", "island")
+    rows = rows.withColumn("day", iso_date(F.col("text"))).join(dated, ["k", "day"], "left").withColumn("piece", F.coalesce("island", F.lit(-1).cast("long")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        company, groups = None, []
+        at, groups = None, OpenGroups(days)
         for b in batches:
             out = []
-            for k, idx, text, event in b.itertuples(index=False):
-                if k != company:
-                    company, groups = k, []
+            for k, piece, idx, text, event, foes in b[["k", "piece", "row_idx", "text", "event_id", "foes"]].itertuples(index=False):
+                if (k, piece) != at:
+                    at, groups = (k, piece), OpenGroups(days)
                 day = day_number(text)
-                for s in groups:
-                    fits = (not text and not s["text"]) or (text and s["text"] and day is not None and s["day"] is not None and abs(day - s["day"]) <= days)
-                    if fits and event not in s["foes"]:
-                        break
-                else:
-                    s = {"text": text, "day": day, "first": idx, "foes": set()}
-                    groups.append(s)
-                s["foes"] |= apart.get(event, set())
-                if text and s["text"] and text > s["text"]:
-                    s["text"], s["day"] = text, day
-                out.append((idx, s["first"]))
+                out.append((idx, groups.take(day, event, foes, idx, joins=day is not None or not text)))
             yield pd.DataFrame(out, columns=["row_idx", "group_idx"])
 
-    rows = with_company_key(entries.select("company", "row_idx", "date_announced", "event_id"), "k").select("k", "row_idx", "date_announced", "event_id")
-    return rows.repartition("k").sortWithinPartitions("k", "row_idx").mapInPandas(run, "row_idx long, group_idx long")
+    keyed = rows.select("k", "piece", "row_idx", "text", "event_id", "foes")
+    return keyed.repartition("k", "piece").sortWithinPartitions("k", "piece", "row_idx").mapInPandas(run, "row_idx long, group_idx long")
 
 
 def resolve_merges(merges: DataFrame, max_depth: int = 50) -> DataFrame:
@@ -182,62 +243,71 @@ def link_changes(linked: DataFrame) -> DataFrame:
     return linked.filter("event_id is distinct from new_event_id")
 
 
-def dedup_by_deletion(entries: DataFrame, days: int = LINK_DAYS) -> DataFrame:
+def dedup_by_deletion(entries: DataFrame, days: int = LINK_DAYS, aliases: Aliases = None) -> DataFrame:
     """The best row, then the first, of each company window; the others go."""
-    best = F.row_number().over(Window.partitionBy("group_idx").orderBy(F.desc(row_quality()), "row_idx"))
-    return entries.join(window_groups(entries, days), "row_idx").withColumn("_r", best).filter("_r = 1").drop("_r", "group_idx")
+    best = F.min_by("row_idx", F.struct((-row_quality()).alias("q"), "row_idx")).alias("row_idx")
+    kept = entries.join(window_groups(entries, days, aliases=aliases), "row_idx").groupBy("group_idx").agg(best).select("row_idx")
+    return entries.join(kept, "row_idx", "left_semi")
 
 
-def link_events(entries: DataFrame, merges: DataFrame | None = None, distinct: list[tuple[str, str]] | None = None) -> DataFrame:
+def link_events(entries: DataFrame, merges: DataFrame | None = None, distinct: Distinct = None, aliases: Aliases = None) -> DataFrame:
     """(row_idx, event_id, new_event_id): every row adopts the id of its group's canonical row.
 
-    Groups are joined where rows share a company window, an address, or company and month base. Listed distinct
-    events veto a join; then the rows of a component that holds both sides of a pair are joined one edge at a time, in file order.
+    Groups are joined where rows share a company window, an address, or company and month base. Distinct events (a, b)
+    veto a join; then the groups of a component that holds both sides of a pair are joined one edge at a time, in file
+    order. A company window has no such pair within, and its edges come first, so each is one node of that pass.
     """
-    e = entries
+    e, distinct = entries, pair_frame(entries, distinct)
     if merges is not None:
         r = resolve_merges(merges)
+        assert_merges(r, entries, None if distinct is None else distinct.select(F.array_join(F.array_sort(F.array("a", "b")), " + ").alias("pair")))
         e = e.join(r, e["event_id"] == r["from_event_id"], "left").withColumn("event_id", F.coalesce("target", "event_id")).drop("from_event_id", "target", "depth")
-    groups = window_groups(e, distinct=distinct)
-    n = stage(with_company_key(e, "k").join(groups, "row_idx").select("row_idx", "event_id", "group_idx", row_quality().alias("quality"), F.nullif(normalize_url(F.col("source_link")), F.lit("")).alias("url"), F.concat("k", F.lit("|"), month_base(F.col("event_id"))).alias("month")), "linked")
+    names = company_names(entries.select("company"), aliases=aliases)
+    groups = window_groups(e, distinct=distinct, aliases=names)
+    month = F.concat("k", F.lit("|"), month_base(F.col("event_id")))
+    n = with_company_key(e, "k", aliases=names).join(groups, "row_idx")
+    n = stage(n.select("row_idx", "event_id", "group_idx", row_quality().alias("quality"), F.nullif(normalize_url(F.col("source_link")), F.lit("")).alias("url"), month.alias("month")), "linked")
     edges = n.select(F.col("row_idx").alias("a"), F.col("group_idx").alias("b"), F.lit(0).alias("kind"))
     for kind, key in enumerate(("url", "month"), 1):
-        first = F.min("row_idx").over(Window.partitionBy(key))
-        edges = edges.unionByName(n.filter(F.col(key).isNotNull()).select(F.col("row_idx").alias("a"), first.alias("b"), F.lit(kind).alias("kind")))
+        edges = edges.unionByName(to_first(n, key).withColumn("kind", F.lit(kind)))
+    edges = stage(edges, "edges")
     comps = connected_components(edges)
     n = n.join(comps, n["row_idx"] == comps["node"], "left").withColumn("root", F.coalesce("component", "row_idx")).drop("node", "component")
-    if distinct:
-        apart = enemies(distinct)
-
-        def split(key: tuple, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-            own = {i: i for i in rows["row_idx"]}
-            ids = {i: {x} for i, x in zip(rows["row_idx"], rows["event_id"], strict=True)}
-            foes = {i: set(apart.get(x, ())) for i, x in zip(rows["row_idx"], rows["event_id"], strict=True)}
-
-            def find(i: int) -> int:
-                while own[i] != i:
-                    own[i] = i = own[own[i]]
-                return i
-
-            for _, a, b in sorted(links[["kind", "a", "b"]].itertuples(index=False)):
-                x, y = sorted((find(a), find(b)))
-                if x != y and ids[x].isdisjoint(foes[y]):
-                    own[y] = x
-                    # the smaller side moves
-                    for kind in (ids, foes):
-                        small, large = sorted((kind[x], kind.pop(y)), key=len)
-                        large |= small
-                        kind[x] = large
-            return pd.DataFrame({"row_idx": rows["row_idx"], "part": [find(i) for i in rows["row_idx"]]})
-
-        # only components that hold both sides of a pair can be cut; all others stay as they are
-        spark, at = e.sparkSession, n.select("root", "event_id").distinct()
-        pairs = spark.createDataFrame([tuple(p) for p in distinct], "x string, y string")
-        cut = at.join(F.broadcast(pairs), F.col("event_id") == F.col("x")).select("root", F.col("y").alias("event_id")).join(at, ["root", "event_id"], "left_semi").select("root").distinct()
-        cut = stage(cut, "cut")
-        mine = n.join(cut, "root", "left_semi").select("root", "row_idx", "event_id")
-        named = edges.join(mine.select(F.col("row_idx").alias("a"), F.col("root").alias("link_root")), "a")
-        parts = mine.groupBy("root").cogroup(named.groupBy("link_root")).applyInPandas(split, "row_idx long, part long")
-        n = n.join(parts, "row_idx", "left").withColumn("root", F.coalesce("part", "root")).drop("part")
+    if distinct is not None:
+        n = stage(n, "rooted")
+        at = n.select("root", "event_id").distinct()
+        pairs = distinct.select(F.col("a").alias("event_id"), "b").distinct()
+        cut = at.join(pairs, "event_id").select("root", F.col("b").alias("event_id")).join(at, ["root", "event_id"], "left_semi").select("root").distinct()
+        mine = with_foes(n.join(stage(cut, "cut"), "root", "left_semi").select("root", "row_idx", "group_idx", "event_id"), distinct)
+        mine = stage(mine, "cut-rows")
+        nodes = mine.groupBy("root", "group_idx").agg(F.collect_set("event_id").alias("ids"), F.array_distinct(F.flatten(F.collect_set(F.coalesce("foes", F.array().cast("array<string>"))))).alias("foes"))
+        side = lambda c: mine.select(F.col("row_idx").alias(c), F.col("group_idx").alias(f"group_{c}"), *([F.col("root").alias("link_root")] if c == "a" else []))
+        links = edges.filter("kind > 0").join(side("a"), "a").join(side("b"), "b").filter("group_a <> group_b")
+        links = links.groupBy("link_root", "group_a", "group_b").agg(F.min(F.struct("kind", "a", "b")).alias("turn"))
+        parts = nodes.groupBy("root").cogroup(links.select("link_root", "group_a", "group_b", "turn.*").groupBy("link_root")).applyInPandas(_united, "group_idx long, part long")
+        n = n.join(parts, "group_idx", "left").withColumn("root", F.coalesce("part", "root")).drop("part")
     best = n.groupBy("root").agg(F.min_by("event_id", F.struct((-F.col("quality")).alias("q"), "row_idx")).alias("canonical"))
     return n.join(best, "root").select("row_idx", "event_id", F.coalesce(F.nullif(F.trim("canonical"), F.lit("")), "event_id").alias("new_event_id"))
+
+
+def _united(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Groups joined edge by edge where no pair of distinct events would meet; a part is named by its smallest group."""
+    own = {g: g for g in nodes["group_idx"]}
+    ids = {g: set(x) for g, x in zip(nodes["group_idx"], nodes["ids"], strict=True)}
+    foes = {g: set(x) for g, x in zip(nodes["group_idx"], nodes["foes"], strict=True)}
+
+    def find(g: int) -> int:
+        while own[g] != g:
+            own[g] = g = own[own[g]]
+        return g
+
+    for _, _, _, a, b in sorted(links[["kind", "a", "b", "group_a", "group_b"]].itertuples(index=False)):
+        x, y = sorted((find(a), find(b)))
+        if x != y and ids[x].isdisjoint(foes[y]):
+            own[y] = x
+            # the smaller side moves
+            for kind in (ids, foes):
+                small, large = sorted((kind[x], kind.pop(y)), key=len)
+                large |= small
+                kind[x] = large
+    return pd.DataFrame({"group_idx": nodes["group_idx"], "part": [find(g) for g in nodes["group_idx"]]})

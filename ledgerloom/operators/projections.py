@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import INDUSTRIES, ISO, event_id_for, guess_company, jobs_number, map_industry, normalize_company, parse_date, title_fingerprint, wayback_url, with_company_key
+from ledgerloom.functions.text import INDUSTRIES, ISO, Aliases, event_id_for, guess_company, jobs_number, map_industry, normalize_company, parse_date, title_fingerprint, wayback_url, with_company_key
 
 REVIEW_ONLY = ["review_id", "candidate_urls", "snippet"]
 
@@ -15,19 +15,19 @@ def blank(c: Column | str) -> Column:
     return F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def hit_to_review(hits: DataFrame, today: str, stamp: str, id_prefix: str | None = None, notes_prefix: str | None = None) -> DataFrame:
+def hit_to_review(hits: DataFrame, today: str, stamp: str, id_prefix: str | None = None, notes_prefix: str | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
     """Candidates of search hits (row_idx, title, url, snippet, published)."""
     title, snippet = F.coalesce(blank("title"), F.col("url")), F.coalesce("snippet", F.lit(""))
     date = F.coalesce(parse_date(F.col("published")), F.lit(today))
     mark = F.concat(F.lit("[gn:"), title_fingerprint(title), F.lit("]"))
     return hits.select(
-        "row_idx", F.concat_ws("-", F.lit(id_prefix), F.lit(stamp), F.col("row_idx").cast("string")).alias("review_id"), guess_company(title).alias("company"), date.alias("date_announced"), date.alias("date_reported"),
+        "row_idx", F.concat_ws("-", F.lit(id_prefix), F.lit(stamp), F.col("row_idx").cast("string")).alias("review_id"), guess_company(title, aliases).alias("company"), date.alias("date_announced"), date.alias("date_reported"),
         jobs_number(F.concat(title, F.lit(". "), snippet)).cast("double").alias("jobs_cut_sg"), F.lit(None).cast("double").alias("jobs_cut_global"), F.lit(None).cast("double").alias("pct_workforce"), F.lit("Other").alias("industry"),
         F.col("url").alias("source_link"), F.concat_ws(" ", F.lit(notes_prefix), mark).alias("notes"), F.lit("rumored").alias("status"), F.lit("").alias("event_id"), F.col("url").alias("candidate_urls"), F.substring(snippet, 1, 300).alias("snippet"),
     )
 
 
-def event_to_review(events: DataFrame, today: str) -> DataFrame:
+def event_to_review(events: DataFrame, today: str, aliases: dict[str, str] | None = None) -> DataFrame:
     """Candidates of a source's events (row_idx, id, company, industry, announcement_date, created_date, affected, is_exact, source_name, source_url, notes)."""
     announced = parse_date(F.col("announcement_date"))
     reported = F.coalesce(announced, parse_date(F.col("created_date")), F.lit(today))
@@ -36,7 +36,7 @@ def event_to_review(events: DataFrame, today: str) -> DataFrame:
     origin = F.concat_ws("; ", F.concat(F.lit("via "), blank("source_name")), F.when(~F.col("is_exact"), "estimate").when(F.col("is_exact"), "exact count"), own)
     notes = F.concat(F.lit("From layoffsg.com"), F.when(origin != "", F.concat(F.lit(" ("), origin, F.lit(")"))).otherwise(""), F.lit(" [lsg:"), F.col("id").cast("string"), F.lit("]"))
     return events.select(
-        "row_idx", F.concat_ws("-", F.lit("layoffsg"), F.col("id").cast("string"), F.col("row_idx").cast("string")).alias("review_id"), normalize_company(F.coalesce("company", F.lit(""))).alias("company"),
+        "row_idx", F.concat_ws("-", F.lit("layoffsg"), F.col("id").cast("string"), F.col("row_idx").cast("string")).alias("review_id"), normalize_company(F.coalesce("company", F.lit("")), aliases).alias("company"),
         F.coalesce(announced, reported).alias("date_announced"), reported.alias("date_reported"), F.floor(F.col("affected") + 0.5).cast("double").alias("jobs_cut_sg"), F.lit(None).cast("double").alias("jobs_cut_global"),
         F.lit(None).cast("double").alias("pct_workforce"), map_industry(F.col("industry")).alias("industry"), link.alias("source_link"), notes.alias("notes"), F.lit("rumored").alias("status"), F.lit("").alias("event_id"),
         link.alias("candidate_urls"), F.substring(F.coalesce(own, origin), 1, 300).alias("snippet"),
@@ -52,11 +52,11 @@ def source_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, events.agg(F.count("*").alias("n")).join(kept.agg(F.count("*").alias("kept"))).select((F.col("n") - F.col("kept")).alias("skipped"))
 
 
-def to_entry(rows: DataFrame) -> DataFrame:
+def to_entry(rows: DataFrame, aliases: Aliases = None) -> DataFrame:
     """Ledger rows of triaged candidates (rule struct, final_verdict, reason): rule, then row, then what follows from them."""
     industry = F.coalesce(blank("rule.industry"), blank("industry"), F.lit("Other"))
     company = F.coalesce("rule.company", "company")
-    d = with_company_key(rows.withColumn("_company", company), "_k", "_company")
+    d = with_company_key(rows.withColumn("_company", company), "_k", "_company", aliases)
     settled = F.col("final_verdict").isin("rejected", "queue")
     notes = F.coalesce("rule.notes", "notes", F.lit(""))
     return d.select(

@@ -152,11 +152,11 @@ def q_clusters(s: SparkSession, d: str) -> DataFrame:
 
 def q_node_keys(s: SparkSession, d: str) -> DataFrame:
     e = named(entries(s, d))
-    return G.node_keys(e, G.telling(G.company_tokens(e.select("company", "row_idx"))))
+    return G.node_keys(e, G.telling(G.company_tokens(e.select("company", "row_idx"), {})))
 
 
 def q_company_tokens(s: SparkSession, d: str) -> DataFrame:
-    return G.company_tokens(named(entries(s, d)).select("company", "row_idx")).select("key", "variant")
+    return G.company_tokens(named(entries(s, d)).select("company", "row_idx"), {}).select("key", "variant")
 
 
 def q_same_company_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -243,7 +243,7 @@ def q_link_events(s: SparkSession, d: str) -> DataFrame:
     """With merges of some customers' events into their next month's, and pairs that must stay apart."""
     e = entries(s, d)
     merges = e.filter("event_id <> '' and row_idx % 40 = 0").groupBy(F.substring_index("event_id", "-", 2).alias("c")).agg(F.min("event_id").alias("from_event_id"), F.max("event_id").alias("to_event_id")).filter("from_event_id <> to_event_id")
-    pairs = [tuple(r.pair.split(" + ")) for r in s.sql(DISTINCT, e=e).filter("pmod(xxhash64(pair), 50) = 0").collect()]
+    pairs = s.sql(DISTINCT, e=e).filter("pmod(xxhash64(pair), 50) = 0").select(F.split("pair", r" \+ ").alias("p")).select(F.get("p", F.lit(0)).alias("a"), F.get("p", F.lit(1)).alias("b"))
     return G.link_events(e, merges.select("from_event_id", "to_event_id"), pairs)
 
 
