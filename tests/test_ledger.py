@@ -16,6 +16,7 @@ from ledgerloom.operators import linking as G
 from ledgerloom.operators import projections as P
 from ledgerloom.operators import selection as S
 from ledgerloom.operators.components import connected_components
+from ledgerloom.operators.names import company_names
 from ledgerloom.sources import ledger_files as L
 from ledgerloom.streaming.ingest import ingest_stream
 
@@ -363,3 +364,102 @@ def test_budget_turns_over(spark):
     state = spark.createDataFrame([("2026-05", 7, 50)], "month string, searches_used int, monthly_cap int")
     assert tuple(L.budget(state, "2026-05").first()) == ("2026-05", 7, 50) and tuple(L.budget(state, "2026-06").first()) == ("2026-06", 0, 50)
     assert tuple(L.budget(state.limit(0), "2026-06").first()) == ("2026-06", 0, 1000)
+
+
+def test_hints_meet_lists_not_events(spark):
+    """5000 candidates and 5000 events of one company and cluster: what the joins make stays near the candidates."""
+    n = 5000
+    ledger = spark.range(n).select(F.col("id").alias("row_idx"), F.lit("Nova Ltd").alias("company"), F.lit("2026-05-01").alias("date_announced"), F.concat(F.lit("e"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("event_id"))
+    own = spark.range(n, 2 * n).select(F.col("id").alias("row_idx"), F.lit("NOVA").alias("company"))
+    clusters = ledger.select("row_idx", F.lit("anchor").alias("kind"), F.lit("c").alias("cluster")).unionByName(own.select("row_idx", F.lit("candidate").alias("kind"), F.lit("c").alias("cluster")))
+    h = H.select_hints(own, ledger, clusters)
+    plan = h._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 4  # cut before and after the shuffle, for companies and for clusters
+    got = h.collect()
+    assert len(got) == n and {(r.primary_event_id, tuple(r.listed)) for r in got} == {("e00000", tuple(f"e{i:05d}" for i in range(1, 13)))}
+
+
+def test_hints_match_a_sequential_model(spark):
+    rng = random.Random(12)
+    ledger = [(i, f"C{rng.randrange(4)}", "2026-05-01", rng.choice(["", *(f"e{j:02d}" for j in range(60))])) for i in range(150)]
+    own = [(1000 + i, f"C{rng.randrange(6)}") for i in range(40)]
+    clusters = [("anchor", i, f"k{rng.randrange(5)}") for i, *_ in ledger if rng.random() < 0.6] + [("candidate", i, f"k{rng.randrange(7)}") for i, _ in own if rng.random() < 0.8]
+    near, want = {}, {}
+    at = {(kind, i): c for kind, i, c in clusters}
+    for i, _, _, e in ledger:
+        if ("anchor", i) in at:
+            near.setdefault(at["anchor", i], []).append(e)
+    for i, company in own:
+        same = near.get(at.get(("candidate", i)), [])
+        first = same[0] if same else None
+        every = dict.fromkeys([e for _, c, _, e in ledger if c == company and e] + [e for e in same if e])
+        want[i] = (first or None, [e for e in every if e != first][:12])
+    frame = lambda data, schema: spark.createDataFrame(data, schema).repartition(3)
+    got = H.select_hints(frame(own, "row_idx long, company string"), frame(ledger, "row_idx long, company string, date_announced string, event_id string"), frame(clusters, "kind string, row_idx long, cluster string"))
+    assert {r.row_idx: (r.primary_event_id, r.listed) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_groups_with_vetoes_match_a_sequential_model(spark, seed):
+    """Dates in random file order, some blank, some no dates, and pairs of events that must not meet."""
+    rng, changes = random.Random(seed), []
+    for _ in range(260):
+        day = rng.choice(["", "soon", *[str(datetime.date(2026, 1, 1) + datetime.timedelta(rng.randrange(120)))] * 8])
+        changes.append({"company": rng.choice(["A Ltd", "a", "B", ""]), "date_announced": day, "event_id": f"e{rng.randrange(12)}"})
+    pairs = [(f"e{a}", f"e{b}") for a, b in (rng.sample(range(12), 2) for _ in range(10))]
+    foes = {frozenset(p) for p in pairs}
+    number = lambda t: datetime.date.fromisoformat(t).toordinal() if t[:1] == "2" else None
+    groups, want = {}, []
+    for i, c in enumerate(changes):
+        t = c["date_announced"]
+        for g in groups.setdefault(c["company"].removesuffix(" Ltd").lower(), []):
+            near = (not t and not g[0]) or (t and g[0] and number(t) and number(g[0]) and abs(number(t) - number(g[0])) <= 7)
+            if near and not any(frozenset((c["event_id"], e)) in foes for e in g[2]):
+                g[2].add(c["event_id"])
+                g[0] = max(g[0], t) if t and g[0] else g[0]
+                break
+        else:
+            g = [t, i, {c["event_id"]}]
+            groups[c["company"].removesuffix(" Ltd").lower()].append(g)
+        want.append((i, g[1]))
+    e = rows(spark, *changes).repartition(5)
+    assert sorted(map(tuple, G.window_groups(e, distinct=pairs).collect())) == want
+    apart = spark.createDataFrame(pairs, "a string, b string")
+    assert sorted(map(tuple, G.window_groups(e, distinct=apart).collect())) == want
+
+
+def test_pieces_of_one_company_go_to_many_tasks(spark):
+    days = spark.range(400).select(F.col("id").alias("row_idx"), F.lit("Nova").alias("company"), F.date_add(F.lit("1990-01-01"), (F.col("id") * 9).cast("int")).cast("string").alias("date_announced"), F.lit("e").alias("event_id"))
+    out = G.window_groups(days).withColumn("task", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would put so few rows together again
+    try:
+        got = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(r.row_idx == r.group_idx for r in got) and len({r.task for r in got}) > 1
+
+
+ALIASED = {"yeo's": "Yeo Hiap Seng", "nova labs": "Orbit"}
+
+
+def test_aliases_decide_everywhere(spark):
+    table = spark.createDataFrame([("Yeo's ", "Yeo Hiap Seng"), ("nova labs", " Orbit"), ("", "x"), ("y", None)], "alias string, canonical string")
+    ledger = rows(spark, {"company": "Yeo Hiap Seng", "event_id": "yhs", "source_link": "http://a/1"}, {"company": "Orbit Pte Ltd", "event_id": "orb", "source_link": "http://a/2"})
+    own = rows(spark, {"company": "Yeo’s", "date_announced": "2026-05-09", "source_link": "http://a/3"}, {"company": "Nova Labs (SG)", "date_announced": "2026-05-09", "source_link": "http://a/4"}).withColumn("row_idx", F.col("row_idx") + 10)
+    nothing = ledger.limit(0)
+    for aliases, second in ((None, "new"), ({}, "new"), (ALIASED, "potential-duplicate"), (table, "potential-duplicate"), (company_names(ledger.select("company"), own.select("company"), aliases=table), "potential-duplicate")):
+        got = {r.row_idx: r.verdict for r in D.check_candidates(own, ledger, nothing, nothing, aliases).collect()}
+        assert got == {10: "new" if aliases == {} else "potential-duplicate", 11: second}
+    none = spark.createDataFrame([], "kind string, row_idx long, cluster string")
+    assert {r.row_idx: r.listed for r in H.select_hints(own, ledger, none, aliases=table).collect()} == {10: ["yhs"], 11: ["orb"]}
+    both = ledger.unionByName(own.withColumn("date_announced", F.lit("2026-05-02")))
+    first = {r.row_idx: r.group_idx for r in G.window_groups(both, aliases=table).collect()}
+    assert first == {0: 0, 1: 1, 10: 0, 11: 1}
+    linked = {r.row_idx: r.new_event_id for r in G.link_events(both.withColumn("event_id", F.coalesce(F.nullif("event_id", F.lit("")), F.lit("new"))), aliases=ALIASED).collect()}
+    assert linked == {0: "yhs", 1: "orb", 10: "yhs", 11: "orb"}
+    kept = {r.row_idx for r in G.dedup_by_deletion(both, aliases=ALIASED).collect()}
+    assert kept == {0, 1}
+    results = own.select(F.col("row_idx"), F.lit("Yeo Hiap Seng").alias("company"), "date_announced", F.lit("denied").alias("new_status"), F.lit("").alias("evidence_url")).limit(1)
+    assert [r.status for r in U.apply_results(own, results, table).filter("row_idx = 10").collect()] == ["denied"]
+    variants = {(r.key, r.variant) for r in G.company_tokens(ledger.select("company", "row_idx"), ALIASED).collect()}
+    assert {("yeo-hiap-seng", "yeo s"), ("orbit", "nova labs")} <= variants
