@@ -106,12 +106,12 @@ def mix_sources(docs: DataFrame, most: int = 3, seed: int = 7, row: str | None =
 
     size is the number of words (null text: none), taken is size times copies, and copies is at most `most`.
     Null is a source of its own. A source without words is taken zero times; repeated rows are decided one
-    by one; an empty table gives no rows; other columns are not read. The same table gives the same draws in
-    any layout, unless rows repeat their doc_id.
+    by one; an empty table gives no rows; other columns are not read. A row is drawn by its doc_id, text and source,
+    null or not, so the same table gives the same draws in any layout; rows alike in all three are interchangeable.
     """
     units = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(word_pattern)), F.lit(0)).cast("long").alias("size"),
-        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
+        F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("mark"), (F.col(row) if row else F.lit(None).cast("long")).alias("row"),
     )
     units = stage(units, "sizes")
     counts = units.groupBy("source").agg(F.count("*").alias("n"))
@@ -120,7 +120,7 @@ def mix_sources(docs: DataFrame, most: int = 3, seed: int = 7, row: str | None =
     ratio = F.when(F.abs(ratio - F.round(ratio)) < EPS, F.round(ratio)).otherwise(ratio)
     shares = stage(shares.withColumn("whole", F.floor(ratio)).withColumn("chance", ratio - F.floor(ratio)).withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))), "shares").alias("s")
     most_blocks = shares.agg(F.max("blocks")).first()[0] or 1
-    drawn = F.xxhash64(F.coalesce("u.doc_id", "u.row"), "u.size", F.lit(seed))
+    drawn = F.xxhash64("u.mark", "u.size", F.lit(seed))
     flying = units.alias("u").join(shares, F.col("u.source").eqNullSafe(F.col("s.source"))).select(
         "u.doc_id", "u.row", "u.source", "u.size", "source_size", "target", "whole", "chance", "name", F.pmod(drawn, "blocks").alias("block"), F.col("blocks"), drawn.alias("turn")
     )
@@ -129,7 +129,7 @@ def mix_sources(docs: DataFrame, most: int = 3, seed: int = 7, row: str | None =
     flying = flying.filter("chance > 0")
 
     def flight(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.assign(key=group["doc_id"].fillna(-1)).sort_values(["size", "turn", "key", "row"], ascending=[False, True, True, True]).drop(columns="key")
+        g = group.sort_values(["size", "turn", "doc_id"], ascending=[False, True, True])
         rng = np.random.default_rng([seed, int(g["block"].iloc[0]), *g["name"].iloc[0].encode()])
         return g.assign(chance=fly_in_chunks(g["size"].to_numpy(float), g["chance"].to_numpy(float), rng, bool(g["blocks"].iloc[0] <= 1)))
 

@@ -4,8 +4,7 @@ Base rules count words, repeated lines and repeated three-word windows. The verd
 histograms of character classes and of common words with references of the corpus's languages, by
 Jensen-Shannon distance; it is kept if some language accepts both. A language's reference is the mean of the
 shares of its distinct texts that pass the base rules, each weighing alike, so neither copies nor length nor
-junk weigh; its common words are the COMMON ones with the largest mean share among words of up to LONGEST
-code points (longer ones are never that common, and leaving them out halves the work).
+junk weigh; its common words are the COMMON ones with the largest mean share.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ BREAKS = r"[\x20\x09-\x0D]+"
 #: Character classes of the histogram, besides blanks, letters and whatever is left.
 CLASSES = {"upper": r"\p{Lu}", "stop": r".,;:!?'\"()\-", "sign": r"#$%&*+/<=>@\[\]^_`{|}~\\"}
 NAMES = ["upper", "stop", "sign", "blank", "rest"]
-COMMON, LONGEST = 12, 6
+COMMON = 12
 #: Distances accepted: at `WORD_BASE` for long texts, more for short ones, whose histograms are rough.
 WORD_BASE, WORD_SHORT, CHAR_MOST = 0.14, 1.9, 0.25
 MIN_WORDS = 50
@@ -70,12 +69,12 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """docs with `text` (not null) and `lang` plus the base counts, _chars (the shares of NAMES among the characters), _short (words of up to LONGEST code points in lower case) and _h (a hash of the words)."""
+    """docs with `text` (not null) and `lang` plus the base counts, _chars (the shares of NAMES among the characters), _low (words in lower case) and _h (a hash of the words)."""
     size = F.length("text").cast("long")
     d = base_counts(docs).withColumns({f"_{n}": count_of(F.col("text"), c) for n, c in CLASSES.items()})
     counts = [*(F.col(f"_{n}") for n in CLASSES), size - F.col("word_chars"), F.col("word_chars") - reduce(lambda a, b: a + b, (F.col(f"_{n}") for n in CLASSES))]
-    short = F.transform(F.filter("words", lambda w: F.length(w) <= LONGEST), lambda w: F.lower(w))
-    d = d.withColumns({"_chars": F.transform(F.array(*counts), lambda c: c / F.greatest(size, F.lit(1))), "_short": short, "_h": F.xxhash64("words")})
+    low = F.transform("words", lambda w: F.lower(w))
+    d = d.withColumns({"_chars": F.transform(F.array(*counts), lambda c: c / F.greatest(size, F.lit(1))), "_low": low, "_h": F.xxhash64("words")})
     return d.drop("words", *(f"_{n}" for n in CLASSES))
 
 
@@ -91,7 +90,7 @@ def references(known: DataFrame, broadcast_copies: int = 1_000_000) -> list[dict
     mean = lambda x: F.round(F.sum(F.col("w") * x) / F.sum("w"), 9)
     classes = d.groupBy("lang").agg(F.sum("w").alias("n"), *(mean(F.get("_chars", F.lit(i))).alias(c) for i, c in enumerate(NAMES))).filter(F.round("n", 6) >= MIN_DOCS)
     classes = stage(classes, "classes")
-    words = d.select("lang", (F.col("w") / F.col("n_words")).alias("x"), F.explode("_short").alias("word")).groupBy("lang", "word").agg(F.sum("x").alias("x"))
+    words = d.select("lang", (F.col("w") / F.col("n_words")).alias("x"), F.explode("_low").alias("word")).groupBy("lang", "word").agg(F.sum("x").alias("x"))
     shares = words.join(F.broadcast(classes.select("lang", "n")), "lang").select("lang", "word", F.round(F.col("x") / F.col("n"), 9).alias("x")).filter("x > 0.001")
     ranked = shares.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("x"), "word"))).filter(F.col("r") <= COMMON)
     common: dict[str, dict[str, float]] = {}
@@ -117,7 +116,7 @@ def compared(d: DataFrame, refs: list[dict]) -> DataFrame:
     names = F.from_json(F.lit(json.dumps(vocabulary)), "array<string>")
     n = F.greatest(F.col("n_words"), F.lit(1))
     # a set decides which words are common before any is looked for in the list
-    d = d.withColumn("_at", F.transform(F.filter("_short", lambda w: w.isin(vocabulary)), lambda w: F.array_position(names, w).cast("int")))
+    d = d.withColumn("_at", F.transform(F.filter("_low", lambda w: w.isin(vocabulary)), lambda w: F.array_position(names, w).cast("int")))
     # sorted behind one mark of each number: a number's count is the distance of two marks, less one
     d = d.withColumn("_at", F.sort_array(F.concat("_at", F.sequence(F.lit(1), F.lit(len(vocabulary) + 1)))))
     d = d.withColumn("_start", F.filter(F.transform("_at", lambda x, i: F.when((i == 0) | (F.get("_at", i - 1) != x), i)), lambda i: i.isNotNull()))
@@ -140,7 +139,7 @@ def quality_rules(docs: DataFrame, keep_text: bool = True, carry: list[str] | No
     again when rows are judged, so that no text is written; without it text is not among the columns, and the written ones serve.
     """
     names = carry or [c for c in docs.columns if c not in NEW and (keep_text or c != "text")]
-    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    row = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in names)).alias("row")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     every = facts(docs.select(row, F.col("lang"), F.col("text").isNotNull().alias("_has"), text))
     light = every.drop("row", "text") if keep_text else every.drop("text")
@@ -178,9 +177,9 @@ b AS (SELECT d.*, {counts}, len(words)::BIGINT AS n, length(regexp_replace(t, '[
 c AS (SELECT *, n < {MIN_WORDS} OR 100 * rw > 50 * n AS bad, length(t) - wc AS c{k}, wc - ({" + ".join(f"c{i}" for i in range(k))}) AS c{k + 1} FROM b),
 f AS (SELECT *, 1 / count(*) OVER (PARTITION BY lang, words) AS w FROM c WHERE has AND lang IS NOT NULL AND NOT bad),
 tot AS (SELECT lang, sum(w) AS n, {", ".join(f"round(sum(w * (c{i} / greatest(length(t), 1))) / sum(w), 9) AS q{i}" for i in ks)} FROM f GROUP BY lang HAVING round(sum(w), 6) >= {MIN_DOCS}),
-fw AS (SELECT f.lang, lower(x) AS word, w / n AS s FROM (SELECT lang, w, n, unnest(words) AS x FROM f) f WHERE length(x) <= {LONGEST}),
+fw AS (SELECT f.lang, lower(x) AS word, w / n AS s FROM (SELECT lang, w, n, unnest(words) AS x FROM f) f),
 ref AS (SELECT fw.lang, word, round(sum(s) / any_value(tot.n), 9) AS q FROM fw JOIN tot ON fw.lang = tot.lang GROUP BY fw.lang, word HAVING q > 0.001 QUALIFY row_number() OVER (PARTITION BY fw.lang ORDER BY q DESC, word) <= {COMMON}),
-own AS (SELECT doc_id, lower(x) AS word, count(*) AS k FROM (SELECT doc_id, unnest(words) AS x FROM d) WHERE length(x) <= {LONGEST} GROUP BY ALL),
+own AS (SELECT doc_id, lower(x) AS word, count(*) AS k FROM (SELECT doc_id, unnest(words) AS x FROM d) GROUP BY ALL),
 able AS (SELECT * FROM c WHERE n >= {MIN_WORDS} AND (lang IS NULL OR lang IN (SELECT lang FROM tot))),
 pair AS (SELECT a.doc_id, a.n, ref.lang, ref.q, coalesce(own.k, 0) / a.n AS p FROM able a CROSS JOIN ref LEFT JOIN own ON own.doc_id = a.doc_id AND own.word = ref.word),
 rest AS (SELECT doc_id, n, lang, p, q FROM pair UNION ALL SELECT doc_id, n, lang, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM pair GROUP BY ALL),

@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm.common import shared_dir
@@ -200,7 +201,7 @@ def test_repeats_with_runs_and_small_alphabets(spark):
 def test_mixing(docs):
     out = mix_sources(docs).collect()
     again = mix_sources(docs.repartition(5)).collect()
-    ids = lambda rows: Counter((r.doc_id, r.taken) for r in rows if r.doc_id not in (None, 2))
+    ids = lambda rows: Counter((r.doc_id, r.source, r.taken) for r in rows)
     assert ids(out) == ids(again) and len(out) == len(corpus())
     sizes = {}
     for _, t, _, s in corpus():
@@ -218,6 +219,23 @@ def test_mixing(docs):
     assert all(abs(r.target - target[r.source]) < 1e-6 and r.source_size == sizes[r.source] and r.taken <= 3 * r["size"] for r in out)
 
 
+def test_mixing_draws_alike_in_any_layout(spark):
+    """Ids that repeat or are null, and rows that repeat, with more rows than a block holds."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, i, i, 3]), "w " * rng.randrange(1, 40) + str(i % 200), rng.choice(["a", "b", None])) for i in range(1500)]
+    df = spark.createDataFrame(rows + rows[:100], "doc_id long, text string, source string")
+    drawn = [Counter((r.doc_id, r.source, r["size"], r.copies) for r in mix_sources(df.repartition(k)).collect()) for k in (3, 5)]
+    assert drawn[0] == drawn[1] and sum(drawn[0].values()) == 1600
+
+
+def test_quality_takes_any_column_names(spark):
+    df = spark.createDataFrame([(1, "a b " * 40, "en", 1, 2, 3)], "doc_id long, text string, lang string, `a``b` int, `c.d` int, kept int")
+    out = quality_rules(df)
+    assert {"a`b", "c.d"} <= set(out.columns) and out.first()["a`b"] == 1
+    carried = quality_rules(df.withColumn("row", F.struct("doc_id")), keep_text=False, carry=["a`b", "row", "c.d"]).first()
+    assert (carried["a`b"], carried["c.d"], carried["row"].doc_id) == (1, 2, 1)
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(1)
     size = np.sort(rng.lognormal(5, 1, 400))[::-1]
