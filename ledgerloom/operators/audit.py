@@ -14,6 +14,8 @@ HARD = ["same-day-same-event"]
 #: Of these types a report shows a few examples each.
 PER_ROW = ["unarchived-confirmed", "contradictory-verdict", "global-figure", "vague-company", "cross-file-contradiction"]
 FINDING = ["type", "event_ids", "rows", "identity", "message"]
+#: Where a report says that aliases and allowed neighbours are kept. The texts of all findings below are fixed values.
+PLACES = ("the aliases", "the allowed neighbours")
 
 
 def pair_key(a: str, b: str) -> Column:
@@ -88,18 +90,18 @@ def source_warnings(e: DataFrame) -> DataFrame:
     return g.select(F.lit("duplicate-source").alias("type"), "event_ids", "rows", F.col("url").alias("identity"), text_of("Same article cited by ", F.size("rows"), " rows (", rows_text(F.col("rows")), "): ", F.col("url")).alias("message"))
 
 
-def split_warnings(e: DataFrame, allowed: DataFrame | None) -> DataFrame:
-    """Neighbouring keys that look like one company; `allowed` holds the pairs (a, b) that are not."""
+def split_warnings(e: DataFrame, allowed: DataFrame | None, places: tuple[str, str] = PLACES) -> DataFrame:
+    """Neighbouring keys that look like one company; `allowed` holds the pairs (a, b) that are not. The text says in which places aliases and allowed pairs are kept."""
     pairs = name_splits(e.select("k"), "k", allowed)
     members = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("k")).join(e.select("k", "event", "row_idx"), "k")
     g = members.groupBy("a", "b").agg(F.array_sort(F.collect_set("event")).alias("event_ids"), F.array_sort(F.collect_list(F.col("row_idx") + 1)).alias("rows"))
-    text = text_of('Company keys "', F.col("a"), '" and "', F.col("b"), '" look like one company under two names — add an alias, or allow the pair if they are distinct')
+    text = text_of('Company keys "', F.col("a"), '" and "', F.col("b"), f'" look like one company under two names — add an alias to {places[0]}, or an entry with a reason to {places[1]} if they are distinct')
     return g.select(F.lit("name-split").alias("type"), "event_ids", "rows", F.concat_ws(" + ", "a", "b").alias("identity"), text.alias("message"))
 
 
 def same_day_errors(cross: DataFrame) -> DataFrame:
     """Each pair of rows of one day, industry and rare token; not to be suppressed."""
-    text = text_of("Same-day, same-industry entries share distinctive company token(s) [", F.array_join("tokens", ", "), ']: "', F.col("company_a"), '" and "', F.col("company_b"), '" both on ', F.col("d_a"), " — give both rows one event_id, or add an alias")
+    text = text_of("Same-day, same-industry entries share distinctive company token(s) [", F.array_join("tokens", ", "), ']: "', F.col("company_a"), '" and "', F.col("company_b"), '" both on ', F.col("d_a"), " — if this is one event, give both rows the same event_id; if they are genuinely different companies, add an alias/exclusion so this token stops matching")
     d = cross.filter("gap = 0")
     return d.select(F.lit("same-day-same-event").alias("type"), F.array("event_a", "event_b").alias("event_ids"), F.array(F.col("row_a") + 1, F.col("row_b") + 1).alias("rows"), pair_key("event_a", "event_b").alias("identity"), text.alias("message"))
 

@@ -12,6 +12,15 @@ from ledgerloom.functions.text import match_text, row_quality
 from ledgerloom.operators.integrity import HEDGE, VAGUE
 
 
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once a row, however many expressions read it.
+
+    A plain projection would be written out again wherever the column stands, for a rule chain dozens of times; what a
+    generator gives is a column of its own to the optimizer.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def first_match(text: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:
     """The outcome of the first (pattern, outcome) that is found; the order of rules decides."""
     outcome = F.lit(default)
@@ -25,10 +34,14 @@ def contains_any(text: Column, parts: list[str]) -> Column:
 
 
 def event_rule(text: Column, rules: list[tuple] = EVENT_RULES) -> Column:
-    """struct(company, industry, verdict, notes) of the first rule that is found, null without any."""
-    first = F.coalesce(*(F.when(text.rlike(f"(?i){r[0]}"), F.lit(i)) for i, r in enumerate(rules)), F.lit(None).cast("int"))
+    """struct(company, industry, verdict, notes) of the first rule that is found, null without any. Letters of any script match in either case.
+
+    One alternation of all rules is tried first: a text that no rule can find, as most are, is read once.
+    """
+    some = text.rlike("(?iu)" + "|".join(f"(?:{r[0]})" for r in rules)) if rules else F.lit(False)
+    first = F.coalesce(*(F.when(text.rlike(f"(?iu){r[0]}"), F.lit(i)) for i, r in enumerate(rules)), F.lit(None).cast("int"))
     table = F.array(*(F.struct(*(F.lit(x).cast("string").alias(n) for n, x in zip(("company", "industry", "verdict", "notes"), r[1:], strict=True))) for r in rules))
-    return F.get(table, first)
+    return F.get(table, F.when(some, first))
 
 
 def triage(candidates: DataFrame, reject: list[str], rules: list[tuple] = EVENT_RULES, overrides: DataFrame | None = None) -> DataFrame:
@@ -36,15 +49,16 @@ def triage(candidates: DataFrame, reject: list[str], rules: list[tuple] = EVENT_
 
     A manual override (row_idx, override) decides, else the first event rule, else a phrase that marks commentary, else the queue.
     """
-    text = match_text(F.col("company"), F.col("source_link"))
-    d = candidates.withColumn("rule", event_rule(text, rules))
+    text = F.col("_text")
+    d = bound(candidates, "_text", match_text(F.col("company"), F.col("source_link")))
+    d = bound(d, "rule", event_rule(text, rules))
     d = d.join(overrides, "row_idx", "left") if overrides is not None else d.withColumn("override", F.lit(None).cast("string"))
     d = d.withColumn("rule", F.when(F.col("override").isNull(), F.col("rule")))
     manual, low = F.col("override").isNotNull(), F.lower(text)
     no = F.lit(False) if not reject else contains_any(low, [p.lower() for p in reject])
     d = d.withColumn("verdict", F.coalesce("override", "rule.verdict", F.when(no, "rejected"), F.lit("queue")))
     reason = F.when(manual, "manual override").when(F.col("rule").isNotNull(), "event rule").when(F.col("verdict") == "rejected", "commentary, statistics or policy").otherwise("unclassified")
-    return d.withColumn("route", F.when(manual, "manual").otherwise("rule")).withColumn("reason", reason).drop("override")
+    return d.withColumn("route", F.when(manual, "manual").otherwise("rule")).withColumn("reason", reason).drop("override", "_text")
 
 
 def canonical_score() -> Column:
@@ -61,7 +75,7 @@ def routed(rows: DataFrame) -> dict[str, DataFrame]:
 def rejected_kind(kinds: list[tuple[str, str, tuple[str, ...]]] = REJECTED_KINDS) -> Column:
     """The first kind of rejection that company, source_link and notes show, else `other`."""
     at = lambda columns: F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in columns))
-    return F.coalesce(*(F.when(at(columns).rlike(f"(?i){p}"), name) for name, p, columns in kinds), F.lit("other"))
+    return F.coalesce(*(F.when(at(columns).rlike(f"(?iu){p}"), name) for name, p, columns in kinds), F.lit("other"))
 
 
 def polluted_accept() -> Column:

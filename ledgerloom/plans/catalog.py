@@ -19,6 +19,8 @@ from ledgerloom.operators import hints as H
 from ledgerloom.operators import linking as G
 from ledgerloom.operators import projections as P
 from ledgerloom.operators import selection as S
+from ledgerloom.operators import triage_run as T
+from ledgerloom.operators.components import stage
 from ledgerloom.plans.entry_view import entries, oracle_entry
 from ledgerloom.session import table
 
@@ -261,10 +263,21 @@ def q_to_entry(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_month_guard(s: SparkSession, d: str) -> DataFrame:
-    t = X.with_company_key(C.triage(headlines(s, d), ["Opinion:"]).withColumn("final_verdict", F.col("verdict")).withColumn("named", F.coalesce("rule.company", "company")), "k", "named")
+    t = stage(C.triage(headlines(s, d), ["Opinion:"]).select("row_idx", "date_announced", F.col("verdict").alias("final_verdict"), F.coalesce("rule.company", "company").alias("named")), "triaged")
+    t = X.with_company_key(t, "k", "named")
     return C.month_guard(t, F.concat("k", F.lit("|"), F.substring("date_announced", 1, 7))).select("row_idx", "final_verdict")
 
 
+BATCH = "CASE row_idx % 28 WHEN 0 THEN 'ExxonMobil to cut jobs' WHEN 4 THEN 'Nokia ' || company WHEN 8 THEN 'Opinion: ' || company WHEN 12 THEN 'Heineken to shed ' || CAST(row_idx % 9 AS STRING) ELSE company || ' news' END"
+
+
+def q_triage_run(s: SparkSession, d: str) -> DataFrame:
+    """A quarter of the entries as a batch against the others; addresses of their own, so that companies and dates decide."""
+    e = entries(s, d).withColumns({"company": F.expr(NAMED), "notes": F.lit(""), "source_link": F.expr("'http://s.sg/' || CAST(row_idx AS STRING)")})
+    batch = e.filter("row_idx % 4 = 0").withColumn("company", F.expr(BATCH))
+    return T.triage_run(batch, e.filter("row_idx % 4 <> 0"), ["Opinion:"]).select("row_idx", "final_verdict", "reason", "company", "industry", "notes", "status", "event_id")
+
+
 def q_rejected_kinds(s: SparkSession, d: str) -> DataFrame:
     e = entries(s, d).withColumn("notes", F.expr("notes || CASE row_idx % 5 WHEN 1 THEN ' hiring now' WHEN 2 THEN ' no Singapore nexus' WHEN 3 THEN ' tracker' ELSE '' END")).withColumn("company", F.expr(HEADLINE))
     return e.select("row_idx", C.rejected_kind().alias("kind"), C.polluted_accept().alias("polluted"))
@@ -484,6 +497,18 @@ ORACLES: dict[str, str] = {
     "triage": with_entries("SELECT row_idx, verdict, rc AS rule_company, CASE WHEN rc IS NOT NULL THEN 'event rule' WHEN verdict = 'rejected' THEN 'commentary, statistics or policy' ELSE 'unclassified' END AS reason FROM z", MATCH),
     "to_entry": with_entries("SELECT row_idx, coalesce(rc, company) AS company, coalesce(ri, 'Retail') AS industry, CASE WHEN verdict = 'rejected' AND coalesce(rn, notes) = '' THEN 'commentary, statistics or policy' ELSE coalesce(rn, notes) END AS notes, CASE WHEN verdict IN ('rejected', 'queue') THEN status ELSE verdict END AS status, CASE WHEN event_id <> '' THEN event_id ELSE regexp_replace(regexp_replace(kk, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || substring(date_announced, 1, 7) END AS event_id, date_reported FROM y", MATCH, f"y AS (SELECT *, {sql_key('coalesce(rc, company)')} AS kk FROM z)"),
     "month_guard": with_entries("SELECT row_idx, CASE WHEN hot AND row_number() OVER (PARTITION BY hot, kk, substring(date_announced, 1, 7) ORDER BY row_idx) > 1 THEN 'rejected' ELSE verdict END AS final_verdict FROM y", MATCH, f"y AS (SELECT *, verdict IN ('confirmed', 'rumored') AS hot, {sql_key('coalesce(rc, company)')} AS kk FROM z)"),
+    "triage_run": with_entries("SELECT row_idx, CASE WHEN late THEN 'rejected' ELSE v2 END AS final_verdict, CASE WHEN late THEN 'Duplicate (same canonical ' || nm || ', ' || mo || ') already added this run' ELSE r2 END AS reason, CASE WHEN late THEN company ELSE nm END AS company, coalesce(CASE WHEN NOT late THEN ri2 END, 'Other') AS industry, coalesce(CASE WHEN NOT late THEN rn2 END, CASE WHEN late THEN 'Duplicate (same canonical ' || nm || ', ' || mo || ') already added this run' WHEN v2 = 'rejected' THEN r2 ELSE '' END) AS notes, CASE WHEN late OR v2 IN ('rejected', 'queue') THEN status ELSE v2 END AS status, CASE WHEN event_id <> '' THEN event_id ELSE regexp_replace(regexp_replace(CASE WHEN late THEN k1 ELSE kk END, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || mo END AS event_id FROM z3", TOKENS,
+        f"bt AS (SELECT * REPLACE ({BATCH} AS company) FROM every WHERE row_idx % 4 = 0), bn AS (SELECT DISTINCT company FROM bt), bk AS (SELECT company, {sql_key('company')} AS k1 FROM bn)",
+        f"cm AS (SELECT bt.*, k1, company || '  ' || row_idx AS mt FROM bt JOIN bk USING (company)), v AS (SELECT *, {RULE(1)} AS rc, {RULE(2)} AS ri, {RULE(3)} AS rv, {RULE(4)} AS rn FROM cm)",
+        "z AS (SELECT *, coalesce(rv, CASE WHEN contains(lower(mt), 'opinion:') THEN 'rejected' ELSE 'queue' END) AS verdict, CASE WHEN rv IS NOT NULL THEN 'event rule' WHEN contains(lower(mt), 'opinion:') THEN 'commentary, statistics or policy' ELSE 'unclassified' END AS reason FROM v)",
+        "nd AS (SELECT row_idx, true AS cand, company, k1 AS k, d, date_announced FROM z UNION ALL SELECT row_idx, false, company, k, d, date_announced FROM e), ti AS (SELECT DISTINCT company, ' ' || trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM nd)",
+        "mx AS (SELECT company, key, min(row(strpos(t, ' ' || variant || ' '), ord)) AS spot FROM ti JOIN vt ON contains(t, ' ' || variant || ' ') GROUP BY ALL), pk AS (SELECT company, CASE WHEN count(*) < 3 THEN arg_min(key, spot) ELSE '__aggregator__' END AS key FROM mx GROUP BY company)",
+        "ck AS (SELECT nd.*, coalesce(key, CASE WHEN length(k) >= 3 THEN k END) AS ckey FROM nd LEFT JOIN pk USING (company)), gp AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY ckey ORDER BY d, cand, row_idx) <= 21 THEN 0 ELSE 1 END AS nw FROM ck WHERE ckey <> '__aggregator__'), il AS (SELECT *, sum(nw) OVER (PARTITION BY ckey ORDER BY d, cand, row_idx) AS island FROM gp)",
+        "sc AS (SELECT row_idx, (CASE WHEN coalesce(jobs_cut_sg, jobs_cut_global) <> 0 THEN 2 ELSE 0 END + 1) * 10 + CASE WHEN rv IS NOT NULL THEN 1000 ELSE 0 END + 1 AS score FROM z)",
+        "cl AS (SELECT ckey, island, arg_min(company || ' (' || date_announced || ')', row_idx) FILTER (NOT cand) AS anchor, arg_min(row_idx, row(-score, d, row_idx)) FILTER (cand) AS best FROM il LEFT JOIN (SELECT row_idx, score, true AS cand FROM sc) s USING (row_idx, cand) GROUP BY ALL)",
+        "z1 AS (SELECT z.*, anchor, best, anchor IS NOT NULL AS by_a, anchor IS NULL AND best IS NOT NULL AND best <> z.row_idx AND verdict <> 'rejected' AS by_m FROM z LEFT JOIN il ON il.cand AND il.row_idx = z.row_idx LEFT JOIN cl ON cl.ckey = il.ckey AND cl.island = il.island)",
+        f"z2 AS (SELECT *, CASE WHEN by_a OR by_m THEN 'rejected' ELSE verdict END AS v2, CASE WHEN by_a THEN 'Duplicate of existing ' || anchor WHEN by_m THEN 'Intra-batch duplicate of row ' || best ELSE reason END AS r2, CASE WHEN NOT (by_a OR by_m) THEN ri END AS ri2, CASE WHEN NOT (by_a OR by_m) THEN rn END AS rn2, CASE WHEN by_a OR by_m THEN company ELSE coalesce(rc, company) END AS nm, substring(date_announced, 1, 7) AS mo FROM z1), zk AS (SELECT *, {sql_key('nm')} AS kk FROM z2)",
+        "z3 AS (SELECT *, v2 IN ('confirmed', 'rumored') AND row_number() OVER (PARTITION BY v2 IN ('confirmed', 'rumored'), kk, mo ORDER BY row_idx) > 1 AS late FROM zk)", company=NAMED, where="row_idx % 4 <> 0"),
     "rejected_kinds": with_entries("SELECT row_idx, coalesce(kind, 'other') AS kind, contains(company, 'Unnamed') OR (status = 'confirmed' AND (contains(notes, 'expected to') OR contains(notes, 'potential duplicate'))) AS polluted FROM z", f"h AS (SELECT * REPLACE ({HEADLINE} AS company, notes || CASE row_idx % 5 WHEN 1 THEN ' hiring now' WHEN 2 THEN ' no Singapore nexus' WHEN 3 THEN ' tracker' ELSE '' END AS notes) FROM e)",
         "z AS (SELECT *, CASE " + " ".join(f"WHEN regexp_matches({' || chr(32) || '.join(c)}, '{p}', 'i') THEN '{n}'" for n, p, c in REJECTED_KINDS) + " END AS kind FROM h)"),
     "event_hints": with_entries("SELECT c.row_idx, nullif(pr.ev0, '') AS primary_event_id, coalesce(l.listed, '') AS listed FROM c LEFT JOIN pr ON pr.cl = c.cl LEFT JOIN l USING (row_idx)",
