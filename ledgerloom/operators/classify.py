@@ -156,9 +156,13 @@ def confusion(rows: DataFrame, truth: str, guess: str, *by: str) -> DataFrame:
 
 
 def stratified(rows: DataFrame, category: str, key: str, n: int, seed: int = 1234) -> DataFrame:
-    """floor(n / categories) rows of each category, at least one, by a seeded order; filled up from the rest and cut at n."""
+    """floor(n / categories) rows of each category, at least one, by a seeded order; filled up from the rest and cut at n.
+
+    The order is that of md5 of key and seed, the same in any engine and layout. Ranks are cut at n in every task before
+    the shuffle, so a category with any number of rows moves n a task.
+    """
     kinds = rows.select(category).distinct().count()
-    d = rows.withColumn("_o", F.xxhash64(key, F.lit(seed)))
+    d = rows.withColumn("_o", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")))
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy(category).orderBy("_o", key))).filter(F.col("_r") <= n)
     own = F.col("_r") <= max(1, n // max(1, kinds))
     return d.orderBy(F.desc(own), "_o", key).limit(n).drop("_o", "_r")

@@ -15,12 +15,14 @@ from ledgerloom.operators import dedup as D
 from ledgerloom.operators import events as E
 from ledgerloom.operators import integrity as V
 from ledgerloom.operators import guards as U
+from ledgerloom.operators import history as Y
 from ledgerloom.operators import hints as H
 from ledgerloom.operators import linking as G
 from ledgerloom.operators import projections as P
 from ledgerloom.operators import selection as S
 from ledgerloom.operators import triage_run as T
-from ledgerloom.operators.components import stage
+from ledgerloom.operators.components import shared_dir, stage
+from ledgerloom.operators.names import company_names
 from ledgerloom.plans.entry_view import entries, oracle_entry
 from ledgerloom.session import table
 
@@ -33,6 +35,8 @@ BRAND = "CASE WHEN row_idx % 3 = 0 THEN company ELSE 'Brand tok' || " + LETTERS.
 DISTINCT = "SELECT DISTINCT least(a, b) || ' + ' || greatest(a, b) AS pair FROM (SELECT event_id AS a, lag(event_id) OVER (PARTITION BY substring(event_id, 1, 9) ORDER BY date_announced, row_idx) AS b, row_idx FROM {e}) AS x WHERE a <> '' AND b <> '' AND a <> b AND row_idx % 2 = 0"
 ALLOWED = "SELECT DISTINCT lower(c_name) AS a, lower(c_name) || ' group' AS b FROM {customer} WHERE c_custkey % 10 = 5"
 HEADLINE = "CASE WHEN row_idx % 4 = 0 THEN 'ExxonMobil to cut jobs' WHEN row_idx % 4 = 1 THEN 'Heineken to shed staff' WHEN row_idx % 12 = 2 THEN 'Nokia ' || company WHEN row_idx % 12 = 6 THEN 'Opinion: ' || company ELSE company || ' news' END"
+#: Aliases of every other customer's names: as they stand, with an ending, and (found without it) with a bracket.
+HOUSES = "SELECT lower(c_name) || ending AS alias, 'House ' || CAST(CAST(floor(c_custkey / 4) AS BIGINT) AS STRING) AS canonical FROM {customer}, (SELECT '' AS ending UNION ALL SELECT ' pte ltd') AS x WHERE c_custkey % 2 = 0"
 MERGES = "SELECT DISTINCT 'cust-' || CAST(c_custkey AS STRING) AS from_event_id, 'cust-' || CAST(c_custkey + 7 AS STRING) AS to_event_id FROM {customer} WHERE c_custkey % 21 < 14"
 
 
@@ -130,6 +134,19 @@ def q_dedup_index(s: SparkSession, d: str) -> DataFrame:
     return D.check_candidates(*parts(s, d)).select("row_idx", "by_url", "by_gn", "by_month", "verdict")
 
 
+def houses(s: SparkSession, d: str) -> DataFrame:
+    return s.sql(HOUSES, customer=table(s, d, "customer"))
+
+
+def q_alias_keys(s: SparkSession, d: str) -> DataFrame:
+    e = entries(s, d)
+    return X.with_company_key(e, "k", aliases=company_names(e.select("company"), aliases=houses(s, d))).select("row_idx", "k")
+
+
+def q_alias_dedup(s: SparkSession, d: str) -> DataFrame:
+    return D.check_candidates(*parts(s, d), aliases=houses(s, d)).select("row_idx", "by_month", "verdict")
+
+
 def q_ingest(s: SparkSession, d: str) -> DataFrame:
     return D.ingest(D.check_candidates(*parts(s, d)), skipped=2)[1]
 
@@ -188,14 +205,32 @@ def q_integrity_summary(s: SparkSession, d: str) -> DataFrame:
     return A.summary(audited(s, d))
 
 
+#: The ledger as it was: rows announced before a day; rejected rows likewise.
+PAST = "date_announced < '1997-06-01'"
+
+
+def versions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame | None]:
+    """The audit of the ledger, and that of its past version, read back from where versions are kept."""
+    e = entries(s, d).withColumn("company", F.expr(BRAND)).withColumn("jobs_cut_sg", F.col("jobs_cut_sg") * 10)
+    root = shared_dir(s, "versions")
+    for name, rows in (("past", e.filter(PAST)), ("now", e)):
+        ledger = rows.filter("row_idx % 4 <> 3")
+        Y.save_version(root, name, ledger, rows.filter("row_idx % 4 = 3"), s.sql(DISTINCT, e=ledger))
+    allowed = s.sql(ALLOWED, customer=table(s, d, "customer"))
+    return Y.findings_at(s, root, "now", TODAY, allowed), Y.findings_at(s, root, "past", TODAY, allowed)
+
+
 def q_regression(s: SparkSession, d: str) -> DataFrame:
-    e = entries(s, d)
-    audit = lambda x: A.row_warnings(A.indexed(x), TODAY)
-    new, gone = A.regression(audit(e), audit(e.withColumn("notes", F.expr("CASE WHEN row_idx % 5 = 0 THEN 'plans to cut' ELSE notes END"))))
-    side = lambda x, n: x.select(F.lit(n).alias("side"), "fingerprint", F.get("rows", F.lit(0)).alias("row"))
+    """Every finding of the whole audit that is new since the past version or resolved since."""
+    new, gone, _ = Y.since(*versions(s, d))
+    side = lambda x, n: x.select(F.lit(n).alias("side"), "type", F.array_join("event_ids", "|").alias("event_ids"), F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"), "identity")
     return side(new, "new").unionByName(side(gone, "resolved"))
 
 
+def q_regression_counts(s: SparkSession, d: str) -> DataFrame:
+    return Y.since(*versions(s, d))[2]
+
+
 def q_name_split(s: SparkSession, d: str) -> DataFrame:
     names = table(s, d, "part").select(F.explode(F.array(F.substring_index(F.lower("p_name"), " ", 1), F.lower("p_name"))).alias("k"))
     return V.name_splits(names)
@@ -249,6 +284,10 @@ def q_link_events(s: SparkSession, d: str) -> DataFrame:
     return G.link_events(e, merges.select("from_event_id", "to_event_id"), pairs)
 
 
+def q_linked(s: SparkSession, d: str) -> DataFrame:
+    return G.link_events(entries(s, d))
+
+
 def headlines(s: SparkSession, d: str) -> DataFrame:
     return entries(s, d).withColumn("company", F.expr(HEADLINE)).withColumn("industry", F.lit("Retail"))
 
@@ -283,11 +322,19 @@ def q_rejected_kinds(s: SparkSession, d: str) -> DataFrame:
     return e.select("row_idx", C.rejected_kind().alias("kind"), C.polluted_accept().alias("polluted"))
 
 
-def q_event_hints(s: SparkSession, d: str) -> DataFrame:
+def hinted(s: SparkSession, d: str, aliases: X.Aliases = None) -> DataFrame:
     e = entries(s, d)
     ledger, own = e.filter("row_idx % 4 <> 0"), e.filter("row_idx % 4 = 0")
     clusters = e.select("row_idx", F.when(F.col("row_idx") % 4 == 0, "candidate").otherwise("anchor").alias("kind"), F.concat("industry", F.substring("date_announced", 1, 10)).alias("cluster"))
-    return H.select_hints(own, ledger, clusters).select("row_idx", "primary_event_id", F.array_join("listed", "|").alias("listed"))
+    return H.select_hints(own, ledger, clusters, aliases=aliases).select("row_idx", "primary_event_id", F.array_join("listed", "|").alias("listed"))
+
+
+def q_event_hints(s: SparkSession, d: str) -> DataFrame:
+    return hinted(s, d)
+
+
+def q_alias_hints(s: SparkSession, d: str) -> DataFrame:
+    return hinted(s, d, houses(s, d))
 
 
 def q_align_events(s: SparkSession, d: str) -> DataFrame:
@@ -378,8 +425,16 @@ def q_stratified(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k[2:]: f for k, f in list(globals().items()) if k.startswith("q_")}
 
 
+def sql_fold(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(strip_accents({c}), '\\s&\\s', ' and ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def sql_bare(c: str) -> str:
+    return f"regexp_replace({sql_fold(c)}, '\\s*\\([^)]*\\)\\s*$', '')"
+
+
 def sql_key(c: str) -> str:
-    c = f"regexp_replace(trim(regexp_replace(regexp_replace(strip_accents({c}), '\\s&\\s', ' and ', 'g'), '\\s+', ' ', 'g')), '\\s*\\([^)]*\\)\\s*$', '')"
+    c = sql_bare(c)
     for x in X.SUFFIXES:
         c = f"regexp_replace({c}, '\\s+{x.replace('.', '[.]')}$', '', 'i')"
     for x in X.DESCRIPTORS:
@@ -401,10 +456,12 @@ KEY = "coalesce(nullif(trim(event_id), ''), '__row__:' || e0.company || '|' || d
 EVENT = "coalesce(nullif(trim(event_id), ''), 'row-' || CAST(row_idx + 1 AS STRING))"
 
 
-def with_entries(rest: str, *ctes: str, company: str = "company", where: str = "true") -> str:
-    keys = f"n AS (SELECT DISTINCT company FROM e0), nk AS (SELECT company, {sql_key('company')} AS k FROM n)"
+def with_entries(rest: str, *ctes: str, company: str = "company", where: str = "true", aliases: bool = False) -> str:
+    known = f" LEFT JOIN hs x ON x.alias = lower({sql_fold('company')}) LEFT JOIN hs y ON y.alias = lower({sql_bare('company')})"
+    key = f"coalesce(lower(x.canonical), lower(y.canonical), {sql_key('company')})" if aliases else sql_key("company")
+    keys = f"hs AS ({HOUSES.format(customer='customer')}), n AS (SELECT DISTINCT company FROM e0), nk AS (SELECT company, {key} AS k FROM n{known * aliases})"
     e = f"ev AS ({oracle_entry()}), e0 AS (SELECT * EXCLUDE (company), {company} AS company FROM ev), {keys}, every AS (SELECT e0.*, nk.k, {KEY} AS event, {QUALITY} AS quality, {sql_url('source_link')} AS url, {GN} AS gn, CAST(date_announced AS DATE) AS d, {EVENT} AS ev FROM e0 JOIN nk ON e0.company = nk.company), e AS (SELECT * FROM every WHERE {where})"
-    return "WITH " + ", ".join([e, *ctes]) + " " + rest
+    return "WITH RECURSIVE " + ", ".join([e, *ctes]) + " " + rest
 
 
 ROLL = """r AS (SELECT event, bool_or(status IN ('confirmed', 'reference')) AS confirmed, max(jobs_cut_sg) AS jobs_sg, max(jobs_cut_global) AS jobs_global, min(date_announced) AS first_date,
@@ -424,9 +481,9 @@ cn AS (SELECT a.row_idx AS row_a, b.row_idx AS row_b, a.ev AS event_a, b.ev AS e
 AUDIT = f"""dp AS ({DISTINCT.format(e="e")}), al AS ({ALLOWED.format(customer="customer")}), rj AS (SELECT * FROM every WHERE row_idx % 4 = 3 AND NOT contains(lower(notes), 'duplicate')),
 f AS (SELECT type, row_a, row_b, event_a, event_b, d_a, gap FROM t UNION ALL SELECT 'possible-same-event', row_a, row_b, event_a, event_b, d_a, gap FROM cn WHERE gap > 0),
 g AS (SELECT type, least(event_a, event_b) || ' + ' || greatest(event_a, event_b) AS identity, list_sort(list_distinct(flatten(list([row_a + 1, row_b + 1])))) AS rows, arg_min(event_a, row(d_a, row_a, row_b)) AS one, arg_min(event_b, row(d_a, row_a, row_b)) AS two FROM f GROUP BY 1, 2),
-since AS (SELECT ev, min(date_announced) AS s FROM e GROUP BY ev), ks AS (SELECT k AS a, lead(k) OVER (ORDER BY k) AS b FROM (SELECT DISTINCT k FROM e)), sp AS (SELECT a, b FROM ks WHERE length(a) >= 4 AND starts_with(b, a || ' ') AND (a, b) NOT IN (SELECT (a, b) FROM al)),
+since AS (SELECT ev, min(date_announced) AS s FROM e GROUP BY ev), ks AS (SELECT k AS a, lead(k) OVER (ORDER BY k) AS b FROM (SELECT DISTINCT k FROM e)), sp AS (SELECT a, b FROM ks WHERE length(a) >= 4 AND starts_with(b, a || ' ') AND NOT EXISTS (SELECT 1 FROM al WHERE al.a = ks.a AND al.b = ks.b)),
 adv AS (SELECT row_idx, type FROM {ADVICE.replace("SCALE", "10").replace("row_idx + 1 AS row", "row_idx").replace("row_idx + 1", "row_idx")}),
-w AS (SELECT type, CASE WHEN type <> 'superseded-rumor' AND s1.s > s2.s THEN two || '|' || one ELSE one || '|' || two END AS event_ids, array_to_string(rows, ',') AS rows, identity FROM g JOIN since s1 ON s1.ev = one JOIN since s2 ON s2.ev = two WHERE identity NOT IN (SELECT pair FROM dp)
+w AS (SELECT type, CASE WHEN type <> 'superseded-rumor' AND s1.s > s2.s THEN two || '|' || one ELSE one || '|' || two END AS event_ids, array_to_string(rows, ',') AS rows, identity FROM g JOIN since s1 ON s1.ev = one JOIN since s2 ON s2.ev = two WHERE NOT EXISTS (SELECT 1 FROM dp WHERE pair = identity)
  UNION ALL SELECT 'same-day-same-event', event_a || '|' || event_b, CAST(row_a + 1 AS STRING) || ',' || CAST(row_b + 1 AS STRING), least(event_a, event_b) || ' + ' || greatest(event_a, event_b) FROM cn WHERE gap = 0
  UNION ALL SELECT 'name-split', array_to_string(list_sort(list(DISTINCT ev)), '|'), array_to_string(list_sort(list(row_idx + 1)), ','), a || ' + ' || b FROM sp JOIN e ON e.k IN (a, b) GROUP BY a, b
  UNION ALL SELECT 'duplicate-source', array_to_string(list_sort(list(DISTINCT ev)), '|'), array_to_string(list_sort(list(row_idx + 1)), ','), url FROM e WHERE url <> '' GROUP BY url HAVING count(*) > 1
@@ -440,6 +497,33 @@ vt AS (SELECT * FROM (SELECT replace(s, ' ', '-') AS key, ord, unnest(list_disti
 MATCH = f"h AS (SELECT * EXCLUDE (company), {HEADLINE} AS company FROM e), m AS (SELECT *, company || ' ' || regexp_replace(regexp_replace(regexp_replace(source_link, '^https?://[^/]+', ''), '[?#].*$', ''), '[-_/.]', ' ', 'g') AS mt FROM h), v AS (SELECT *, {RULE(1)} AS rc, {RULE(2)} AS ri, {RULE(3)} AS rv, {RULE(4)} AS rn FROM m), z AS (SELECT *, coalesce(rv, CASE WHEN contains(lower(mt), 'opinion:') THEN 'rejected' ELSE 'queue' END) AS verdict FROM v)"
 TITLE = r"array_to_string(string_split(trim(regexp_replace(regexp_replace(lower(regexp_replace(coalesce(text, ''), ' [-–] [^-–\n]+$', '')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ')[1:6], ' ')"
 
+HINTS = ("SELECT c.row_idx, nullif(pr.ev0, '') AS primary_event_id, coalesce(l.listed, '') AS listed FROM c LEFT JOIN pr ON pr.cl = c.cl LEFT JOIN l USING (row_idx)",
+        "c AS (SELECT row_idx, k, industry || date_announced AS cl FROM e WHERE row_idx % 4 = 0), a AS (SELECT row_idx, k, event_id, industry || date_announced AS cl FROM e WHERE row_idx % 4 <> 0), pr AS (SELECT cl, arg_min(event_id, row_idx) AS ev0 FROM a GROUP BY cl)",
+        "o AS (SELECT c.row_idx, i.event_id, 0 AS src, i.spot FROM c JOIN (SELECT k, event_id, min(row_idx) AS spot FROM a WHERE event_id <> '' GROUP BY ALL) i ON c.k = i.k UNION ALL SELECT c.row_idx, i.event_id, 1, i.spot FROM c JOIN (SELECT cl, event_id, min(row_idx) AS spot FROM a WHERE event_id <> '' GROUP BY ALL) i ON c.cl = i.cl)",
+        "o2 AS (SELECT o.row_idx, event_id, min(row(src, spot)) AS t FROM o JOIN c ON o.row_idx = c.row_idx LEFT JOIN pr ON pr.cl = c.cl WHERE event_id IS DISTINCT FROM pr.ev0 GROUP BY ALL)", "o3 AS (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY t, event_id) AS r FROM o2)", "l AS (SELECT row_idx, string_agg(event_id, '|' ORDER BY r) AS listed FROM o3 WHERE r <= 12 GROUP BY row_idx)")
+NODES = ("ti AS (SELECT DISTINCT company, ' ' || trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM e)", "mt AS (SELECT company, key, min(row(strpos(t, ' ' || variant || ' '), ord)) AS spot FROM ti JOIN vt ON contains(t, ' ' || variant || ' ') GROUP BY ALL)",
+        "pk AS (SELECT company, CASE WHEN count(*) >= 3 THEN '__aggregator__' ELSE arg_min(key, spot) END AS key FROM mt GROUP BY company)")
+#: Each company's rows in file order, with the groups that are open so far.
+WINDOWS = (
+    "o AS (SELECT row_idx, k, d, row_number() OVER (PARTITION BY k ORDER BY row_idx) AS n FROM e)",
+    """w(k, n, row_idx, grp, open) AS (
+  SELECT k, n, row_idx, row_idx, [{'g': row_idx, 'd': d}] FROM o WHERE n = 1
+  UNION ALL
+  SELECT k, n, row_idx, coalesce(hit, row_idx), CASE WHEN hit IS NULL THEN list_append(open, {'g': row_idx, 'd': d}) ELSE list_transform(open, lambda x: CASE WHEN x.g = hit THEN {'g': x.g, 'd': greatest(x.d, d)} ELSE x END) END
+  FROM (SELECT o.*, open, list_filter(open, lambda x: abs(x.d - o.d) <= 7)[1].g AS hit FROM w JOIN o ON o.k = w.k AND o.n = w.n + 1))""",
+)
+#: The smallest row that each row reaches over edges eg (a, b).
+COMPONENTS = (
+    "bi AS (SELECT a, b FROM eg UNION SELECT b, a FROM eg)",
+    """cc(id, comp) USING KEY (id) AS (SELECT row_idx, row_idx FROM e
+  UNION SELECT bi.a, min(v.comp) FROM cc v JOIN bi ON bi.b = v.id JOIN recurring.cc u ON u.id = bi.a WHERE v.comp < u.comp GROUP BY bi.a)""",
+)
+#: The findings of the ledger as it is and as it was.
+CHANGED = "WITH " + ", ".join(
+    f"{name} AS MATERIALIZED ({with_entries('SELECT type, identity, event_ids, rows FROM w', PAIRS, CROSS, AUDIT.replace('FROM every', f'FROM every WHERE {when} AND true').replace('AND true WHERE', 'AND'), company=BRAND, where=f'row_idx % 4 <> 3 AND {when}')})"
+    for name, when in (("now", "true"), ("past", PAST))
+)
+
 ORACLES: dict[str, str] = {
     "event_rollup": with_entries("SELECT * FROM r", ROLL),
     "headline": with_entries("SELECT coalesce(sum(CASE WHEN confirmed THEN coalesce(jobs_sg, 0) END), 0) AS total_jobs, CAST(count_if(confirmed AND jobs_sg IS NULL) AS BIGINT) AS undisclosed, CAST(count_if(confirmed) AS BIGINT) AS confirmed_events, CAST(count_if(NOT confirmed) AS BIGINT) AS rumored_events, count(DISTINCT nullif(lower(company), '')) AS companies, max(last_reported) AS latest FROM r", ROLL),
@@ -483,17 +567,24 @@ ORACLES: dict[str, str] = {
     "follow_ups": with_entries("SELECT count(*) AS events, sum(n - 1)::BIGINT AS follow_ups FROM (SELECT count(*) AS n FROM e GROUP BY event) WHERE n > 1"),
     "event_stats": with_entries("SELECT count(*) AS rows, count(DISTINCT ev) AS events, count(DISTINCT CASE WHEN status = 'confirmed' THEN ev END) AS confirmed_events FROM e"),
     "ingest_rows": with_entries("SELECT row_idx, verdict FROM v WHERE verdict <> 'duplicate' QUALIFY row_number() OVER (PARTITION BY dk ORDER BY row_idx) = 1", CHECK),
-    "node_keys": with_entries("SELECT row_idx, coalesce(key, k) AS key FROM e LEFT JOIN pk USING (company)", TOKENS,
-        "ti AS (SELECT DISTINCT company, ' ' || trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM e)", "mt AS (SELECT company, key, min(row(strpos(t, ' ' || variant || ' '), ord)) AS spot FROM ti JOIN vt ON contains(t, ' ' || variant || ' ') GROUP BY ALL)",
-        "pk AS (SELECT company, CASE WHEN count(*) >= 3 THEN '__aggregator__' ELSE arg_min(key, spot) END AS key FROM mt GROUP BY company)", company=NAMED),
+    "node_keys": with_entries("SELECT row_idx, coalesce(key, k) AS key FROM e LEFT JOIN pk USING (company)", TOKENS, *NODES, company=NAMED),
     "company_tokens": with_entries("SELECT key, variant FROM vt", TOKENS, company=NAMED),
     "check_integrity": with_entries("SELECT *, type = 'same-day-same-event' AS hard FROM w", PAIRS, CROSS, AUDIT, company=BRAND, where="row_idx % 4 <> 3"),
     "integrity_summary": with_entries("SELECT type, count(*) AS n FROM w GROUP BY type", PAIRS, CROSS, AUDIT, company=BRAND, where="row_idx % 4 <> 3"),
-    "regression": with_entries("SELECT 'new' AS side, fingerprint, row FROM fa WHERE fingerprint NOT IN (SELECT fingerprint FROM fb) UNION ALL SELECT 'resolved', fingerprint, row FROM fb WHERE fingerprint NOT IN (SELECT fingerprint FROM fa)",
-        f"adv AS (SELECT * FROM {ADVICE.replace('SCALE', '1')}), fa AS (SELECT type || ' :: ' || coalesce(nullif(url, ''), k || '@' || date_announced) AS fingerprint, row FROM adv JOIN e ON row = row_idx + 1)",
-        "n5 AS (SELECT * REPLACE (CASE WHEN row_idx % 5 = 0 THEN 'plans to' ELSE notes END AS notes) FROM e)",
-        f"adb AS (SELECT * FROM {ADVICE.replace('SCALE', '1').replace('FROM e ', 'FROM n5 ').replace('FROM e)', 'FROM n5)')}), adc AS (SELECT * FROM adb UNION ALL SELECT row_idx + 1, 'contradictory-verdict' FROM n5 WHERE status = 'confirmed' AND notes = 'plans to')",
-        "fb AS (SELECT type || ' :: ' || coalesce(nullif(url, ''), k || '@' || date_announced) AS fingerprint, row FROM adc JOIN e ON row = row_idx + 1)"),
+    "regression": f"{CHANGED} SELECT 'new' AS side, * FROM now ANTI JOIN past USING (type, identity) UNION ALL SELECT 'resolved', * FROM past ANTI JOIN now USING (type, identity)",
+    "regression_counts": f"{CHANGED} SELECT (SELECT count(*) FROM past) AS \"then\", (SELECT count(*) FROM now) AS now, (SELECT count(*) FROM now ANTI JOIN past USING (type, identity)) AS new, (SELECT count(*) FROM past ANTI JOIN now USING (type, identity)) AS resolved",
+    "alias_keys": with_entries("SELECT row_idx, k FROM e", aliases=True),
+    "alias_dedup": with_entries("SELECT row_idx, by_month, verdict FROM v", CHECK, aliases=True),
+    "alias_hints": with_entries(*HINTS, aliases=True),
+    "window_groups": with_entries("SELECT row_idx, grp AS group_idx FROM w", *WINDOWS),
+    "dedup_by_deletion": with_entries("SELECT row_idx, event_id FROM e JOIN w USING (row_idx) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY quality DESC, row_idx) = 1", *WINDOWS),
+    "linked": with_entries("SELECT row_idx, event_id, coalesce(nullif(first_value(event_id) OVER (PARTITION BY comp ORDER BY quality DESC, row_idx), ''), event_id) AS new_event_id FROM e JOIN cc ON id = row_idx", *WINDOWS,
+        r"mb AS (SELECT row_idx, url, k || '|' || nullif(regexp_extract(event_id, '^(.+?-\d{4}-(?:0[1-9]|1[0-2]))(?:-([a-z][a-z0-9-]*))?$', 1), '') AS month FROM e)",
+        "eg AS (SELECT row_idx AS a, grp AS b FROM w UNION SELECT row_idx, min(row_idx) OVER (PARTITION BY url) FROM mb WHERE url <> '' UNION SELECT row_idx, min(row_idx) OVER (PARTITION BY month) FROM mb WHERE month IS NOT NULL)", *COMPONENTS),
+    "clusters": with_entries("SELECT row_idx, comp AS cluster FROM e JOIN cc ON id = row_idx", TOKENS, *NODES,
+        "ck AS (SELECT row_idx, d, gn, nullif(lower(source_link), '') AS link, coalesce(key, k) AS ckey FROM e LEFT JOIN pk USING (company)), gp AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY ckey ORDER BY d, row_idx) <= 21 THEN 0 ELSE 1 END AS nw FROM ck WHERE ckey <> '__aggregator__'), il AS (SELECT *, sum(nw) OVER (PARTITION BY ckey ORDER BY d, row_idx) AS island FROM gp)",
+        "eg AS (SELECT row_idx AS a, min(row_idx) OVER (PARTITION BY ckey, island) AS b FROM il UNION SELECT row_idx, min(row_idx) OVER (PARTITION BY gn) FROM ck WHERE gn IS NOT NULL UNION SELECT row_idx, min(row_idx) OVER (PARTITION BY link) FROM ck WHERE link IS NOT NULL)", *COMPONENTS, company=NAMED),
+    "stratified": "WITH r AS (SELECT doc_id, lang, md5(doc_id || ':1234') AS o, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':1234'), doc_id) AS r, (SELECT count(DISTINCT lang) + count(DISTINCT CASE WHEN lang IS NULL THEN 1 END) FROM documents) AS kinds FROM documents) SELECT doc_id, lang FROM r WHERE r <= 40 ORDER BY r <= greatest(1, 40 // greatest(1, kinds)) DESC, o, doc_id LIMIT 40",
     "triage": with_entries("SELECT row_idx, verdict, rc AS rule_company, CASE WHEN rc IS NOT NULL THEN 'event rule' WHEN verdict = 'rejected' THEN 'commentary, statistics or policy' ELSE 'unclassified' END AS reason FROM z", MATCH),
     "to_entry": with_entries("SELECT row_idx, coalesce(rc, company) AS company, coalesce(ri, 'Retail') AS industry, CASE WHEN verdict = 'rejected' AND coalesce(rn, notes) = '' THEN 'commentary, statistics or policy' ELSE coalesce(rn, notes) END AS notes, CASE WHEN verdict IN ('rejected', 'queue') THEN status ELSE verdict END AS status, CASE WHEN event_id <> '' THEN event_id ELSE regexp_replace(regexp_replace(kk, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || substring(date_announced, 1, 7) END AS event_id, date_reported FROM y", MATCH, f"y AS (SELECT *, {sql_key('coalesce(rc, company)')} AS kk FROM z)"),
     "month_guard": with_entries("SELECT row_idx, CASE WHEN hot AND row_number() OVER (PARTITION BY hot, kk, substring(date_announced, 1, 7) ORDER BY row_idx) > 1 THEN 'rejected' ELSE verdict END AS final_verdict FROM y", MATCH, f"y AS (SELECT *, verdict IN ('confirmed', 'rumored') AS hot, {sql_key('coalesce(rc, company)')} AS kk FROM z)"),
@@ -511,10 +602,7 @@ ORACLES: dict[str, str] = {
         "z3 AS (SELECT *, v2 IN ('confirmed', 'rumored') AND row_number() OVER (PARTITION BY v2 IN ('confirmed', 'rumored'), kk, mo ORDER BY row_idx) > 1 AS late FROM zk)", company=NAMED, where="row_idx % 4 <> 0"),
     "rejected_kinds": with_entries("SELECT row_idx, coalesce(kind, 'other') AS kind, contains(company, 'Unnamed') OR (status = 'confirmed' AND (contains(notes, 'expected to') OR contains(notes, 'potential duplicate'))) AS polluted FROM z", f"h AS (SELECT * REPLACE ({HEADLINE} AS company, notes || CASE row_idx % 5 WHEN 1 THEN ' hiring now' WHEN 2 THEN ' no Singapore nexus' WHEN 3 THEN ' tracker' ELSE '' END AS notes) FROM e)",
         "z AS (SELECT *, CASE " + " ".join(f"WHEN regexp_matches({' || chr(32) || '.join(c)}, '{p}', 'i') THEN '{n}'" for n, p, c in REJECTED_KINDS) + " END AS kind FROM h)"),
-    "event_hints": with_entries("SELECT c.row_idx, nullif(pr.ev0, '') AS primary_event_id, coalesce(l.listed, '') AS listed FROM c LEFT JOIN pr ON pr.cl = c.cl LEFT JOIN l USING (row_idx)",
-        "c AS (SELECT row_idx, k, industry || date_announced AS cl FROM e WHERE row_idx % 4 = 0), a AS (SELECT row_idx, k, event_id, industry || date_announced AS cl FROM e WHERE row_idx % 4 <> 0), pr AS (SELECT cl, arg_min(event_id, row_idx) AS ev0 FROM a GROUP BY cl)",
-        "o AS (SELECT c.row_idx, i.event_id, 0 AS src, i.spot FROM c JOIN (SELECT k, event_id, min(row_idx) AS spot FROM a WHERE event_id <> '' GROUP BY ALL) i ON c.k = i.k UNION ALL SELECT c.row_idx, i.event_id, 1, i.spot FROM c JOIN (SELECT cl, event_id, min(row_idx) AS spot FROM a WHERE event_id <> '' GROUP BY ALL) i ON c.cl = i.cl)",
-        "o2 AS (SELECT o.row_idx, event_id, min(row(src, spot)) AS t FROM o JOIN c ON o.row_idx = c.row_idx LEFT JOIN pr ON pr.cl = c.cl WHERE event_id IS DISTINCT FROM pr.ev0 GROUP BY ALL)", "o3 AS (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY t, event_id) AS r FROM o2)", "l AS (SELECT row_idx, string_agg(event_id, '|' ORDER BY r) AS listed FROM o3 WHERE r <= 12 GROUP BY row_idx)"),
+    "event_hints": with_entries(*HINTS),
     "align_events": with_entries("SELECT row_idx, CASE WHEN NOT anchored AND status <> 'reference' AND lead_id IS NOT NULL THEN lead_id ELSE event_id END AS new_event_id FROM b", "a AS (SELECT *, industry || substring(date_announced, 1, 7) AS cl FROM e)", "r AS (SELECT *, bool_or(row_idx % 300 = 0) OVER (PARTITION BY cl) AS anchored, row_number() OVER (PARTITION BY cl ORDER BY quality DESC, date_announced, row_idx) AS rk FROM a)", "b AS (SELECT *, max(CASE WHEN rk = 1 AND status <> 'reference' THEN event_id END) OVER (PARTITION BY cl) AS lead_id FROM r)"),
     "apply_results": with_entries("SELECT a.row_idx, coalesce(b.ns, a.status) AS status, CASE WHEN b.i IS NULL OR b.source_link = '' THEN 'seen' ELSE 'seen | Evidence: ' || b.source_link END AS notes, b.i AS result_idx FROM x1 a LEFT JOIN y1 b ON a.k = b.k AND a.date_announced = b.date_announced AND a.n = b.n",
         "x1 AS (SELECT row_idx, status, k, date_announced, row_number() OVER (PARTITION BY k, date_announced ORDER BY row_idx) AS n FROM e)", "y1 AS (SELECT row_idx AS i, source_link, k, date_announced, CASE row_idx % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'denied' ELSE 'expired' END AS ns, row_number() OVER (PARTITION BY k, date_announced ORDER BY row_idx) AS n FROM e WHERE row_idx % 3 = 0 AND row_idx % 4 <> 3)"),

@@ -118,6 +118,12 @@ def read_snapshot(spark: SparkSession, root: str, snapshot: str) -> DataFrame:
     return spark.read.parquet(f"{root}/snapshot={snapshot}")
 
 
+def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """All versions with their name in `snapshot`, always text; a filter on it prunes to that version's files."""
+    d = spark.read.option("basePath", root).parquet(root)
+    return d.withColumn("snapshot", F.col("snapshot").cast("string"))
+
+
 def distinct_pairs(df: DataFrame) -> DataFrame:
     """Order-free keys of (event_id_a, event_id_b); half-blank rows go."""
     a, b = F.trim("event_id_a"), F.trim("event_id_b")
