@@ -15,7 +15,8 @@ from ledgerloom.operators import hints as H
 from ledgerloom.operators import linking as G
 from ledgerloom.operators import projections as P
 from ledgerloom.operators import selection as S
-from ledgerloom.operators.components import connected_components
+from ledgerloom.operators import triage_run as T
+from ledgerloom.operators.components import connected_components, stage
 from ledgerloom.operators.names import company_names
 from ledgerloom.sources import ledger_files as L
 from ledgerloom.streaming.ingest import ingest_stream
@@ -463,3 +464,70 @@ def test_aliases_decide_everywhere(spark):
     assert [r.status for r in U.apply_results(own, results, table).filter("row_idx = 10").collect()] == ["denied"]
     variants = {(r.key, r.variant) for r in G.company_tokens(ledger.select("company", "row_idx"), ALIASED).collect()}
     assert {("yeo-hiap-seng", "yeo s"), ("orbit", "nova labs")} <= variants
+
+
+def one_by_one(ledger, rejected, candidates, audit):
+    """The batch screened as a list: every candidate in turn against everything let in so far."""
+    sides = lambda own: (ledger.unionByName(candidates.filter(F.col("row_idx").isin(own) & (F.col("target") == "ledger")).select(ledger.columns)), rejected.unionByName(candidates.filter(F.col("row_idx").isin(own) & (F.col("target") == "rejected")).select(ledger.columns)))
+    marks = lambda own: {f"{r.type} :: {r.identity}" for r in audit(*sides(own)).collect()}
+    ids = sorted(r.row_idx for r in candidates.select("row_idx").collect())
+    current, kept, held = marks([]), [], {}
+    if marks(ids) <= current:
+        return ids, {}
+    for i in ids:
+        trial = marks([*kept, i])
+        if trial <= current:
+            kept, current = [*kept, i], trial
+        else:
+            held[i] = sorted(trial - current)
+    return kept, held
+
+
+def test_screening_matches_one_candidate_after_another(spark):
+    rng = random.Random(1)
+    words = ["Quasar", "Nebula", "Pulsar", "Comet", "Zenith", "Meteor"]
+
+    def row(i):
+        name = " ".join(rng.sample(words, 2)) if rng.random() < 0.7 else rng.choice(words)
+        return {"company": f"{name} {'abcdefghij'[i % 10] * 3}", "event_id": rng.choice(["", f"e{rng.randrange(15)}"]), "date_announced": str(datetime.date(2026, 3, 1) + datetime.timedelta(rng.randrange(90))), "source_link": f"https://reuters.com/{rng.randrange(25)}", "notes": rng.choice(["", f"[gn:{rng.randrange(9)}]"]), "status": rng.choice(["confirmed", "rumored"])}
+
+    every = rows(spark, *(row(i) for i in range(41))).withColumn("target", F.expr("CASE WHEN row_idx % 4 = 3 THEN 'rejected' ELSE 'ledger' END")).repartition(3)
+    every = stage(every, "rows")
+    ledger, rejected = every.filter("row_idx < 26").drop("target"), every.filter("row_idx between 26 and 33").drop("target")
+    candidates = every.filter("row_idx > 33")
+    audit = lambda d, r: A.check_integrity(d, "2026-12-31", rejected=r)
+    kept, held = U.screen_batch(ledger, candidates, audit, rejected)
+    want_kept, want_held = one_by_one(ledger, rejected, candidates, audit)
+    assert (sorted(r.row_idx for r in kept.collect()), {r.row_idx: r.added for r in held.collect()}) == (want_kept, want_held)
+    assert want_held and want_kept
+
+
+def test_a_batch_that_adds_nothing_is_kept_whole(spark):
+    ledger = rows(spark, {"event_id": "a", "source_link": "https://reuters.com/1"})
+    new = rows(spark, {}, {"event_id": "a", "source_link": "https://reuters.com/2"}).filter("row_idx > 0")
+    kept, held = U.screen_batch(ledger, new, lambda d: A.check_integrity(d, "2026-12-31"))
+    assert [r.row_idx for r in kept.collect()] == [1] and held.count() == 0
+    kept, held = U.screen_batch(ledger, new.limit(0), lambda d: A.check_integrity(d, "2026-12-31"))
+    assert kept.count() == held.count() == 0
+
+
+def test_rules_match_letters_in_either_case(spark):
+    rule = spark.createDataFrame([("NESTLÉ’S PLANS to cut",), ("nothing here",)], "t string").select(C.event_rule(F.col("t"))["company"].alias("c"))
+    assert [r.c for r in rule.collect()] == ["Nestlé", None]
+    d = rows(spark, *({"company": f"Firm {i}"} for i in range(3)))
+    plan = C.triage(d, ["opinion:"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 3  # the text of a row is made once, not once a rule
+
+
+def test_triage_run_deals_every_row_once(spark):
+    ledger = rows(spark, {"company": "Quasar", "date_announced": "2026-05-01", "source_link": "http://l/1"}).withColumn("event_id", F.lit("q"))
+    batch = rows(
+        spark, {"company": "Quasar sheds staff", "source_link": "http://b/1", "date_announced": "2026-05-09"}, {"company": "Heineken to cut", "source_link": "http://b/2"}, {"company": "Heineken to cut more", "source_link": "http://b/3", "date_announced": "2026-05-28"},
+        {"company": "Opinion: jobs", "source_link": "http://b/4"}, {"company": "Nebula news", "source_link": "http://b/5", "jobs_cut_sg": 5.0}, {"company": "Nebula news", "source_link": "http://b/6"}, {"company": "Sony Pictures Entertainment", "source_link": "http://b/5"},
+    ).withColumn("event_id", F.lit(""))
+    run = T.triage_run(batch, ledger, ["opinion:"], overrides=spark.createDataFrame([(5, "confirmed")], "row_idx long, override string"))
+    out = {k: sorted(r.row_idx for r in v.collect()) for k, v in T.dealt(run).items()}
+    assert out == {"confirmed": [5], "rumored": [1, 6], "rejected": [0, 2, 3, 4], "queue": []}
+    why = {r.row_idx: r.reason for r in run.collect()}
+    assert why[0] == "Duplicate of existing Quasar (2026-05-01)" and why[4] == "Intra-batch duplicate of row 6" and why[2].startswith("Duplicate (same canonical Heineken, 2026-05)")
+    assert T.triage_run(batch.limit(0), ledger, []).count() == 0 and T.triage_run(batch, ledger.limit(0), []).count() == 7
