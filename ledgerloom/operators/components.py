@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Edges that a file holds at least, unless there are fewer.
+FILE_ROWS = 20_000
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder below spark.checkpoint.dir; a temporary folder only in local mode without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -26,11 +30,18 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as so many rows need when they are written, at most as many as it is shuffled into."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(1, min(most, -(-rows // FILE_ROWS))))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node on an edge; the component is the smallest node reachable.
 
     Each round hangs every larger neighbour, then every smaller one, under the smallest node of its
-    neighbourhood. Rounds grow with the logarithm of the component size. Null ends and loops are ignored.
+    neighbourhood. Rounds grow with the logarithm of the component size. Null ends and loops are ignored. Edges never
+    become more, so the first count says in how few files each round writes its own.
     """
     e = (
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
@@ -39,7 +50,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         .distinct()
     )
     e = stage(e, "edges")
-    before = None
+    before, count = None, e.count()
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -47,7 +58,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = large.unionByName(low.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = stage(few_files(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), count), "edges")
         n, parts, s = e.agg(F.count("*"), F.count_distinct("u"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if (n, s) == before and n == parts or not n:
             break
