@@ -61,7 +61,7 @@ class Encoder:
     string, and other kinds of tokenizer, are encoded whole. Of parts, the last `remember` to 2 * `remember` in use are kept.
     """
 
-    def __init__(self, path: str, remember: int = 400_000) -> None:
+    def __init__(self, path: str, remember: int = 150_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
