@@ -85,7 +85,7 @@ class TokenMachine:
     beyond is compiled anew when it comes up again.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 250_000) -> None:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
