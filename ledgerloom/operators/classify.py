@@ -145,6 +145,17 @@ def parse_verdict(raw: Column, labels: list[str], text_fields: list[str], number
     return [F.when(own.isin(labels), own).alias(label), *(text(f).alias(f) for f in text_fields), *(number(f).alias(f) for f in number_fields)]
 
 
+#: What a recheck of a rumor may find.
+RECHECKED = ["confirmed", "denied", "expired", "still-rumored"]
+
+
+def parse_recheck(raw: Column, statuses: list[str] = RECHECKED) -> list[Column]:
+    """new_status (null unless in the list), evidence_url and note (blank if no text) and headcount of a recheck's JSON; without a status all are null."""
+    status, url, note, count = parse_verdict(raw, statuses, ["evidence_url", "note"], ["headcount"], label="new_status")
+    blank = lambda c, n: F.when(status.isNotNull(), F.coalesce(c, F.lit(""))).alias(n)
+    return [status, blank(url, "evidence_url"), blank(note, "note"), F.when(status.isNotNull(), count).alias("headcount")]
+
+
 def confusion(rows: DataFrame, truth: str, guess: str, *by: str) -> DataFrame:
     """Counts, precision, recall, F1 and accuracy of a 0/1 guess; undefined ratios are 0."""
     n = lambda t, g: F.count_if((F.col(truth) == t) & (F.col(guess) == g))

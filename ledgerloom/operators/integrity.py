@@ -159,3 +159,9 @@ def cross_file(active: DataFrame, rejected: DataFrame) -> DataFrame:
     urls, marks = rejected_keys(rejected)
     a = active.select("row_idx", normalize_url(F.col("source_link")).alias("url"), gn_fingerprint(F.col("notes")).alias("gn"))
     return a.join(urls, "url", "left").join(marks, "gn", "left").select((F.col("row_idx") + 1).alias("row"), (F.coalesce("by_url", "by_gn") + 1).alias("rejected_row")).filter("rejected_row is not null")
+
+
+def stale_pairs(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(pair, event_id): events that pairs (`a + b`) name and no entry has."""
+    named = pairs.select("pair", F.explode(F.split("pair", r" \+ ")).alias("event_id"))
+    return named.join(entries.select(F.trim("event_id").alias("event_id")), "event_id", "left_anti").select("pair", "event_id")

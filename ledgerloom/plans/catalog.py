@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import prompts as M
 from ledgerloom.functions import text as X
 from ledgerloom.functions.rules import EVENT_RULES, REJECTED_KINDS
 from ledgerloom.operators import audit as A
@@ -25,6 +26,7 @@ from ledgerloom.operators.components import shared_dir, stage
 from ledgerloom.operators.names import company_names
 from ledgerloom.plans.entry_view import entries, oracle_entry
 from ledgerloom.session import table
+from ledgerloom.sources import links as K
 
 TODAY = "1999-06-15"
 RULES = [("(the|and) .{0,40} of ", "confirmed"), (" que ", "rumored"), (" und ", "confirmed")]
@@ -373,6 +375,47 @@ def q_hit_to_review(s: SparkSession, d: str) -> DataFrame:
     return P.hit_to_review(hits, "2026-06-01", "t", "x", "via").select("row_idx", "review_id", "company", "date_announced", "jobs_cut_sg", "notes", "snippet")
 
 
+def wrapped(s: SparkSession, d: str) -> DataFrame:
+    """Entries whose addresses stand as they are, wrapped in an id that holds them, or behind an id that says nothing, by turns."""
+    e = entries(s, d).filter("source_link <> ''")
+    url = F.col("source_link")
+    old = F.base64(F.concat(F.unhex(F.lit("081322")), F.unhex(F.lpad(F.hex(F.length(url)), 2, "0")), F.encode(url, "ISO-8859-1"), F.unhex(F.lit("D20100"))))
+    link = lambda i: F.concat(F.lit("https://news.google.com/rss/articles/"), i, F.lit("?oc=5"))
+    fresh = F.concat(F.lit("CBMiK"), F.col("row_idx").cast("string"))
+    turn = F.col("row_idx") % 4
+    kept = F.rtrim(F.translate(old, "+/", "-_"), F.lit("="))
+    return e.withColumns({"plain": url, "fresh": fresh, "source_link": F.when(turn == 0, url).when(turn == 1, link(kept)).otherwise(link(fresh))})
+
+
+def q_resolved_links(s: SparkSession, d: str) -> DataFrame:
+    """Of the ids that say nothing, every other one has been fetched."""
+    e = wrapped(s, d)
+    inner = F.concat(F.lit('[\\"garturlres\\",\\"'), F.col("plain"), F.lit('\\",1,\\"]}[\\"]'))
+    text = F.concat(F.lit(")]}'\n\n123\n[[\"di\",7],[\"wrb.fr\",\"Fbv4je\",\""), inner, F.lit('",null,null,null,"generic"]]\n25\n[["e",4]]'))
+    landed = K.landed_links(e.filter("row_idx % 4 = 2").select(F.col("fresh").alias("wrapped"), text.alias("response")))
+    return K.resolve_links(e, landed).select("row_idx", "canonical_url", "resolved")
+
+
+def q_prompts(s: SparkSession, d: str) -> DataFrame:
+    e = entries(s, d)
+    hint = lambda n: F.struct(F.concat("event_id", F.lit(n)).alias("event_id"), "company", "date_announced")
+    listed = F.when(F.col("row_idx") % 2 == 0, F.array(hint("-b"), hint("-c"))).otherwise(F.array().cast("array<struct<event_id:string,company:string,date_announced:string>>"))
+    text = M.hints_text(F.when(F.col("row_idx") % 3 == 0, hint("-a")), listed)
+    return e.select("row_idx", M.user_prompt(text).alias("prompt"))
+
+
+def q_stale_pairs(s: SparkSession, d: str) -> DataFrame:
+    e = entries(s, d)
+    return V.stale_pairs(s.sql(DISTINCT, e=e), e.filter("row_idx % 3 <> 0"))
+
+
+def q_recheck(s: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    status = F.expr("CASE event_id % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'still-rumored' WHEN 2 THEN 'denied' WHEN 3 THEN 'expired' ELSE 'maybe' END")
+    raw = F.concat(F.lit('{"new_status":"'), status, F.lit('","evidence_url":'), F.when(n % 3 == 0, F.lit("7")).otherwise(F.concat(F.lit('"http://e/'), n.cast("string"), F.lit('"'))), F.lit(',"headcount":'), F.when(n % 2 == 0, n.cast("string")).otherwise(F.lit('"5"')), F.lit("}"))
+    return table(s, d, "events").select("event_id", *C.parse_recheck(F.when(n % 11 == 0, F.lit("[broken")).otherwise(raw)))
+
+
 def q_source_checks(s: SparkSession, d: str) -> DataFrame:
     e = entries(s, d)
     return e.select("row_idx", X.is_relevant(F.col("notes"), F.expr("CASE WHEN row_idx % 3 = 0 THEN 'Retrenchment at a firm' ELSE 'x' END")).alias("relevant"), X.host_is_excluded(F.col("source_link"), ["site7.example.com", "reuters.com"]).alias("excluded"))
@@ -611,6 +654,12 @@ ORACLES: dict[str, str] = {
     "result_rows": with_entries("SELECT row_idx, CASE WHEN row_idx % 2 = 0 THEN 'confirmed' ELSE 'denied' END AS new_status, source_link AS evidence_url, trim(notes || CASE WHEN row_idx % 2 = 0 AND jobs_cut_sg IS NOT NULL THEN ' (~' || CAST(CAST(jobs_cut_sg AS BIGINT) AS STRING) || ' Singapore jobs)' ELSE '' END) AS evidence_note FROM e WHERE status = 'rumored'"),
     "with_defaults": with_entries("SELECT row_idx, CASE WHEN row_idx % 2 = 0 THEN company ELSE 'Given' END AS company, CASE WHEN row_idx % 3 = 0 THEN date_announced ELSE '2026-01-02' END AS date_announced, date_reported, CASE WHEN row_idx % 5 = 1 THEN 7.0 ELSE jobs_cut_sg END::DOUBLE AS jobs_cut_sg, jobs_cut_global, 0.0::DOUBLE AS pct_workforce FROM e"),
     "hit_to_review": "SELECT doc_id AS row_idx, 'x-t-' || doc_id AS review_id, 'Firm ' || doc_id AS company, CASE doc_id % 3 WHEN 0 THEN '2026-05-05' WHEN 1 THEN '2026-04-03' ELSE '2026-06-01' END AS date_announced, doc_id::DOUBLE AS jobs_cut_sg, 'via [gn:firm ' || doc_id || ' ltd cut ' || doc_id || ' jobs]' AS notes, substring(text, 1, 300) AS snippet FROM documents WHERE text IS NOT NULL",
+    "resolved_links": with_entries("SELECT row_idx, CASE WHEN row_idx % 4 < 3 THEN source_link ELSE 'https://news.google.com/rss/articles/CBMiK' || row_idx || '?oc=5' END AS canonical_url, row_idx % 4 < 3 AS resolved FROM e WHERE source_link <> ''"),
+    "prompts": with_entries("SELECT row_idx, concat_ws(chr(10), 'Title/Company: ' || company, 'Date: ' || date_announced, 'Source URL: ' || source_link, 'Jobs cut SG (scraped): ' || jobs_cut_sg::BIGINT, 'Jobs cut global (scraped): ' || jobs_cut_global::BIGINT, '% workforce (scraped): ' || pct_workforce::BIGINT, 'Notes/snippet: ' || nullif(notes, ''), "
+        "CASE WHEN row_idx % 3 = 0 THEN 'This appears to be follow-up coverage of event ' || event_id || '-a (' || company || ', ' || date_announced || '). Return that exact event_id unless the article clearly describes a separate, later round of cuts (then return null).' END, "
+        "CASE WHEN row_idx % 2 = 0 THEN 'Existing events for this company (return one of these event_ids verbatim if this is follow-up coverage, else null):' || chr(10) || '  - ' || event_id || '-b (' || date_announced || ')' || chr(10) || '  - ' || event_id || '-c (' || date_announced || ')' END) AS prompt FROM e"),
+    "stale_pairs": with_entries("SELECT pair, event_id FROM (SELECT pair, unnest(string_split(pair, ' + ')) AS event_id FROM dp) AS x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.event_id = x.event_id AND y.row_idx % 3 <> 0)", f"dp AS ({DISTINCT.format(e='e')})"),
+    "recheck": "SELECT event_id, st AS new_status, CASE WHEN st IS NOT NULL THEN CASE WHEN event_id % 3 = 0 THEN '' ELSE 'http://e/' || event_id END END AS evidence_url, CASE WHEN st IS NOT NULL THEN '' END AS note, CASE WHEN st IS NOT NULL AND event_id % 2 = 0 THEN event_id::DOUBLE END AS headcount FROM (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN CASE event_id % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'still-rumored' WHEN 2 THEN 'denied' WHEN 3 THEN 'expired' END END AS st FROM events)",
     "source_checks": with_entries("SELECT row_idx, contains(lower(notes), 'headcount') OR row_idx % 3 = 0 AS relevant, regexp_matches(lower(source_link), '^https?://(www[.])?([a-z0-9.]+[.])?(site7[.]example[.]com|reuters[.]com)/') AS excluded FROM e"),
     "labels": with_entries("SELECT month, strftime(CAST(month || '-01' AS DATE), '%b') || ' ' || substring(month, 3, 2) AS label, 'Q' || CAST(ceil(CAST(substring(month, 6, 2) AS INT) / 3) AS INT) || ' ' || substring(month, 1, 4) AS heading FROM m", ROLL, MONTHS),
     "tier_metrics": "WITH r AS (SELECT CASE event_id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rumored' ELSE 'rejected' END AS x, CASE CAST(floor(event_id / 2) AS BIGINT) % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rumored' ELSE 'rejected' END AS v, event_id % 5 = 0 AS g, CASE event_id % 4 WHEN 0 THEN 'singapore' WHEN 1 THEN 'global' WHEN 2 THEN 'partial' END AS h, CASE WHEN event_id % 2 = 0 THEN 'singapore' END AS s FROM events) SELECT count(*) AS cases, round(count(*) FILTER (x = v) / count(*), 9) AS verdict_accuracy, round(count(*) FILTER ((x <> 'rejected') = (v <> 'rejected')) / count(*), 9) AS accept_accuracy, count(*) FILTER (x <> 'rejected' AND v <> 'rejected') AS tier_cases, round(count(*) FILTER (x <> 'rejected' AND x = v) / count(*) FILTER (x <> 'rejected' AND v <> 'rejected'), 9) AS tier_match, count(*) FILTER (x = 'rumored' AND v = 'confirmed') AS over_confident, count(*) FILTER (x = 'confirmed' AND v = 'rumored') AS under_confident, count(*) FILTER (g) AS global_cases, count(*) FILTER (g AND v = 'confirmed' AND h = 'singapore') AS scope_leaks, count(*) FILTER (g AND h IN ('global', 'partial')) AS scope_recognised, count(s) AS scope_labelled, count(*) FILTER (s = h) AS scope_exact FROM r",

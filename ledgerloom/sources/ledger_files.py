@@ -142,6 +142,23 @@ def read_json_rows(spark: SparkSession, path: str, inside: str | None = None) ->
     return d.select(F.explode(inside).alias("r")).select("r.*") if inside else d
 
 
+def read_decisions(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """A table of curated decisions, all text and trimmed; one without a required column raises, a missing file is an empty table."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in required))
+    d = read_csv(spark, path)
+    if missing := [c for c in required if c not in d.columns]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return d.select(*(F.trim(c).alias(c) if c != "row_idx" else F.col(c) for c in d.columns))
+
+
+def read_allowed_neighbours(spark: SparkSession, path: str) -> DataFrame:
+    """(a, b): the neighbouring keys, shorter first, that a JSON array of items with a and b says are no one company; a missing file allows none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "a string, b string")
+    return read_json_rows(spark, path).select("a", "b").filter("a is not null and b is not null").distinct()
+
+
 def first_source(rows: DataFrame, by: str, rank: str) -> DataFrame:
     """Of several providers' rows per query, those of the first provider that has any."""
     best = rows.groupBy(by).agg(F.min(rank).alias(rank))
