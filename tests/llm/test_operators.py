@@ -516,7 +516,7 @@ def test_exact_with_a_hot_group(spark):
     assert all(r.group_size == 2 and r.keep_id == 1000 + (r.doc_id - 1000) % 150 for r in out if r.doc_id >= 1000)
 
 
-def test_weak_quality_scores_like_its_plain_posterior(spark):
+def test_weak_quality_tells_sides_apart_in_any_layout(spark):
     good, bad = prose(random.Random(3), 60), [" ".join(f"#{i}$ AAA|" for _ in range(9)) for i in range(30)]
     rows = [(i, t, "x") for i, t in enumerate(good + bad)] + [(None, None, None), (5, good[5], "y"), (900, "", None), (901, "long " * 9000, None)]
     got = weak_quality(spark.createDataFrame(rows, "doc_id long, text string, votes string").repartition(3)).collect()
