@@ -203,6 +203,10 @@ def q_check_integrity(s: SparkSession, d: str) -> DataFrame:
     return audited(s, d).select("type", text("event_ids", "|"), text("rows", ","), "identity", "hard")
 
 
+def q_finding_messages(s: SparkSession, d: str) -> DataFrame:
+    return audited(s, d).select("type", F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"), "message")
+
+
 def q_integrity_summary(s: SparkSession, d: str) -> DataFrame:
     return A.summary(audited(s, d))
 
@@ -532,6 +536,31 @@ w AS (SELECT type, CASE WHEN type <> 'superseded-rumor' AND s1.s > s2.s THEN two
  UNION ALL SELECT 'duplicate-source', array_to_string(list_sort(list(DISTINCT ev)), '|'), array_to_string(list_sort(list(row_idx + 1)), ','), url FROM e WHERE url <> '' GROUP BY url HAVING count(*) > 1
  UNION ALL SELECT type, ev, CAST(row_idx + 1 AS STRING), coalesce(nullif(url, ''), k || '@' || date_announced) FROM adv JOIN e USING (row_idx)
  UNION ALL SELECT 'cross-file-contradiction', ev, CAST(row_idx + 1 AS STRING), coalesce(nullif(url, ''), k || '@' || date_announced) FROM e WHERE (url <> '' AND url IN (SELECT url FROM rj)) OR gn IN (SELECT gn FROM rj WHERE gn IS NOT NULL))"""
+#: The same findings with their texts.
+ROWS_TEXT = "CASE WHEN len(rows) <= 3 THEN 'rows ' || array_to_string(rows, ', ') ELSE 'rows ' || rows[1] || ' + ' || (len(rows) - 1) || ' others' END"
+NAMES_TEXT = """CASE WHEN len(names) <= 3 THEN '"' || array_to_string(names, '" / "') || '"' ELSE '"' || array_to_string(names[:3], '" / "') || '" + ' || (len(names) - 3) || ' more names' END"""
+MESSAGES = f"""mf AS (SELECT f.*, ea.company AS ca, eb.company AS cb, cn.tokens AS tk FROM f JOIN e ea ON ea.row_idx = f.row_a JOIN e eb ON eb.row_idx = f.row_b LEFT JOIN cn ON f.type = 'possible-same-event' AND cn.row_a = f.row_a AND cn.row_b = f.row_b),
+mg AS (SELECT type, least(event_a, event_b) || ' + ' || greatest(event_a, event_b) AS identity, list_sort(list_distinct(flatten(list([row_a + 1, row_b + 1])))) AS rows, list_sort(list_distinct(flatten(list([ca, cb])))) AS names, min(gap) AS gap,
+ array_to_string(list_sort(list_distinct(flatten(list(string_split(coalesce(tk, ''), ','))))), ', ') AS toks, arg_min(event_a, row(d_a, row_a, row_b)) AS one, arg_min(event_b, row(d_a, row_a, row_b)) AS two FROM mf GROUP BY 1, 2),
+mh AS (SELECT mg.*, one || ' (from ' || s1.s || ')' AS o, two || ' (from ' || s2.s || ')' AS t, type <> 'superseded-rumor' AND s1.s > s2.s AS turn FROM mg JOIN since s1 ON s1.ev = one JOIN since s2 ON s2.ev = two WHERE NOT EXISTS (SELECT 1 FROM dp WHERE pair = identity)),
+mi AS (SELECT *, CASE WHEN turn THEN t ELSE o END AS fst, CASE WHEN turn THEN o ELSE t END AS snd, {NAMES_TEXT} AS nt, {ROWS_TEXT} AS rt FROM mh),
+ru AS (SELECT url, min(row_idx) AS i FROM rj WHERE url <> '' GROUP BY url), rg AS (SELECT gn, min(row_idx) AS i FROM rj WHERE gn IS NOT NULL GROUP BY gn),
+md AS (SELECT list_sort(list(row_idx + 1)) AS rows, url FROM e WHERE url <> '' GROUP BY url HAVING count(*) > 1),
+msg AS (SELECT type, array_to_string(rows, ',') AS rows, CASE type WHEN 'duplicate' THEN 'Duplicate: ' || nt || ' on the same date under two event_ids — ' || fst || ' vs ' || snd || '; ' || rt
+  WHEN 'double-count' THEN 'Possible double-count: ' || nt || ' confirmed under two event_ids — ' || fst || ' vs ' || snd || ', closest rows ' || gap || 'd apart; ' || rt
+  WHEN 'superseded-rumor' THEN 'Superseded rumor: ' || nt || ' rumored ' || fst || ' precedes confirmed ' || snd || ' by ' || gap || 'd; ' || rt
+  ELSE 'Possible same event under different names: ' || nt || ' share distinctive token(s) [' || toks || '] — ' || fst || ' vs ' || snd || ', ' || gap || 'd apart; ' || rt END AS message FROM mi
+ UNION ALL SELECT 'same-day-same-event', CAST(row_a + 1 AS STRING) || ',' || CAST(row_b + 1 AS STRING), 'Same-day, same-industry entries share distinctive company token(s) [' || replace(tokens, ',', ', ') || ']: "' || ea.company || '" and "' || eb.company || '" both on ' || ea.date_announced || ' — if this is one event, give both rows the same event_id; if they are genuinely different companies, add an alias/exclusion so this token stops matching'
+  FROM cn JOIN e ea ON ea.row_idx = row_a JOIN e eb ON eb.row_idx = row_b WHERE gap = 0
+ UNION ALL SELECT 'name-split', array_to_string(list_sort(list(row_idx + 1)), ','), 'Company keys "' || a || '" and "' || b || '" look like one company under two names — add an alias to the aliases, or an entry with a reason to the allowed neighbours if they are distinct' FROM sp JOIN e ON e.k IN (a, b) GROUP BY a, b
+ UNION ALL SELECT 'duplicate-source', array_to_string(rows, ','), 'Same article cited by ' || len(rows) || ' rows (' || {ROWS_TEXT} || '): ' || url FROM md
+ UNION ALL SELECT type, CAST(row_idx + 1 AS STRING), CASE type WHEN 'future-date' THEN 'Future date: "' || company || '" dated ' || date_announced || ' (after {TODAY})'
+  WHEN 'vague-company' THEN 'Vague company for confirmed entry: "' || company || '" — name a specific company or downgrade'
+  WHEN 'contradictory-verdict' THEN 'Confirmed but notes hedge: "' || company || '" (' || date_announced || ') — "' || substring(notes, 1, 90) || '"'
+  WHEN 'global-figure' THEN 'Global figure in jobs_cut_sg: "' || company || '" jobs_cut_sg=' || CAST(jobs_cut_sg * 10 AS BIGINT) || ' reads as worldwide — move to jobs_cut_global'
+  ELSE 'Unrecognised source for confirmed entry: "' || company || '" (' || date_announced || ') — ' || source_link END FROM adv JOIN e USING (row_idx)
+ UNION ALL SELECT 'cross-file-contradiction', CAST(row_idx + 1 AS STRING), '"' || company || '" (' || date_announced || ', ' || status || ') shares its ' || CASE WHEN ru.i IS NOT NULL THEN 'source URL' ELSE 'gn-fingerprint' END || ' with rejected row ' || (coalesce(ru.i, rg.i) + 1) || ' — same event kept and rejected'
+  FROM e LEFT JOIN ru ON e.url = ru.url LEFT JOIN rg ON e.gn = rg.gn WHERE coalesce(ru.i, rg.i) IS NOT NULL)"""
 RULE = lambda i: "CASE " + " ".join("WHEN regexp_matches(mt, '{}', 'i') THEN {}".format(r[0].replace("'", "''"), "NULL" if r[i] is None else "'" + r[i].replace("'", "''") + "'") for r in EVENT_RULES) + " END"
 NAMED = "translate(regexp_replace(company, 'Customer#0*', 'Co'), '0123456789', 'qwertyuiop')"
 GENERIC = ", ".join(f"'{w}'" for w in X.GENERIC)
@@ -613,6 +642,7 @@ ORACLES: dict[str, str] = {
     "node_keys": with_entries("SELECT row_idx, coalesce(key, k) AS key FROM e LEFT JOIN pk USING (company)", TOKENS, *NODES, company=NAMED),
     "company_tokens": with_entries("SELECT key, variant FROM vt", TOKENS, company=NAMED),
     "check_integrity": with_entries("SELECT *, type = 'same-day-same-event' AS hard FROM w", PAIRS, CROSS, AUDIT, company=BRAND, where="row_idx % 4 <> 3"),
+    "finding_messages": with_entries("SELECT * FROM msg", PAIRS, CROSS, AUDIT, MESSAGES, company=BRAND, where="row_idx % 4 <> 3"),
     "integrity_summary": with_entries("SELECT type, count(*) AS n FROM w GROUP BY type", PAIRS, CROSS, AUDIT, company=BRAND, where="row_idx % 4 <> 3"),
     "regression": f"{CHANGED} SELECT 'new' AS side, * FROM now ANTI JOIN past USING (type, identity) UNION ALL SELECT 'resolved', * FROM past ANTI JOIN now USING (type, identity)",
     "regression_counts": f"{CHANGED} SELECT (SELECT count(*) FROM past) AS \"then\", (SELECT count(*) FROM now) AS now, (SELECT count(*) FROM now ANTI JOIN past USING (type, identity)) AS new, (SELECT count(*) FROM past ANTI JOIN now USING (type, identity)) AS resolved",
