@@ -10,7 +10,7 @@ import time
 from ledgerloom.plans.catalog import QUERIES
 from ledgerloom.session import get_session
 
-NAMES = ["event_rollup", "headline", "monthly", "industry", "quarterly_benchmark", "canonical_row", "grouped_events", "url_keys", "rejected_dedup", "company_key", "dedup_index", "islands_21", "same_company_pairs", "cross_name", "check_integrity", "advisories", "duplicate_sources", "cross_file", "patch_kth", "classify", "triage", "json_verdict", "eval_metrics"]
+NAMES = ["event_rollup", "headline", "monthly", "industry", "quarterly_benchmark", "canonical_row", "grouped_events", "url_keys", "rejected_dedup", "company_key", "dedup_index", "islands_21", "same_company_pairs", "cross_name", "check_integrity", "advisories", "duplicate_sources", "cross_file", "patch_kth", "classify", "triage", "json_verdict", "eval_metrics", "event_hints", "window_groups"]
 
 
 def main() -> None:

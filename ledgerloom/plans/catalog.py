@@ -149,6 +149,12 @@ def q_alias_dedup(s: SparkSession, d: str) -> DataFrame:
     return D.check_candidates(*parts(s, d), aliases=houses(s, d)).select("row_idx", "by_month", "verdict")
 
 
+def q_dedup_dates(s: SparkSession, d: str) -> DataFrame:
+    """A third of all rows has wrapped news links, which company and date can settle."""
+    link = F.expr("CASE WHEN row_idx % 3 = 0 THEN 'https://news.google.com/rss/articles/' || CAST(row_idx AS STRING) ELSE source_link END")
+    return D.check_candidates(*(p.withColumn("source_link", link) for p in parts(s, d))).select("row_idx", "by_date", "verdict")
+
+
 def q_ingest(s: SparkSession, d: str) -> DataFrame:
     return D.ingest(D.check_candidates(*parts(s, d)), skipped=2)[1]
 
@@ -246,6 +252,22 @@ def q_validate_rows(s: SparkSession, d: str) -> DataFrame:
     return V.validate_rows(entries(s, d), ["BUILDING", "MACHINERY", "FURNITURE"])
 
 
+def q_validate_fields(s: SparkSession, d: str) -> DataFrame:
+    """Every check of a field fires on some rows."""
+    bad = {"company": "'  '", "date_announced": "'soon'", "date_reported": "'1999-1-1'", "jobs_cut_sg": "-1.0D", "jobs_cut_global": "-2.0D", "pct_workforce": "-3.0D", "industry": "'Unknown'", "status": "'odd'", "source_link": "NULL", "event_id": "' '"}
+    e = entries(s, d)
+    e = e.withColumns({c: F.expr(f"CASE WHEN row_idx % 11 = {i} THEN {v} ELSE {c} END") for i, (c, v) in enumerate(bad.items())})
+    return V.validate_rows(e, ["BUILDING", "MACHINERY", "FURNITURE", "AUTOMOBILE", "HOUSEHOLD"])
+
+
+def q_tallies(s: SparkSession, d: str) -> DataFrame:
+    return S.tallies(entries(s, d), "status")
+
+
+def q_finding_examples(s: SparkSession, d: str) -> DataFrame:
+    return A.examples(audited(s, d)).groupBy("type").agg(F.count("*").alias("n"), F.max(F.get("rows", F.lit(0))).alias("last"))
+
+
 def q_advisories(s: SparkSession, d: str) -> DataFrame:
     return V.advisories(entries(s, d).withColumn("jobs_cut_sg", F.col("jobs_cut_sg") * 10), TODAY)
 
@@ -642,6 +664,10 @@ ORACLES: dict[str, str] = {
     "node_keys": with_entries("SELECT row_idx, coalesce(key, k) AS key FROM e LEFT JOIN pk USING (company)", TOKENS, *NODES, company=NAMED),
     "company_tokens": with_entries("SELECT key, variant FROM vt", TOKENS, company=NAMED),
     "check_integrity": with_entries("SELECT *, type = 'same-day-same-event' AS hard FROM w", PAIRS, CROSS, AUDIT, company=BRAND, where="row_idx % 4 <> 3"),
+    "dedup_dates": with_entries("SELECT row_idx, by_date, CASE WHEN by_url OR by_gn OR by_date THEN 'duplicate' WHEN by_month THEN 'potential-duplicate' ELSE 'new' END AS verdict FROM (SELECT *, row_idx % 3 = 0 AND dk IN (SELECT dk FROM p WHERE part > 0) AS by_date FROM c) AS x", CHECK.replace("AS mk FROM e)", "AS mk FROM (SELECT * REPLACE (CASE WHEN row_idx % 3 = 0 THEN 'wrapped' || row_idx ELSE url END AS url) FROM e) AS y)")),
+    "validate_fields": with_entries("SELECT row_idx + 1 AS row, field FROM (SELECT row_idx, ['company', 'date_announced', 'date_reported', 'jobs_cut_sg', 'jobs_cut_global', 'pct_workforce', 'industry', 'status', 'source_link', 'event_id'][row_idx % 11 + 1] AS field FROM e) AS x WHERE field IS NOT NULL UNION ALL SELECT row_idx + 1, 'pct_workforce' FROM e WHERE pct_workforce > 100 AND row_idx % 11 <> 5 UNION ALL SELECT row_idx + 1, 'source_link' FROM e WHERE source_link = '' AND row_idx % 11 <> 8 UNION ALL SELECT row_idx + 1, 'event_id' FROM e WHERE event_id = '' AND row_idx % 11 <> 9"),
+    "tallies": with_entries("SELECT status, count(*) AS n FROM e GROUP BY status"),
+    "finding_examples": with_entries(f"SELECT type, count(*) AS n, max(r) AS last FROM (SELECT type, r, row_number() OVER (PARTITION BY type ORDER BY r, identity) AS k FROM (SELECT type, identity, CAST(split_part(rows, ',', 1) AS BIGINT) AS r FROM w) AS x) AS y WHERE k <= 5 OR type NOT IN ({', '.join(repr(t) for t in A.PER_ROW)}) GROUP BY type", PAIRS, CROSS, AUDIT, company=BRAND, where="row_idx % 4 <> 3"),
     "finding_messages": with_entries("SELECT * FROM msg", PAIRS, CROSS, AUDIT, MESSAGES, company=BRAND, where="row_idx % 4 <> 3"),
     "integrity_summary": with_entries("SELECT type, count(*) AS n FROM w GROUP BY type", PAIRS, CROSS, AUDIT, company=BRAND, where="row_idx % 4 <> 3"),
     "regression": f"{CHANGED} SELECT 'new' AS side, * FROM now ANTI JOIN past USING (type, identity) UNION ALL SELECT 'resolved', * FROM past ANTI JOIN now USING (type, identity)",
