@@ -69,11 +69,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """docs with `text` (not null) and `lang` plus the base counts, _chars (the shares of NAMES among the characters), _low (words in lower case) and _h (a hash of the words)."""
+    """docs with `text` (not null) and `lang` plus the base counts, _chars (the shares of NAMES among the characters), _low (the words in lower case, apart by a space, as which they are written in half the room) and _h (a hash of the words)."""
     size = F.length("text").cast("long")
     d = base_counts(docs).withColumns({f"_{n}": count_of(F.col("text"), c) for n, c in CLASSES.items()})
     counts = [*(F.col(f"_{n}") for n in CLASSES), size - F.col("word_chars"), F.col("word_chars") - reduce(lambda a, b: a + b, (F.col(f"_{n}") for n in CLASSES))]
-    low = F.transform("words", lambda w: F.lower(w))
+    low = F.lower(F.array_join("words", " "))
     d = d.withColumns({"_chars": F.transform(F.array(*counts), lambda c: c / F.greatest(size, F.lit(1))), "_low": low, "_h": F.xxhash64("words")})
     return d.drop("words", *(f"_{n}" for n in CLASSES))
 
@@ -90,7 +90,7 @@ def references(known: DataFrame, broadcast_copies: int = 1_000_000) -> list[dict
     mean = lambda x: F.round(F.sum(F.col("w") * x) / F.sum("w"), 9)
     classes = d.groupBy("lang").agg(F.sum("w").alias("n"), *(mean(F.get("_chars", F.lit(i))).alias(c) for i, c in enumerate(NAMES))).filter(F.round("n", 6) >= MIN_DOCS)
     classes = stage(classes, "classes")
-    words = d.select("lang", (F.col("w") / F.col("n_words")).alias("x"), F.explode("_low").alias("word")).groupBy("lang", "word").agg(F.sum("x").alias("x"))
+    words = d.select("lang", (F.col("w") / F.col("n_words")).alias("x"), F.explode(F.split("_low", " ")).alias("word")).groupBy("lang", "word").agg(F.sum("x").alias("x"))
     shares = words.join(F.broadcast(classes.select("lang", "n")), "lang").select("lang", "word", F.round(F.col("x") / F.col("n"), 9).alias("x")).filter("x > 0.001")
     ranked = shares.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("x"), "word"))).filter(F.col("r") <= COMMON)
     common: dict[str, dict[str, float]] = {}
@@ -116,7 +116,7 @@ def compared(d: DataFrame, refs: list[dict]) -> DataFrame:
     names = F.from_json(F.lit(json.dumps(vocabulary)), "array<string>")
     n = F.greatest(F.col("n_words"), F.lit(1))
     # a set decides which words are common before any is looked for in the list
-    d = d.withColumn("_at", F.transform(F.filter("_low", lambda w: w.isin(vocabulary)), lambda w: F.array_position(names, w).cast("int")))
+    d = d.withColumn("_at", F.transform(F.filter(F.split("_low", " "), lambda w: w.isin(vocabulary)), lambda w: F.array_position(names, w).cast("int")))
     # sorted behind one mark of each number: a number's count is the distance of two marks, less one
     d = d.withColumn("_at", F.sort_array(F.concat("_at", F.sequence(F.lit(1), F.lit(len(vocabulary) + 1)))))
     d = d.withColumn("_start", F.filter(F.transform("_at", lambda x, i: F.when((i == 0) | (F.get("_at", i - 1) != x), i)), lambda i: i.isNotNull()))
