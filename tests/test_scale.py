@@ -2,10 +2,47 @@
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import audit as A
+from ledgerloom.operators import projections as P
 from ledgerloom.operators.components import stage
+from tests.test_ledger import rows
 
 
 def test_staged_rows_are_not_broadcast_by_the_size_of_their_file(spark, capsys):
-    rows = stage(spark.range(400_000).select("id", F.lit("x" * 90).alias("text")), "rows")
-    rows.join(spark.range(0, 4_000_000_000, 3), "id").explain()
+    staged = stage(spark.range(400_000).select("id", F.lit("x" * 90).alias("text")), "rows")
+    staged.join(spark.range(0, 4_000_000_000, 3), "id").explain()
     assert "SortMergeJoin" in capsys.readouterr().out
+
+
+def test_an_offset_does_not_gather_all_rows_in_one_task(spark):
+    e = rows(spark, *({"source_link": f"http://s.sg/{i}"} for i in range(40))).repartition(8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = P.archive_links(e, "2026", ["confirmed"], offset=5)
+        assert out.rdd.getNumPartitions() > 1
+        assert [r.row_idx for r in out.collect()] == list(range(5, 40))
+        assert [r.row_idx for r in P.archive_links(e, "2026", ["confirmed"], 5, 3).collect()] == [5, 6, 7]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_examples_rank_only_what_a_report_cuts(spark):
+    found = [("vague-company", [i], f"v{i}") for i in range(9)] + [("duplicate", [i], f"d{i}") for i in range(50)] + [(None, [1], "n")]
+    d = spark.createDataFrame(found, "type string, rows array<int>, identity string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = A.examples(d)
+        kept = out.filter("type <> 'vague-company'").groupBy(F.spark_partition_id()).count().count()
+        assert kept > 1
+        assert sorted(r.identity for r in out.collect()) == sorted([f"v{i}" for i in range(5)] + [f"d{i}" for i in range(50)] + ["n"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_name_of_many_rows_stays_where_it_is(spark, monkeypatch):
+    monkeypatch.setattr(P, "HOT_ROWS", 3)
+    e = rows(spark, *({"company": c, "event_id": v} for c in ("Ion Ltd", "Big Ltd", None) for v in ("", "x", None)), *({"company": "Big Ltd", "event_id": ""} for _ in range(20)))
+    e = e.withColumns({"rule": F.lit(None).cast("struct<company:string,industry:string,verdict:string,notes:string>"), "final_verdict": F.lit("queue"), "reason": F.lit("r")})
+    out = {r.row_idx: r.event_id for r in P.to_entry(e).collect()}
+    want = {"Ion Ltd": "ion-2026-05", "Big Ltd": "big-2026-05", None: "event-2026-05"}
+    assert out == {r.row_idx: r.event_id or want[r.company] for r in e.collect()}
